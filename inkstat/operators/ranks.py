@@ -32,20 +32,21 @@ def cells(df: DataFrame, group: Sequence[str], value: str, **measures: Column) -
     )
 
 
-def _ranges(cell: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    by_hash = Window.partitionBy(*group).orderBy("_h", value)
+def _ranges(cell: DataFrame, group: Sequence[str], value: str, measures: Sequence[str]) -> DataFrame:
+    by_hash = Window.partitionBy(*group).orderBy("_hash", value)
     return (
-        cell.select(*group, value, F.xxhash64(value).alias("_h"))
-        .withColumn("_k", F.row_number().over(by_hash))
-        .where(F.col("_k") <= SAMPLE)
+        cell.select(*group, value, *measures, F.xxhash64(value).alias("_hash"))
+        .withColumn("_pick", F.row_number().over(by_hash))
+        .where(F.col("_pick") <= SAMPLE)
         .groupBy(*group)
-        .agg(F.array_sort(F.collect_list(value)).alias("_v"))
+        # whole cells are kept so that this branch reads the same exchange as the rows it cuts
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct(value, *measures))), lambda c: c[value]).alias("_values"))
         .select(
             *group,
             F.array_distinct(
                 F.transform(
                     F.sequence(F.lit(1), F.lit(RANGES - 1)),
-                    lambda i: F.get(F.col("_v"), (i * F.size("_v") / RANGES).cast("int")),
+                    lambda i: F.get(F.col("_values"), (i * F.size("_values") / RANGES).cast("int")),
                 )
             ).alias("_cuts"),
         )
@@ -57,7 +58,7 @@ def cumulate(cell: DataFrame, group: Sequence[str], value: str, measures: Sequen
     group = list(group)
     keyed = cell if group else cell.withColumn("_all", F.lit(0))
     keys = group or ["_all"]
-    ranged = keyed.join(_ranges(keyed, keys, value), keys, "left").withColumn(
+    ranged = keyed.join(_ranges(keyed, keys, value, [c for c in cell.columns if c not in (*keys, value)]), keys, "left").withColumn(
         "_range", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
     ).drop("_cuts")
 
@@ -83,15 +84,15 @@ def cumulate(cell: DataFrame, group: Sequence[str], value: str, measures: Sequen
 
 
 def rank_cells(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """Cells with ``n``, ``before_n``, ``total_n`` and the average rank ``rank`` (ties share it)."""
+    """Cells with ``n``, ``before_n``, ``total_n`` and the average rank ``avg_rank`` (ties share it)."""
     out = cumulate(cells(df, group, value), group, value, ["n"])
-    return out.withColumn("rank", F.col("before_n") + (F.col("n") + 1) / F.lit(2.0))
+    return out.withColumn("avg_rank", F.col("before_n") + (F.col("n") + 1) / F.lit(2.0))
 
 
 def with_ranks(df: DataFrame, group: Sequence[str], ranks: dict[str, str]) -> DataFrame:
     """Attach average ranks within ``group``: ``ranks`` maps a value column to its rank column."""
     for value, name in ranks.items():
-        table = rank_cells(df, group, value).select(*group, value, F.col("rank").alias(name))
+        table = rank_cells(df, group, value).select(*group, value, F.col("avg_rank").alias(name))
         df = df.join(table, [*group, value])
     return df
 

@@ -1,0 +1,10 @@
+"""Registered queries, one module per operator family."""
+
+from importlib import import_module
+
+FAMILIES = ("paired", "statistics")
+
+
+def load_all() -> None:
+    for family in FAMILIES:
+        import_module(f"inkstat.plans.{family}")
