@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("paired", "statistics")
+FAMILIES = ("paired", "statistics", "redundancy")
 
 
 def load_all() -> None:

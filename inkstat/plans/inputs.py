@@ -125,3 +125,39 @@ RECORD_LONG = RECORDS + """, rl AS (
   SELECT * FROM (SELECT paper_id, year, rating, grp, accept, domain, n_words, fraction_ai,
          unnest(['bino', 'nts', 'agg', 'xsec']) AS system, unnest([bino, nts, agg, xsec]) AS value FROM rec)
   WHERE value IS NOT NULL)"""
+
+
+# --- units: a line of a document is a section, a sentence of the line a unit ------------------
+
+ABBR = r"et al|e\.g|i\.e|cf|vs|Fig|Figs|Eq|Eqs|Sec|Secs|Tab|Tabs|resp|approx|no|etc|al|Dr|Prof|w\.r\.t|a\.k\.a|Alg|App"
+
+
+def sentences_sql(text: str) -> str:
+    """List of sentences: mark every candidate break, then take back those after an abbreviation."""
+    marked = rf"""regexp_replace({text}, '([.!?])(\s+)([A-Z0-9(\["''“])', '\1\2' || chr(1) || '\3', 'g')"""
+    kept = rf"""regexp_replace({marked}, '(?i)\b((?:{ABBR})\.\s+)' || chr(1), '\1', 'g')"""
+    return rf"""list_filter(list_transform(string_split({kept}, chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"""
+
+
+TOKENS_SQL = r"""regexp_extract_all(lower(s), '[a-z][a-z\-'']*|\d+(?:\.\d+)?')"""
+
+UNITS = f"""ln AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS sec FROM (
+    SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents)),
+  sn AS (SELECT doc_id, sec, unnest(ss) AS s, unnest(range(len(ss))) AS k FROM (SELECT doc_id, sec, {sentences_sql('line')} AS ss FROM ln)),
+  u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec, k) - 1 AS ord, sec, CASE WHEN sec = 0 THEN 'summary' ELSE 'body' END AS role,
+     {TOKENS_SQL} AS toks FROM sn)"""
+
+
+def grams_sql(n: int, tag: str = "") -> str:
+    return f"""g{tag} AS (SELECT doc_id, ord, sec, role, p - 1 AS pos, array_to_string(toks[p:p + {n - 1}], ' ') AS gram FROM (
+    SELECT *, unnest(range(1, len(toks) - {n - 2})) AS p FROM u WHERE len(toks) >= {n})),
+  f{tag} AS (SELECT doc_id, gram, min(ord) AS o_ord, arg_min(sec, ord) AS o_sec, arg_min(role, ord) AS o_role, count(*) AS n FROM g{tag} GROUP BY 1, 2),
+  h{tag} AS (SELECT g{tag}.*, o_ord, o_role FROM g{tag} JOIN f{tag} USING (doc_id, gram) WHERE o_ord < ord AND o_sec <> sec),
+  cv{tag} AS (SELECT doc_id, ord, unnest(range(pos, pos + {n})) AS q FROM h{tag}),
+  cd{tag} AS (SELECT DISTINCT doc_id, ord, q FROM cv{tag}),
+  rn{tag} AS (SELECT doc_id, ord, count(*) AS len FROM (SELECT *, q - row_number() OVER (PARTITION BY doc_id, ord ORDER BY q) AS grp FROM cd{tag}) GROUP BY doc_id, ord, grp),
+  sr{tag} AS (SELECT doc_id, ord, o_ord AS src_ord, o_role AS src_role FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ord ORDER BY c DESC, p) AS k FROM (
+      SELECT doc_id, ord, o_ord, o_role, count(*) AS c, min(pos) AS p FROM h{tag} GROUP BY 1, 2, 3, 4)) WHERE k = 1),
+  rw{tag} AS (SELECT u.doc_id, u.ord, u.sec, u.role, len(toks) AS n_tokens, covered, longest_run, src_ord, src_role, covered / len(toks)::DOUBLE AS r,
+      len(toks) >= 8 AS eligible, len(toks) >= 8 AND covered / len(toks)::DOUBLE >= 0.5 AS recycled
+    FROM u JOIN (SELECT doc_id, ord, CAST(sum(len) AS BIGINT) AS covered, max(len) AS longest_run FROM rn{tag} GROUP BY 1, 2) USING (doc_id, ord) JOIN sr{tag} USING (doc_id, ord))"""
