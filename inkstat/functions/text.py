@@ -9,7 +9,19 @@ from inkstat.functions import patterns as P
 
 MARK = "\u0001"
 
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times inside ``body``.
+
+    Nested references to one long expression would otherwise be inlined into generated code at
+    every use and can exceed the method size limit.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # --------------------------------------------------------------------------- views
+# The pattern chains below are fixed values: their order and wording decide the views.
 
 
 def chain(text: Column, steps: list[tuple[str, str]]) -> Column:
@@ -240,23 +252,28 @@ PLAIN = r"(?:^|[^\w.])([-+]?\d+(?:\.\d+)?)(?:$|[^\w.])"
 
 def number_cell(raw: Column) -> Column:
     """struct(kind, value, printed, std, is_bold, is_percent) of one table cell."""
-    clean = clean_cell(raw)
-    bare = F.regexp_replace(F.regexp_replace(clean, r"\[[^\]]*\]", " "), ",", "")
-    count = F.size(F.regexp_extract_all(F.regexp_replace(bare, r"\s", "  "), F.lit(PLAIN), F.lit(1)))
-    residue = F.regexp_replace(F.regexp_replace(clean, r"\[[^\]]*\]", " "), r"\b(?:k|M|B|ms|s|x|X|pp|std|avg)\b", "")
-    single = (count == 1) & ~residue.rlike(r"[A-Za-z]{3,}")
-    numeric = (count >= 1) & bare.rlike(r"^[\s\d.\-+/%()xX×↑↓*†‡]*$")
 
     def found(text: Column, pattern: str, group: int) -> Column:
         return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
-    printed = F.coalesce(found(raw, PM, 1), found(raw, PM_SUB, 1), found(clean, PAREN, 1), F.when(single | numeric, found(bare, PLAIN, 1)))
-    std = F.coalesce(found(raw, PM, 2), found(raw, PM_SUB, 2), found(clean, PAREN, 2))
-    return F.struct(
-        F.when(F.trim(raw) == "", "empty").when(printed.isNotNull(), "number").otherwise("text").alias("kind"),
-        printed.cast("double").alias("value"), printed.alias("printed"), F.when(printed.isNotNull(), std).cast("double").alias("std"),
-        raw.rlike(r"\\(?:textbf|mathbf|bm)\b").alias("is_bold"), raw.contains("%").alias("is_percent"),
-    )
+    def parse(clean: Column) -> Column:
+        unbracketed = F.regexp_replace(clean, r"\[[^\]]*\]", " ")
+
+        def plain(bare: Column) -> Column:
+            count = F.size(F.regexp_extract_all(F.regexp_replace(bare, r"\s", "  "), F.lit(PLAIN), F.lit(1)))
+            word = F.regexp_replace(unbracketed, r"\b(?:k|M|B|ms|s|x|X|pp|std|avg)\b", "").rlike(r"[A-Za-z]{3,}")
+            numeric = bare.rlike(r"^[\s\d.\-+/%()xX×↑↓*†‡]*$")
+            return F.when(((count == 1) & ~word) | ((count >= 1) & numeric), found(bare, PLAIN, 1))
+
+        printed = F.coalesce(found(raw, PM, 1), found(raw, PM_SUB, 1), found(clean, PAREN, 1), let(F.regexp_replace(unbracketed, ",", ""), plain))
+        std = F.coalesce(found(raw, PM, 2), found(raw, PM_SUB, 2), found(clean, PAREN, 2))
+        return let(printed, lambda p: F.struct(
+            F.when(F.trim(raw) == "", "empty").when(p.isNotNull(), "number").otherwise("text").alias("kind"),
+            p.cast("double").alias("value"), p.alias("printed"), F.when(p.isNotNull(), std).cast("double").alias("std"),
+            raw.rlike(r"\\(?:textbf|mathbf|bm)\b").alias("is_bold"), raw.contains("%").alias("is_percent"),
+        ))
+
+    return let(clean_cell(raw), parse)
 
 
 def half_unit(printed: Column) -> Column:

@@ -42,15 +42,15 @@ def _gram_array(n: int) -> Column:
         ),
     )
     bearing = r"\b(?:" + "|".join(P.SENTINELS) + r")\b"
-    return F.filter(F.flatten(per_unit), lambda g: ~g["gram"].rlike(bearing))
+    return F.filter(F.flatten(per_unit), lambda g: ~(g["gram"].contains("xx") & g["gram"].rlike(bearing)))
 
 
 def repeated_grams(units: DataFrame, n: int = N) -> DataFrame:
     """Gram occurrences whose gram occurs again in the same document, one row each."""
-    hashed = units.select("doc_id", _gram_array(n).alias("g")).withColumn("h", F.array_sort(F.transform("g", lambda g: F.xxhash64(g["gram"]))))
+    hashed = units.select("doc_id", _gram_array(n).alias("g")).withColumn("h", F.sort_array(F.transform("g", lambda g: F.xxhash64(g["gram"]))))
     twice = F.array_distinct(F.filter(F.zip_with(F.slice("h", 2, F.greatest(F.size("h") - 1, F.lit(0))), "h", lambda b, a: F.when(a == b, a)), lambda x: x.isNotNull()))
-    kept = hashed.where(F.size("g") > 1).select("doc_id", "g", twice.alias("twice")).where(F.size("twice") > 0)
-    return kept.select("doc_id", F.explode(F.filter("g", lambda g: F.array_contains("twice", F.xxhash64(g["gram"])))).alias("g")).select("doc_id", "g.*")
+    # no filter on the arrays: it would be pushed below the projection and build the grams again
+    return hashed.select("doc_id", "g", twice.alias("twice")).select("doc_id", F.explode(F.filter("g", lambda g: F.array_contains("twice", F.xxhash64(g["gram"])))).alias("g")).select("doc_id", "g.*")
 
 
 def gram_owners(units: DataFrame, n: int = N) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("paired", "statistics", "redundancy")
+FAMILIES = ("paired", "statistics", "redundancy", "structure")
 
 
 def load_all() -> None:

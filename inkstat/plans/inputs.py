@@ -161,3 +161,41 @@ def grams_sql(n: int, tag: str = "") -> str:
   rw{tag} AS (SELECT u.doc_id, u.ord, u.sec, u.role, len(toks) AS n_tokens, covered, longest_run, src_ord, src_role, covered / len(toks)::DOUBLE AS r,
       len(toks) >= 8 AS eligible, len(toks) >= 8 AND covered / len(toks)::DOUBLE >= 0.5 AS recycled
     FROM u JOIN (SELECT doc_id, ord, CAST(sum(len) AS BIGINT) AS covered, max(len) AS longest_run FROM rn{tag} GROUP BY 1, 2) USING (doc_id, ord) JOIN sr{tag} USING (doc_id, ord))"""
+
+
+# --- LaTeX: every document wrapped as a paper, the same template in both dialects -------------
+
+_TITLES = "['Introduction', 'Related Work', 'Method', 'Experiments', 'Discussion and Limitations', 'Conclusion', 'Proofs and Details']"
+
+# {i} zero-based line number, {k} section number, {l} the line, {title} its section title; ¤ stands for a backslash
+_TEX_LINE = """
+  CASE WHEN {i} = 0 THEN '¤begin{{abstract}}' || {l} || '¤end{{abstract}}' || chr(10) || chr(10) ELSE
+    CASE WHEN {i} % 3 = 1 AND {k} = 6 AND doc_id % 2 = 0 THEN '¤appendix' || chr(10) ELSE '' END ||
+    CASE WHEN {i} % 3 = 1 THEN '¤section' || CASE WHEN {k} % 7 = 4 THEN '*' ELSE '' END || '{{' || {title} || '}}'
+         || CASE WHEN {k} % 5 <> 3 THEN '¤label{{sec:' || {k} || '}}' ELSE '' END || chr(10)
+         WHEN {i} % 6 = 2 THEN '¤subsection{{Part ' || {i} || '}}¤label{{sub:' || {i} || '}}' || chr(10) ELSE '' END ||
+    {l} ||
+    CASE WHEN {i} % 2 = 0 THEN ' As in Section~¤ref{{sec:' || (({i} + doc_id) % 9) || '}}, see Table ¤ref{{tab:' || ({i} % 6) || '}} ¤cite{{key' || ({i} % 5) || ', key' || (doc_id % 7) || '}}.'
+         WHEN {i} % 4 = 3 THEN ' See Sections ' || ({i} % 5 + 1) || ' and ' || ({i} % 3 + 1) || ' for the method. This was shown in the previous section, and proofs are in the Method section.'
+         ELSE ' Unlike ¤citet{{key' || (({i} + doc_id) % 11) || '}}, we use ¤cite{{key1}}. % note 5¤% done' || chr(10) END ||
+    CASE WHEN {i} % 5 = 4 THEN chr(10) || '¤begin{{table}}¤caption{{Accuracy results of case ' || {i} || '. Overview of failure case tests, higher is better}}¤label{{tab:' || {i} || '}}'
+         || '¤begin{{tabular}}{{lcc}} Model & Acc & Loss ¤¤ A & ' || length({l}) || '.' || (doc_id % 10) || ' ¤pm 0.4 & 1,234 ¤¤ B & ¤textbf{{' || (doc_id % 50) || '.5}} & n/a ¤¤ ¤end{{tabular}}¤end{{table}}' || chr(10) ELSE '' END ||
+    CASE WHEN {i} % 7 = 5 THEN chr(10) || '¤begin{{equation}} a = b ¤label{{eq:' || {i} || '}}¤end{{equation}}' || chr(10) ELSE '' END ||
+    CASE WHEN {i} % 11 = 7 AND doc_id % 3 = 0 THEN chr(10) || '¤begin{{quote}} shown text ¤end{{quote}}' || chr(10) ELSE '' END ||
+    CASE WHEN {i} % 2 = 0 THEN chr(10) || chr(10) ELSE chr(10) END
+  END"""
+_TEX_HEAD = "'¤documentclass{{article}}' || chr(10) || '¤begin{{document}}' || chr(10) || "
+_TEX_TAIL = " || '¤bibliography{{refs}}' || chr(10) || '¤end{{document}}' || chr(10)"
+
+
+def tex_docs(t) -> DataFrame:
+    """doc_id, tex."""
+    line = _TEX_LINE.format(i="i", l="l", k="((i - 1) div 3)", title=f"get(array({_TITLES[1:-1]}), cast(((i - 1) div 3) % 7 as int))")
+    lines = r"filter(split(text, '\n'), x -> x <> '')"
+    expr = f"replace({_TEX_HEAD.format()} array_join(transform({lines}, (l, i) -> {line}), ''){_TEX_TAIL.format()}, '¤', chr(92))"
+    return t.documents.select("doc_id", F.expr(expr).alias("tex"))
+
+
+TEX = "tx AS (SELECT doc_id, replace({head} array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''), lambda l, j: {line}), ''){tail}, '¤', chr(92)) AS tex FROM documents)".format(
+    head=_TEX_HEAD.format(), tail=_TEX_TAIL.format(),
+    line=_TEX_LINE.format(i="(j - 1)", l="l", k="((j - 2) // 3)", title=f"({_TITLES})[((j - 2) // 3) % 7 + 1]"))
