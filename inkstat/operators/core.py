@@ -35,16 +35,14 @@ def mean_skip(*cols: Column) -> Column:
     return F.aggregate(present, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(present), F.lit(0))
 
 
-def mean_strict(*cols: Column) -> Column:
-    return sum(cols[1:], cols[0]) / len(cols)
-
-
-def named_aggregates(macro: Column, xsec: Column, argument: Column, citation: Column, evidence: Column, figure: Column) -> dict[str, Column]:
-    """agg3 (strict mean of redundancy, cross-reference and citation), agg4, det4 and the five-measure mean."""
+def named_aggregates(macro: Column, xsec: Column, argument: Column, citation: Column, evidence: Column) -> dict[str, Column]:
+    """agg3 (structure and citation, both required), agg4 (with the evidence gap where it applies),
+    det4 and the five-measure mean over planes; the structure plane skips a missing side."""
     structure = mean_skip(macro, xsec)
+    both = structure.isNotNull() & citation.isNotNull()
     return {
-        "agg3": mean_strict(macro, xsec, citation),
-        "agg4": mean_skip(structure, mean_skip(citation, argument), mean_skip(evidence, figure)),
+        "agg3": F.when(both, mean_skip(structure, citation)),
+        "agg4": F.when(both, mean_skip(structure, citation, evidence)),
         "det4": mean_skip(structure, citation, evidence),
         "mean5": mean_skip(structure, mean_skip(argument, citation), evidence),
     }

@@ -10,11 +10,11 @@ from inkstat.functions import text as T
 from inkstat.operators import structure as S
 
 
-def applicable_documents(parsed_cells: DataFrame) -> DataFrame:
-    """Documents with a table of at least two body rows and four numeric cells."""
+def applicable_documents(parsed_cells: DataFrame, min_rows: int = 2, min_numbers: int = 4) -> DataFrame:
+    """Documents with a table of at least two body rows and four numeric cells (by default)."""
     per = parsed_cells.where(~F.col("is_header")).groupBy("doc_id", "tbl").agg(
         F.count_distinct("r").alias("rows"), F.count_if(F.col("cell.kind") == "number").alias("numbers"))
-    return per.where((F.col("rows") >= 2) & (F.col("numbers") >= 4)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_result_tables"))
+    return per.where((F.col("rows") >= min_rows) & (F.col("numbers") >= min_numbers)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_result_tables"))
 
 
 def exhibits(docs: DataFrame, tex: str = "tex") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("paired", "statistics", "redundancy", "structure")
+FAMILIES = ("paired", "statistics", "redundancy", "structure", "measures")
 
 
 def load_all() -> None:

@@ -173,7 +173,7 @@ _TEX_LINE = """
     CASE WHEN {i} % 3 = 1 AND {k} = 6 AND doc_id % 2 = 0 THEN '¤appendix' || chr(10) ELSE '' END ||
     CASE WHEN {i} % 3 = 1 THEN '¤section' || CASE WHEN {k} % 7 = 4 THEN '*' ELSE '' END || '{{' || {title} || '}}'
          || CASE WHEN {k} % 5 <> 3 THEN '¤label{{sec:' || {k} || '}}' ELSE '' END || chr(10)
-         WHEN {i} % 6 = 2 THEN '¤subsection{{Part ' || {i} || '}}¤label{{sub:' || {i} || '}}' || chr(10) ELSE '' END ||
+         WHEN {i} % 6 = 2 THEN '¤subsection{{' || CASE WHEN ({i} + doc_id) % 5 = 0 THEN 'Error Analysis ' ELSE 'Part ' END || {i} || '}}¤label{{sub:' || {i} || '}}' || chr(10) ELSE '' END ||
     {l} ||
     CASE WHEN {i} % 2 = 0 THEN ' As in Section~¤ref{{sec:' || (({i} + doc_id) % 9) || '}}, see Table ¤ref{{tab:' || ({i} % 6) || '}} ¤cite{{key' || ({i} % 5) || ', key' || (doc_id % 7) || '}}.'
          WHEN {i} % 4 = 3 THEN ' See Sections ' || ({i} % 5 + 1) || ' and ' || ({i} % 3 + 1) || ' for the method. This was shown in the previous section, and proofs are in the Method section.'
