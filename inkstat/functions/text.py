@@ -216,10 +216,10 @@ def content_tokens(toks: Column) -> Column:
 
 def grams(toks: Column, n: int) -> Column:
     """Word n-grams joined by blanks; empty for short input."""
-    return F.when(
-        F.size(toks) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda p: F.array_join(F.slice(toks, p, n), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+    return let(toks, lambda w: F.when(
+        F.size(w) >= n,
+        F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda p: F.array_join(F.slice(w, p, n), " ")),
+    ).otherwise(F.array().cast("array<string>")))
 
 
 def cite_keys(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("paired", "statistics", "redundancy", "structure", "measures")
+FAMILIES = ("paired", "statistics", "redundancy", "structure", "measures", "matching")
 
 
 def load_all() -> None:
