@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("paired", "statistics", "redundancy", "structure", "measures", "matching")
+FAMILIES = ("paired", "statistics", "redundancy", "structure", "measures", "matching", "corpus")
 
 
 def load_all() -> None:
