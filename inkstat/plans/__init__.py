@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("paired", "statistics", "redundancy", "structure", "measures", "matching", "corpus")
+FAMILIES = ("paired", "statistics", "redundancy", "structure", "measures", "matching", "corpus", "inout")
 
 
 def load_all() -> None:

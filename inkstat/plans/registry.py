@@ -12,6 +12,9 @@ from inkstat.session import configure
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+# moves values such as n/64 off the rounding tie, where the last bit would decide
+NUDGE = 1e-10
+
 
 class Tables:
     """Lazy access to the parquet tables of one scale: ``t.lineitem`` is an unread scan."""
@@ -35,14 +38,14 @@ def query(name: str, sql: str | None = None, floats: tuple[str, ...] | str = ())
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = fn(Tables(spark, sf_dir))
-            return out.withColumns({c: F.round(F.col(c).cast("double"), 6) + F.lit(0.0) for c in cols}) if cols else out
+            return out.withColumns({c: F.round(F.col(c).cast("double") + F.lit(NUDGE), 6) + F.lit(0.0) for c in cols}) if cols else out
 
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            fixed = ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in cols)
+            fixed = ", ".join(f"round(CAST({c} AS DOUBLE) + {NUDGE}, 6) + 0.0 AS {c}" for c in cols)
             ORACLES[name] = f"SELECT * REPLACE ({fixed}) FROM ({sql}) AS q" if cols else sql
         return fn
 
