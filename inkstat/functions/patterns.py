@@ -1,15 +1,15 @@
 """Regular expressions and word lists.
 
 Everything here is a fixed value: results depend on these exact vocabularies. Patterns avoid
-look-around and back-references where a plain alternative exists and unroll nested braces, so a
-long argument cannot exhaust the regex stack of the executor.
+look-around and back-references where a plain alternative exists, and group repetitions over long
+arguments are possessive, so they cannot exhaust the regex stack of an executor.
 """
 
 from __future__ import annotations
 
-# one level of nested braces, unrolled
-BRACED = r"\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"
-BRACED_NC = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
+# one level of nested braces; possessive, so a repetition is a loop and not a recursion
+BRACED = r"\{([^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+)\}"
+BRACED_NC = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
 
 HEADING = r"\\(?:sub){0,2}section\*?\s*(?:\[[^\]]*\])?" + BRACED_NC
 TOKEN = r"[A-Za-z][A-Za-z\-']*|\d+(?:\.\d+)?"

@@ -57,14 +57,20 @@ def fuzzy_title_join(parsed: DataFrame, known: DataFrame, jaccard: float = 0.85,
         return norm.withColumn("words", F.array_distinct(F.split("norm", " ")))
 
     p, k = words(parsed), words(known)
-    frequency = k.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("f"))
-    rare = p.select("norm", F.explode("words").alias("w")).join(frequency, "w", "left").groupBy("norm").agg(
+    kn = k.select(F.col("norm").alias("known"), F.col("words").alias("kw"), F.col("copies").alias("known_copies"))
+    # under four words only the same word set can pass, which is an equality
+    same = lambda c: F.array_join(F.sort_array(c), " ")
+    short = p.where(F.size("words") < 4).withColumn("key", same("words")).join(kn.where(F.size("kw") < 4).withColumn("key", same("kw")), "key").drop("key")
+    long = p.where(F.size("words") >= 4)
+    entries = k.where(F.size("words") >= 4).select(F.col("norm").alias("known"), F.explode("words").alias("w"))
+    frequency = entries.groupBy("w").agg(F.count(F.lit(1)).alias("f"))
+    rare = long.select("norm", F.explode("words").alias("w")).join(frequency, "w", "left").groupBy("norm").agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "w"))).alias("o"))
     keep = F.size("o") - F.ceil(F.size("o") * F.lit(jaccard) - 1e-9).cast("int") + 1
     probe = rare.select("norm", F.explode(F.slice("o", F.lit(1), keep)).alias("x")).where(F.col("x.f") > 0).select("norm", F.col("x.w").alias("w"))
-    entries = k.select(F.col("norm").alias("known"), F.explode("words").alias("w"))
     pairs = probe.join(entries, "w").select("norm", "known").distinct()
-    full = pairs.join(p, "norm").join(k.select(F.col("norm").alias("known"), F.col("words").alias("kw"), F.col("copies").alias("known_copies")), "known")
+    full = pairs.join(p, "norm").join(kn, "known").select("norm", "words", "copies", "known", "kw", "known_copies").unionByName(
+        short.select("norm", "words", "copies", "known", "kw", "known_copies"))
     common = F.size(F.array_intersect("words", "kw"))
     jac = common / F.size(F.array_union("words", "kw"))
     con = common / F.size("words")
@@ -292,7 +298,7 @@ def tfidf_weights(docs: DataFrame, min_df: int = 2, stop: Sequence[str] = tuple(
     counts = docs.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.concat("w", follow)).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = docs.agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-    idf = df.withColumn("_one", F.lit(1)).join(n, "_one").select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = df.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one").select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = counts.join(idf, "term").select("doc_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("w"))

@@ -58,7 +58,9 @@ def cumulate(cell: DataFrame, group: Sequence[str], value: str, measures: Sequen
     group = list(group)
     keyed = cell if group else cell.withColumn("_all", F.lit(0))
     keys = group or ["_all"]
-    ranged = keyed.join(_ranges(keyed, keys, value, [c for c in cell.columns if c not in (*keys, value)]), keys, "left").withColumn(
+    cuts = _ranges(keyed, keys, value, [c for c in cell.columns if c not in (*keys, value)])
+    # without a group the cuts are one row; with groups their number decides, and AQE measures it
+    ranged = keyed.join(cuts if group else F.broadcast(cuts), keys, "left").withColumn(
         "_range", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
     ).drop("_cuts")
 

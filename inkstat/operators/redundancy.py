@@ -152,7 +152,7 @@ def sweep(units: DataFrame, ns: list[int], taus: list[float]) -> DataFrame:
         rows = sentence_rows(units, n).where("eligible").select("r", F.explode(F.array(*[F.lit(t) for t in taus])).alias("tau"))
         one = rows.groupBy("tau").agg(F.count_if(F.col("r") >= F.col("tau")).alias("n_recycled")).withColumn("n", F.lit(n))
         out = one if out is None else out.unionByName(one)
-    return out.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one").select(
+    return out.withColumn("_one", F.lit(1)).join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one").select(
         "n", "tau", "n_recycled", "n_eligible", (F.col("n_recycled") / F.col("n_eligible")).alias("score"))
 
 

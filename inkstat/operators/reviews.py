@@ -133,7 +133,7 @@ def quality_flags(papers: DataFrame, rules: dict[str, Column]) -> tuple[DataFram
 def length_trim(papers: DataFrame, words: str = "n_words", min_reviews: int = 3) -> DataFrame:
     """Keep papers inside the 1st-99th percentile of length with enough reviews."""
     q = ranks.quantiles(papers, [], words, {"_lo": 0.01, "_hi": 0.99}).drop("n").withColumn("_one", F.lit(1))
-    return papers.withColumn("_one", F.lit(1)).join(q, "_one").where(F.col(words).between(F.col("_lo"), F.col("_hi")) & (F.col("n_reviews") >= min_reviews)).drop("_one", "_lo", "_hi")
+    return papers.withColumn("_one", F.lit(1)).join(F.broadcast(q), "_one").where(F.col(words).between(F.col("_lo"), F.col("_hi")) & (F.col("n_reviews") >= min_reviews)).drop("_one", "_lo", "_hi")
 
 
 def strata_keys(papers: DataFrame, domain: Column) -> DataFrame:
@@ -148,7 +148,7 @@ def authorship_report(papers: DataFrame) -> DataFrame:
     total = papers.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
     b = papers.groupBy(fraction_band(F.col("fraction_ai")).alias("band")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col("accept").cast("int")).alias("accept_rate"), F.avg("rating").alias("mean_rating"), F.stddev_samp("rating").alias("sd_rating"))
-    return b.withColumn("_one", F.lit(1)).join(total, "_one").select("band", "n", (F.col("n") / F.col("_n")).alias("share"), "accept_rate", "mean_rating", "sd_rating")
+    return b.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").select("band", "n", (F.col("n") / F.col("_n")).alias("share"), "accept_rate", "mean_rating", "sd_rating")
 
 
 def accept_gap_at_rating(papers: DataFrame, min_side: int = 20) -> DataFrame:

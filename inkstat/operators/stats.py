@@ -77,7 +77,7 @@ def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def _side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
     """Join two single-row frames."""
-    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return a.withColumn("_one", F.lit(1)).join(F.broadcast(b.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
 def two_sample(df: DataFrame, by: Sequence[str], value: str, label: str = "label") -> DataFrame:
@@ -412,10 +412,10 @@ def poststratify(df: DataFrame, level: str, stratum: str) -> DataFrame:
     n_levels = cells.agg(F.count_distinct(level).alias("_levels"))
     common = (
         cells.groupBy(stratum).agg(F.count(F.lit(1)).alias("_k"), F.sum("_c").alias("_t"))
-        .withColumn("_one", F.lit(1)).join(n_levels.withColumn("_one", F.lit(1)), "_one")
+        .withColumn("_one", F.lit(1)).join(F.broadcast(n_levels.withColumn("_one", F.lit(1))), "_one")
         .where(F.col("_k") == F.col("_levels")).select(stratum, "_t", "_one")
     )
-    target = common.join(common.groupBy("_one").agg(F.sum("_t").alias("_nt")), "_one").select(stratum, (F.col("_t") / F.col("_nt")).alias("_share"))
+    target = common.join(F.broadcast(common.groupBy("_one").agg(F.sum("_t").alias("_nt"))), "_one").select(stratum, (F.col("_t") / F.col("_nt")).alias("_share"))
     kept = cells.join(target, stratum)
     per_level = kept.groupBy(level).agg(F.sum("_c").alias("_nl"))
     weights = kept.join(per_level, level).select(level, stratum, (F.col("_share") / (F.col("_c") / F.col("_nl"))).alias("weight"))

@@ -104,15 +104,15 @@ def source_files(t):
 FILES = """fl AS (SELECT doc_id, l, least(len(l), 5) AS n FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents) WHERE len(l) > 0)"""
 
 
-@query("a9_source_scan", "SELECT lang AS doc_id, count(*) AS n_files, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang")
+@query("a9_source_scan", "SELECT lang AS doc_id, count(DISTINCT doc_id // 100) AS n_files, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY lang")
 def a9(t):
     path = io.scratch(t.spark, "sources")
-    # one folder per language, one file per document, as a document directory would hold them
-    folders = t.documents.select("lang", "text", "doc_id").repartition("lang", "doc_id")
-    files = folders.select(F.col("lang").alias("d"), F.col("doc_id").alias("f"), "text")
+    # one folder per language, one file per hundred document ids, so files grow in number, not in size
+    folders = t.documents.select(F.col("lang").alias("d"), F.expr("doc_id div 100").alias("f"), "text")
+    files = folders.repartition("d", "f")
     files.write.partitionBy("d", "f").option("lineSep", "\n").text(path)
     read = io.read_sources(t.spark, path, ".txt")
-    return read.groupBy(F.regexp_replace("doc_id", "^d=", "").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.length("text") - 1).alias("chars"))
+    return read.groupBy(F.regexp_replace("doc_id", "^d=", "").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("a10_root_file", f"WITH {FILES} SELECT doc_id, 'main.tex' AS root FROM fl")

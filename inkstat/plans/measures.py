@@ -447,18 +447,18 @@ def b18(t):
     return C.merge_paragraphs(chunks).select("doc_id", "para", "text", "context")
 
 
-@query("b21_bibliography", """SELECT o_custkey AS doc_id, 'key' || o_orderkey AS key, 'On ' || o_orderpriority || ' things' AS title, CASE WHEN o_orderkey % 2 = 0 THEN printf('%04d.%05d', o_orderkey % 9000, o_orderkey) END AS arxiv FROM orders""")
+@query("b21_bibliography", """SELECT o_orderkey // 20 AS doc_id, 'key' || o_orderkey AS key, 'On ' || o_orderpriority || ' things' AS title, CASE WHEN o_orderkey % 2 = 0 THEN printf('%04d.%05d', o_orderkey % 9000, o_orderkey) END AS arxiv FROM orders""")
 def b21(t):
     entry = F.concat(F.lit("@article{key"), F.col("o_orderkey"), F.lit(",\n  title = {{On}  "), F.col("o_orderpriority"), F.lit(" things},\n"),
                      F.when(F.col("o_orderkey") % 2 == 0, F.format_string("  eprint = {%04d.%05d},\n", F.col("o_orderkey") % 9000, F.col("o_orderkey"))).otherwise(""), F.lit("}\n"))
-    # one bibliography per customer: bounded by what one document cites
-    bibs = t.orders.select(F.col("o_custkey").alias("doc_id"), entry.alias("e")).groupBy("doc_id").agg(F.array_join(F.collect_list("e"), "").alias("bib"))
+    # twenty consecutive orders make up one bibliography, so no group grows with the data
+    bibs = t.orders.select(F.expr("o_orderkey div 20").alias("doc_id"), entry.alias("e")).groupBy("doc_id").agg(F.array_join(F.collect_list("e"), "").alias("bib"))
     return S.bibliography(bibs)
 
 
-@query("b22_reference_list", """SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS number, 'Smith' AS surname, CAST(year(o_orderdate) AS INT) AS year, 'A study of ' || o_orderpriority AS title FROM orders""")
+@query("b22_reference_list", """SELECT o_orderkey // 20 AS doc_id, CAST(row_number() OVER (PARTITION BY o_orderkey // 20 ORDER BY o_orderkey) AS INT) AS number, 'Smith' AS surname, CAST(year(o_orderdate) AS INT) AS year, 'A study of ' || o_orderpriority AS title FROM orders""")
 def b22(t):
-    per = t.orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.year("o_orderdate").alias("y"), "o_orderpriority"))).alias("r"))
+    per = t.orders.groupBy(F.expr("o_orderkey div 20").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.year("o_orderdate").alias("y"), "o_orderpriority"))).alias("r"))
     text = F.array_join(F.transform("r", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] J. Smith and A. Doe. A study of "), x["o_orderpriority"], F.lit(". In Proc., "), x["y"].cast("string"), F.lit("."))), "\n")
     return S.reference_list(per.select("doc_id", text.alias("refs")), "refs")
 

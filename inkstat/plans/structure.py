@@ -14,8 +14,8 @@ from inkstat.session import cut
 
 
 def q(pattern: str) -> str:
-    """A pattern as a SQL literal."""
-    return "'" + pattern.replace("'", "''") + "'"
+    """A pattern as a SQL literal; the oracle's engine has no possessive quantifiers and needs none."""
+    return "'" + pattern.replace("*+", "*").replace("'", "''") + "'"
 
 
 def chain_sql(text: str, steps) -> str:
