@@ -210,8 +210,7 @@ def tokens(text: Column) -> Column:
 
 def content_tokens(toks: Column) -> Column:
     """Tokens that are neither stop words, numbers nor sentinels."""
-    drop = F.array(*[F.lit(w) for w in [*P.STOP_WORDS, *P.SENTINELS]])
-    return F.filter(toks, lambda t: ~F.array_contains(drop, F.lower(t)) & ~t.rlike(r"^\d"))
+    return F.filter(toks, lambda t: ~F.lower(t).isin([*P.STOP_WORDS, *P.SENTINELS]) & ~t.rlike(r"^\d"))
 
 
 def grams(toks: Column, n: int) -> Column:

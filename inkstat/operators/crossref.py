@@ -86,8 +86,7 @@ def pointers(tokens: DataFrame) -> DataFrame:
     named = named.withColumn("role", role).join(unique_role, ["doc_id", "role"], "left")
 
     def words(text: Column) -> Column:
-        stop = F.array(*[F.lit(w) for w in P.STOP_WORDS])
-        return F.array_distinct(F.filter(F.transform(T.tokens(text), F.lower), lambda w: ~F.array_contains(stop, w) & (F.length(w) > 2)))
+        return F.array_distinct(F.filter(F.transform(T.tokens(text), F.lower), lambda w: ~w.isin(P.STOP_WORDS) & (F.length(w) > 2)))
 
     title_words = body.select("doc_id", F.col("top").alias("hit"), F.explode(words(F.col("title"))).alias("w"))
     key = ["doc_id", "src", "offset", "k"]

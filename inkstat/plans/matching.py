@@ -9,6 +9,7 @@ from inkstat.functions import text as T
 from inkstat.operators import matching as M
 from inkstat.plans.registry import query
 from inkstat.plans.structure import q
+from inkstat.session import cut
 
 NT = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -227,7 +228,7 @@ def tfidf_sides(t):
     docs = t.documents.select("doc_id", "text")
     items = t.benchmark.select((-1 - F.col("item_id")).alias("doc_id"), "text")
     both = docs.unionByName(items)
-    vec = M.tfidf_weights(both)
+    vec = cut(M.tfidf_weights(both))  # written once, read for both sides and the vocabulary
     return vec.where("doc_id < 0"), vec.where("doc_id >= 0")
 
 

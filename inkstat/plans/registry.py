@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstat.session import configure
+from inkstat.session import configure, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,7 +24,9 @@ class Tables:
         self.dir = sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        # text is parsed right behind the scan, so a scan of one split would be a job of one task
+        return spread(table, "doc_id") if name == "documents" else table
 
 
 def query(name: str, sql: str | None = None, floats: tuple[str, ...] | str = ()):
