@@ -269,10 +269,10 @@ def b20(t):
     return S.citation_roles(tex_docs(t))
 
 
-@query("b23_method_figures", f"""WITH {TEX} SELECT doc_id, list_transform(list_filter(regexp_extract_all(tex, {q(r"\\\\caption\\s*(?:\\[[^\\]]*\\])?\\s*".replace(chr(92)*2, chr(92)) + P.BRACED)}, 1), lambda c: regexp_matches(c, {q(P.METHOD_FIGURE)}))[1:3],
-  lambda c: substr(c, 1, 160)) AS captions FROM tx""")
+@query("b23_method_figures", f"""WITH {TEX} SELECT doc_id, array_to_string(list_transform(list_filter(regexp_extract_all(tex, {q(r"\\\\caption\\s*(?:\\[[^\\]]*\\])?\\s*".replace(chr(92)*2, chr(92)) + P.BRACED)}, 1), lambda c: regexp_matches(c, {q(P.METHOD_FIGURE)}))[1:3],
+  lambda c: substr(c, 1, 160)), '|') AS captions FROM tx""")
 def b23(t):
-    return S.method_figures(tex_docs(t))
+    return S.method_figures(tex_docs(t)).select("doc_id", F.array_join("captions", "|").alias("captions"))
 
 
 @query("c7_declared_objects", W + 'SELECT doc_id, object, kind, home, home_role, CAST("offset" AS INT) AS "offset" FROM ob')
