@@ -39,8 +39,8 @@ from inkstat.llm.scratch import Scratch
 BITS = 24
 BANDS, ROWS = 3, 2
 LONG_LIST = 64
-FLUSH = 1 << 21
-GROUP_ELEMENTS = 1_000_000
+FLUSH = 1 << 20
+GROUP_ELEMENTS = 500_000
 
 
 def overlap(percent: int, na, nb):

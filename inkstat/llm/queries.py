@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstat.llm import sql as S
+from inkstat.llm.decontaminate import contaminated
 from inkstat.llm.jaccard import jaccard_components
+from inkstat.llm.language import predict_language
+from inkstat.llm.learning import fold_of
+from inkstat.llm.licenses import scan_licenses
+from inkstat.llm.mixing import mix_to_targets
+from inkstat.llm.quality_model import score_quality
+from inkstat.llm.quality_rules import quality_cascade
+from inkstat.llm.secrets import BASE_KINDS, scan_secrets
+from inkstat.llm.tokens import token_digests
+from inkstat.llm.toxicity import score_toxicity
 from inkstat.session import configure
 
 
@@ -14,10 +25,81 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document."""
+    return scan_licenses(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the quality cascade, with the statistics of the base rules."""
+    stats = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    rows = quality_cascade(table(spark, sf_dir, "documents"), report=stats)
+    return rows.select("doc_id", *stats, F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words").alias("base_failed"), "kept")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the documents at a shingle similarity of 0.8."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_jaccard_join": op3_jaccard_join}
-ORACLES = {"op3_jaccard_join": S.JACCARD}
+def learnable(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """The labels of four folds of five."""
+    return table(spark, sf_dir, "labels").where(fold_of("doc_id", 5) != 0).select("doc_id", F.col(label).alias("label"))
+
+
+def judged(scores: DataFrame, threshold: float) -> DataFrame:
+    held_out = F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from four folds of five."""
+    return judged(score_quality(table(spark, sf_dir, "documents"), learnable(spark, sf_dir, "quality")), 0.3)
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts by base kind, a digest of the base spans, all spans."""
+    base = F.filter("findings", lambda f: f["kind"].isin(*BASE_KINDS))
+
+    def listed(found):
+        return F.array_join(F.transform(found, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+
+    counts = [F.size(F.filter(F.transform("findings", lambda f: f["kind"]), lambda k: k == kind)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    return scan_secrets(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, sources weighing 5, 2, 1."""
+    return mix_to_targets(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of the documents, read back from the file that was written."""
+    return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three folds of four."""
+    held_out = F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False))
+    found = predict_language(table(spark, sf_dir, "documents"), ~held_out & F.col("doc_id").isNotNull())
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from four folds of five."""
+    return judged(score_toxicity(table(spark, sf_dir, "documents"), learnable(spark, sf_dir, "toxic")), 0.5)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, with the best place of each."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_quality_rules, op3_jaccard_join, op4_quality_model, op5_secret_scan,
+        op6_mixing, op7_token_file, op8_language_id, op9_toxicity, op10_decontamination,
+    )
+}
+ORACLES = {"op1_license_scan": S.LICENSES, "op2_quality_rules": S.QUALITY, "op3_jaccard_join": S.JACCARD}

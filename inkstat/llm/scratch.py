@@ -24,11 +24,18 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Bound what one Arrow batch of texts holds in the JVM and in a Python worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return spark
+
+
 class Scratch:
     """A new subfolder for the intermediate tables of one call. ``drop`` deletes those that nothing reads any more."""
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        self.spark = small_batches(spark)
         self.root = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 21
+PIECE = 1 << 19
 U = np.uint64
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -83,14 +83,14 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE) -> I
         a = b
 
 
-def words(buf: np.ndarray, offs: np.ndarray, member: np.ndarray = PLAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start bytes and hashes of all words, and the first word's index of every row (one entry more than rows).
+def words(buf: np.ndarray, offs: np.ndarray, member: np.ndarray = PLAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start bytes, sizes and hashes of all words, and the first word's index of every row (one entry more than rows).
 
     The bytes are taken in parts that end between words, so that temporary arrays stay small for
     a text of any length.
     """
     n = len(buf)
-    all_starts, all_hashes = [], []
+    all_starts, all_sizes, all_hashes = [], [], []
     value, at = byte_values(), 0
     while at < n:
         end = min(n, at + PIECE)
@@ -120,10 +120,12 @@ def words(buf: np.ndarray, offs: np.ndarray, member: np.ndarray = PLAIN) -> tupl
             np.cumsum(value[part] * up[: len(part)], out=total[1:])
             all_hashes.append(mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
             all_starts.append(starts + at)
+            all_sizes.append(ends - starts)
         at = end
     starts = np.concatenate(all_starts) if all_starts else np.empty(0, np.int64)
     hashes = np.concatenate(all_hashes) if all_hashes else np.empty(0, np.uint64)
-    return starts, hashes, np.searchsorted(starts, offs, "left")
+    sizes = np.concatenate(all_sizes) if all_sizes else np.empty(0, np.int64)
+    return starts, sizes, hashes, np.searchsorted(starts, offs, "left")
 
 
 def windows(hashes: np.ndarray, k: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +147,7 @@ def windows(hashes: np.ndarray, k: int, first: np.ndarray) -> tuple[np.ndarray,
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int = 5) -> list[np.ndarray]:
     """Per row the sorted distinct hashes of its k-word shingles; a text of fewer words is one shingle, one without words none."""
-    _, hashes, first = words(buf, offs)
+    _, _, hashes, first = words(buf, offs)
     h, inside = windows(hashes, k, first)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
