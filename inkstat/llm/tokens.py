@@ -17,6 +17,7 @@ An empty table gives empty tables.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -49,6 +50,21 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.cache = Tokenizer.from_file(path), dtype, {}
+        self.model = self.tokenizer.model
+        # the byte-level alphabet, for bytes that do not stand for themselves
+        moved = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+        self.alphabet = {b: chr(256 + i) for i, b in enumerate(moved)}
+        # letters go straight to the model only if the tokenizer's steps before it are known to do no more than this
+        self.direct = all(self.tokenizer.encode(w, add_special_tokens=False).ids == [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.alphabet))] for w in ("the", "été", "größe", "ñandú"))
+
+    def one_piece(self, part: bytes) -> str | None:
+        """What the model sees of a word of lower-case Latin letters, which the tokenizer neither changes nor splits; else null."""
+        if not self.direct:
+            return None
+        word = part.decode()
+        if not word.isalpha() or (not word.isascii() and (max(word) > "\u024f" or not unicodedata.is_normalized("NFC", word))) or word != word.lower():
+            return None
+        return part.decode("latin-1").translate(self.alphabet)
 
     def fresh(self, parts: list[bytes]) -> dict[bytes, bytes]:
         """Ids of parts that the cache lacks; a word and the marks behind it are encoded apart, as the pre-tokeniser splits there."""
@@ -58,7 +74,13 @@ class WordEncoder:
             cuts[p] = (core, p[len(core) :]) if len(core) < len(p) and core[-1:].isalnum() else (p,)
         known = {x: self.cache.get(x) for c in cuts.values() for x in c}
         rest = [x for x, ids in known.items() if ids is None]
-        for x, e in zip(rest, self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)):
+        other = []
+        for x in rest:
+            if (piece := self.one_piece(x)) is None:
+                other.append(x)
+            else:
+                known[x] = np.array([t.id for t in self.model.tokenize(piece)], self.dtype).tobytes()
+        for x, e in zip(other, self.tokenizer.encode_batch_fast([x.decode() for x in other], add_special_tokens=False)):
             known[x] = np.array(e.ids, self.dtype).tobytes()
         if len(self.cache) < CACHE:
             self.cache.update(known)
