@@ -33,7 +33,7 @@ END_ID = 1
 BLOCK = 1 << 16
 STRIDE = 128
 MAX_BITS = 16
-CACHE = 300_000
+CACHE = 800_000
 # marks that the pre-tokeniser always splits off a word that ends in an ASCII letter or digit
 TAIL = b"!#$%&()*+,-./:;=?@[]^_`{}~"
 
