@@ -137,7 +137,7 @@ def profiles(docs: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFram
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(doc_id, items): whole shingle sets of the wanted documents; a bitmap of ids spares most others the exchange, the join decides."""
+    """(doc_id, items): whole shingle sets of the wanted documents; and a few others, as a bitmap of ids chooses them."""
     at = F.expr(f"shiftrightunsigned(xxhash64(doc_id), {64 - BITS})")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(at.alias("at")), "at"))
 
@@ -191,7 +191,7 @@ def linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scr
     load = pairs.groupBy("a").agg(F.greatest(F.lit(1), F.expr(f"cast(ceil(sum(n) / {GROUP_ELEMENTS}) AS int)")).alias("groups"))
     dealt = scratch.save(pairs.join(load, "a").select("a", "b", F.expr("pmod(xxhash64(b), groups)").alias("g")), f"{name}-pairs")
     wanted = dealt.select(F.col("a").alias("doc_id")).union(dealt.select("b")).distinct()
-    sets = scratch.save(sets_of(docs, wanted, k).join(wanted, "doc_id", "left_semi"), f"{name}-sets")
+    sets = scratch.save(sets_of(docs, wanted, k), f"{name}-sets")  # a few more than wanted; the joins below drop them
     asked = dealt.select("a", "g").distinct().join(sets, F.col("a") == sets.doc_id).select("a", "g", F.lit(None).cast("long").alias("b"), "items")
     offered = dealt.join(sets, dealt.b == sets.doc_id).select("a", "g", "b", "items")
 
