@@ -21,7 +21,7 @@ from inkstat.llm.scratch import Scratch
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 def n_words(text: str = "text") -> Column:
