@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -181,7 +182,7 @@ def ranked_candidates(cands: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- assignment
 
 
-def assign(ranked: DataFrame, reserved: DataFrame | None = None, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def assign(ranked: DataFrame, reserved: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """One-to-one assignment by rounds: (assigned, conflicts).
 
     Every open query proposes its best free candidate; a candidate takes the best proposal by
@@ -193,7 +194,7 @@ def assign(ranked: DataFrame, reserved: DataFrame | None = None, max_rounds: int
         pairs = pairs.join(reserved.select("cand_id"), "cand_id", "left_anti")
     pairs = cut(pairs)
     won, lost = [], []
-    for n in range(1, max_rounds + 1):
+    for n in count(1):  # each round but the last assigns a candidate, so it ends
         best = pairs.groupBy("query_id").agg(F.min(F.struct("key", "cand_id", "tier")).alias("b")).select("query_id", "b.cand_id", "b.key", "b.tier")
         judged = best.groupBy("cand_id").agg(F.min(F.struct("key", "query_id", "tier")).alias("w")).select("cand_id", F.col("w.query_id").alias("query_id"), F.col("w.tier").alias("tier"))
         accepted = cut(judged.withColumn("round", F.lit(n)))
@@ -215,21 +216,20 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def serial_assign(ranked: DataFrame, order: str = "query_id", max_rounds: int = 10_000) -> DataFrame:
+def serial_assign(ranked: DataFrame, order: str = "query_id") -> DataFrame:
     """What results when queries pick in turn, each its best candidate nobody earlier took.
 
     All candidates prefer the earlier query, so rejecting later proposers round by round reaches
     the same unique outcome without visiting queries one at a time. ranked: query, cand_id, position.
     """
     pairs = cut(ranked.select(order, "cand_id", "position"))
-    for _ in range(max_rounds):
+    while True:  # each round but the last refuses a pair
         best = pairs.groupBy(order).agg(F.min(F.struct("position", "cand_id")).alias("b")).select(order, "b.cand_id", "b.position")
         holder = best.groupBy("cand_id").agg(F.min(order).alias("_first"))
         refused = cut(best.join(holder, "cand_id").where(F.col(order) > F.col("_first")).select(order, "cand_id"))
         if refused.isEmpty():
             return best
         pairs = cut(pairs.join(refused, [order, "cand_id"], "left_anti"))
-    raise RuntimeError("serial assignment did not settle")
 
 
 def spread_shortlist(ranked: DataFrame, k: int = 3) -> DataFrame:

@@ -24,16 +24,20 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` to the shared folder of the cluster and return the re-read frame.
-
-    The folder is the session's ``spark.checkpoint.dir``; only a session that names none (a
-    local test) gets a folder of its own.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; only a local session that names none gets one of its own."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-ckpt-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` to the shared folder of the cluster and return the re-read frame."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstat.functions import text as T
+from inkstat.session import cut, shared_folder
 
 PAIRS = (
     "pair_id STRING, source STRING, ai_paper_id STRING, human_paper_id STRING, sim_tier INT, pool STRING, relation STRING, "
@@ -24,7 +23,7 @@ SCORES = (
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the session's checkpoint directory (shared on a cluster)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    root = shared_folder(spark)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -65,12 +64,14 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def pattern_dimension(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+def pattern_dimension(spark: SparkSession, path: str, most: int = 1000) -> list[tuple[str, str]]:
     """Ordered (name, pattern) rules of a TSV dimension, for ``first_match``.
 
-    A rule file has a handful of rows; they become one CASE expression.
+    Every rule becomes a branch of one CASE expression, so a file of more than ``most`` rules is an error. Order is that of the lines of one file.
     """
-    rows = spark.read.option("header", "true").option("sep", "\t").option("quote", "").csv(path).limit(1000).collect()
+    rows = spark.read.option("header", "true").option("sep", "\t").option("quote", "").csv(path).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{path} has more than {most} rules")
     return [(r[0], r[1]) for r in rows]
 
 
@@ -89,7 +90,7 @@ def root_file(files: DataFrame, rule: int = 1) -> DataFrame:
     """
     base = F.lower(F.element_at(F.split("path", "/"), -1))
     body = F.col("text").rlike(r"\\begin\{document\}")
-    c = files.where(F.col("text").rlike(r"\\documentclass")).withColumns({
+    c = files.where(F.col("text").rlike(r"\\documentclass") & ((F.lit(rule) == 2) | ~F.col("path").contains("/"))).withColumns({
         "_b": body.cast("int"), "_i": F.regexp_count("text", F.lit(r"\\(?:input|include)\{")), "_l": F.length("text"), "_d": F.size(F.split("path", "/")),
         "_p": F.when(base == "main.tex", 0).when(base.rlike("conference|paper"), 1).otherwise(2)})
     if rule == 1:
@@ -100,45 +101,66 @@ def root_file(files: DataFrame, rule: int = 1) -> DataFrame:
     return c.groupBy("doc_id").agg(F.min(key).alias("k")).select("doc_id", F.col("k.path").alias("root"))
 
 
-INCLUDE = re.compile(r"\\(?:input|include|subfile)\{([^}]+)\}")
+# fixed value: the macros that read another file, with one or two arguments
+INCLUDE = r"\\(?:input|include|subfile)\{([^}]+)\}|\\(?:sub)?import\{([^}]*)\}\{([^}]+)\}"
 
 
-def expand_includes(files: DataFrame, roots: DataFrame, depth: int = 4) -> DataFrame:
-    """Text of the root file with includes expanded in place, each file once, and the missing names.
+def _places(name: Column, here: Column, root: Column) -> Column:
+    """Paths that an include may mean, best first: as written, from the root's folder, from the including file's, flattened, by its last part."""
+    folder = lambda path: F.regexp_extract(path, r"^(.*/)?", 0)
+    names = F.array(name, F.concat(folder(root), name), F.concat(folder(here), name), F.regexp_replace(name, "/", "__"), F.element_at(F.split(name, "/"), -1))
+    plain = F.transform(names, lambda p: F.regexp_replace(F.regexp_replace(p, r"(^|/)(\./)+", "$1"), "/{2,}", "/"))
+    return F.flatten(F.transform(plain, lambda p: F.array(p, F.concat(p, F.lit(".tex")))))
 
-    The files of one document are one group; comments are stripped first, so a commented include
-    stays out.
-    """
-    schema = "doc_id string, tex string, missing array<string>"
-
-    def expand(pdf: pd.DataFrame) -> pd.DataFrame:
-        by_path = dict(zip(pdf["path"], pdf["text"]))
-        seen: set[str] = set()
-        missing: list[str] = []
-
-        def locate(name: str):
-            last = name.rsplit("/", 1)[-1]
-            return next((c for c in (name, name + ".tex", last, last + ".tex") if c in by_path), None)
-
-        def visit(path: str, level: int) -> str:
-            if level > depth or path in seen:
-                return ""
-            seen.add(path)
 
-            def put(m):
-                target = locate(m.group(1).strip())
-                if target is None:
-                    missing.append(m.group(1))
-                    return f"\n% MISSING INPUT {m.group(1)}\n"
-                return "\n" + visit(target, level + 1) + "\n"
+def expand_includes(files: DataFrame, roots: DataFrame, depth: int = 12) -> DataFrame:
+    """(doc_id, tex, missing, cut): the root's text with includes in place, each file once, and the names not found or below ``depth``.
 
-            return INCLUDE.sub(put, by_path[path])
-
-        return pd.DataFrame([(str(pdf["doc_id"].iloc[0]), visit(pdf["root"].iloc[0], 0), missing)], columns=["doc_id", "tex", "missing"])
-
-    clean = files.select(F.col("doc_id").cast("string").alias("doc_id"), "path", T.strip_comments(F.col("text")).alias("text"))
-    rows = clean.join(roots.select(F.col("doc_id").cast("string").alias("doc_id"), "root"), "doc_id")
-    return rows.groupBy("doc_id").applyInPandas(expand, schema)
+    A file is its stretches of text and the includes between them. Each round resolves the
+    includes of one level by a join on paths; a place in the document is the list of positions on
+    the way to it, so the first place of a file is the smallest and the text follows by sorting.
+    Comments are stripped first, so a commented include stays out.
+    """
+    doc = F.col("doc_id").cast("string").alias("doc_id")
+    clean = files.select(doc, "path", T.strip_comments(F.col("text")).alias("text"))
+    macros = F.regexp_extract_all("text", F.lit("(" + INCLUDE + ")"), F.lit(1))
+    part = lambda m, g: F.regexp_extract(m, INCLUDE, g)
+    names = F.transform(macros, lambda m: F.trim(F.when(part(m, 1) != "", part(m, 1)).otherwise(F.concat(part(m, 2), F.when((part(m, 2) != "") & ~part(m, 2).endswith("/"), "/").otherwise(""), part(m, 3)))))
+    parts = cut(clean.select("doc_id", "path", F.split("text", INCLUDE, -1).alias("leads"), names.alias("names")))
+    includes = parts.select("doc_id", F.col("path").alias("here"), F.posexplode("names").alias("k", "name"))
+    paths = parts.select("doc_id", "path")
+
+    level = cut(roots.select(doc, "root", F.array().cast("array<int>").alias("at"), F.col("root").alias("path")).join(paths, ["doc_id", "path"], "left_semi").select("doc_id", "root", "at", "path"))
+    met, lost, deep = level, None, None
+    for n in range(depth + 1):
+        asked = level.withColumnRenamed("path", "here").join(includes, ["doc_id", "here"]).select("doc_id", "root", "here", "name", F.concat("at", F.array(2 * F.col("k") + 1)).alias("at"))
+        if n == depth:
+            deep = asked.select("doc_id", "at", "name")
+            break
+        tried = asked.select("doc_id", "root", "at", "name", F.posexplode(_places(F.col("name"), F.col("here"), F.col("root"))).alias("turn", "path"))
+        found = tried.join(paths, ["doc_id", "path"], "left_semi").groupBy("doc_id", "root", "at").agg(F.min_by("path", "turn").alias("path"))
+        missing = cut(asked.join(found, ["doc_id", "at"], "left_anti").select("doc_id", "at", "name"))
+        lost = missing if lost is None else lost.unionByName(missing)
+        first = met.unionByName(found.select("doc_id", "root", "at", "path")).groupBy("doc_id", "path").agg(F.min("at").alias("first"))
+        level = cut(found.join(first, ["doc_id", "path"]).where("at = first").select("doc_id", "root", "at", "path"))
+        if level.isEmpty():
+            break
+        met = met.unionByName(level)
+    first = met.groupBy("doc_id", "path").agg(F.min("at").alias("at"))
+    k = F.size("leads")
+    text = first.join(parts, ["doc_id", "path"]).select("doc_id", F.col("at").alias("up"), k.alias("k"), F.posexplode("leads").alias("p", "lead"))
+    text = text.select("doc_id", F.concat("up", F.array(2 * F.col("p"))).alias("at"), F.concat(F.when(F.col("p") > 0, "\n").otherwise(""), "lead", F.when(F.col("p") < F.col("k") - 1, "\n").otherwise("")).alias("text"))
+    if lost is not None:
+        # a place inside a repeated file was never visited, so every missing name is in the text
+        text = text.unionByName(lost.select("doc_id", "at", F.concat(F.lit("% MISSING INPUT "), "name").alias("text")))
+    out = text.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "").alias("tex"))
+
+    def listed(rows: DataFrame | None, name: str) -> DataFrame:
+        rows = out.select("doc_id", F.lit(None).cast("array<int>").alias("at"), F.lit("").alias("name")).limit(0) if rows is None else rows
+        return rows.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias(name))
+
+    out = out.join(listed(lost, "missing"), "doc_id", "left").join(listed(deep, "cut"), "doc_id", "left")
+    return out.select("doc_id", "tex", *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("missing", "cut")))
 
 
 def exclude(papers: DataFrame, exclusions: DataFrame) -> tuple[DataFrame, DataFrame]:
