@@ -34,9 +34,9 @@ ROLE_WORDS = {
 
 
 def find_all(text: Column, pattern: str) -> Column:
-    """Every match as ARRAY<STRUCT<start INT, match STRING, rest STRING>>; rest runs to the next match."""
+    """Every match, none inside another, as ARRAY<STRUCT<start INT, match STRING, rest STRING>>; rest runs to the next match."""
     clean = F.regexp_replace(text, T.MARK, " ")
-    parts = F.split(F.regexp_replace(clean, f"(?={pattern})", T.MARK), T.MARK)
+    parts = F.split(F.regexp_replace(clean, f"({pattern})", T.MARK + "$1"), T.MARK)
     starts = F.aggregate(parts, F.array(F.lit(0)), lambda a, p: F.array_append(a, F.element_at(a, -1) + F.length(p)))
 
     def place(part: Column, start: Column) -> Column:
@@ -57,11 +57,17 @@ def tex_tokens(docs: DataFrame, tex: str = "tex") -> DataFrame:
         F.when(heading.isNotNull(), "head").when(match.startswith(r"\begin{"), "begin").when(match.startswith(r"\end{"), "end")
         .when(match.startswith(r"\label{"), "label").when(match.startswith("\\appendix"), "appendix").when(match.rlike(r"^\\[cC]ite"), "cite").otherwise("ref")
     )
-    found = docs.select("doc_id", F.inline(find_all(F.col(tex), TOKEN_AT)))
+
+    def with_label(m: Column) -> Column:
+        """A heading whose title holds a label gives both."""
+        label = F.struct((m["start"] + F.instr(m["match"], "\\label{") - 1).cast("int").alias("start"), F.regexp_extract(m["match"], r"\\label\{[^}]+\}", 0).alias("match"), F.lit("").alias("rest"))
+        return F.when(m["match"].rlike(r"^\\(?:sub)*section") & m["match"].rlike(r"\\label\{[^}]+\}"), F.array(m, label)).otherwise(F.array(m))
+
+    found = docs.select("doc_id", F.inline(F.flatten(F.transform(find_all(F.col(tex), TOKEN_AT), with_label))))
     rows = found.select(
         "doc_id", F.col("start").alias("offset"), kind.alias("kind"), F.length(match).alias("width"),
         F.when(kind == "head", ((F.length(heading) - 8) / 3 + 1).cast("int")).alias("level"),
-        F.when(kind == "head", F.regexp_extract(match, r"section\*?\s*(?:\[[^\]]*\])?" + P.BRACED, 1)).alias("title"),
+        F.when(kind == "head", F.regexp_replace(F.regexp_extract(match, r"section\*?\s*(?:\[[^\]]*\])?" + P.BRACED, 1), r"\s*\\label\{[^}]*\}", "")).alias("title"),
         match.rlike(r"^\\(?:sub)*section\*").alias("starred"),
         F.when(kind.isin("begin", "end"), F.regexp_replace(env, r"\*$", "")).when(kind == "ref", ref).alias("name"),
         F.when(kind == "label", F.trim(F.regexp_extract(match, r"\{([^}]+)\}", 1)))

@@ -267,3 +267,13 @@ def test_role_words_resolve_in_order(spark):
     df = spark.createDataFrame([("1 Introduction",), ("Related Work on Methods",), ("Our Proposed Model",), ("Ethics Statement",), ("Zebra",)], "t string")
     assert [r[0] for r in df.select(T.role_of(F.col("t"))).collect()] == ["Intro", "Related", "Method", "Conclusion", "Other"]
     assert len(P.ROLES) == 7
+
+
+def test_headings_keep_macros_and_labels_in_their_titles(spark):
+    from inkstat.operators import structure as S
+
+    tex = "\\begin{document}\\section{Introduction \\label{sec:intro}} a \\ref{sec:m}\\section[M]{Method of \\citet{k}}\\label{sec:m} b\\section*{Results} c\\end{document}"
+    tokens = S.tex_tokens(spark.createDataFrame([(1, tex)], "doc_id long, tex string")).cache()
+    titles = [(r["title"], r["starred"]) for r in S.sections(tokens).orderBy("offset").collect()]
+    assert titles == [("Introduction", False), ("Method of k", False), ("Results", True)]
+    assert sorted(r["label"] for r in S.labels(tokens).collect()) == ["sec:intro", "sec:m"]
