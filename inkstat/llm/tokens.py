@@ -17,6 +17,7 @@ An empty table gives empty tables.
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -61,12 +62,17 @@ class WordEncoder:
         """What the model sees of a word of lower-case Latin letters, which the tokenizer neither changes nor splits; else null."""
         if not self.direct:
             return None
+        if part.isalpha():  # ASCII letters, which stand for themselves
+            return part.decode() if part.islower() else None
         word = part.decode()
-        if not word.isalpha() or (not word.isascii() and (max(word) > "\u024f" or not unicodedata.is_normalized("NFC", word))) or word != word.lower():
+        if not word.isalpha() or max(word) > "\u024f" or not unicodedata.is_normalized("NFC", word) or word != word.lower():
             return None
         return part.decode("latin-1").translate(self.alphabet)
 
-    def fresh(self, parts: list[bytes]) -> dict[bytes, bytes]:
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype == '<u2' else 'I'}", *ids)
+
+    def fresh(self, parts: set[bytes]) -> dict[bytes, bytes]:
         """Ids of parts that the cache lacks; a word and the marks behind it are encoded apart, as the pre-tokeniser splits there."""
         cuts = {}
         for p in parts:
@@ -79,9 +85,9 @@ class WordEncoder:
             if (piece := self.one_piece(x)) is None:
                 other.append(x)
             else:
-                known[x] = np.array([t.id for t in self.model.tokenize(piece)], self.dtype).tobytes()
+                known[x] = self.packed([t.id for t in self.model.tokenize(piece)])
         for x, e in zip(other, self.tokenizer.encode_batch_fast([x.decode() for x in other], add_special_tokens=False)):
-            known[x] = np.array(e.ids, self.dtype).tobytes()
+            known[x] = self.packed(e.ids)
         if len(self.cache) < CACHE:
             self.cache.update(known)
         return {p: b"".join(known[x] for x in c) for p, c in cuts.items()}
@@ -89,15 +95,15 @@ class WordEncoder:
     def batch(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian ids of each text, without an end id."""
         split = [(t.lower() if b"\xcc" not in t and b"\xcd" not in t and b"<|" not in t else t).split() for t in texts]
-        new = set().union(*split) - self.cache.keys()
-        found = self.fresh(list(new))
+        rows = [list(map(self.cache.get, s)) for s in split]
+        holes = [[k for k, ids in enumerate(r) if ids is None] if None in r else [] for r in rows]
+        found = self.fresh({s[k] for s, h in zip(split, holes) for k in h})
         if len(self.cache) < CACHE:
             self.cache.update(found)
-            look = self.cache.__getitem__
-        else:
-            cache = self.cache
-            look = lambda w: cache[w] if w in cache else found[w]
-        return [b"".join(map(look, s)) for s in split]
+        for s, r, h in zip(split, rows, holes):
+            for k in h:
+                r[k] = found[s[k]]
+        return [b"".join(r) for r in rows]
 
 
 ENCODERS: dict[tuple[str, str], WordEncoder] = {}
