@@ -380,6 +380,34 @@ def test_decontamination_finds_altered_items_and_nothing_else(spark, docs, empty
     assert D.contaminated(docs, odd.limit(0)).count() == 0 and D.contaminated(empty, odd).count() == 0
 
 
+def altered(text, rng, letters, share=None):
+    """One edit in every word, or edits at ``share`` of the characters: replaced, lost or inserted ones."""
+    at = [int(m.start() + rng.integers(len(m[0]))) for m in re.finditer(r"\S+", text)] if share is None else rng.choice(len(text), int(share * len(text)), replace=False).tolist()
+    out = list(text)
+    for i in at:
+        c = str(rng.choice(letters))
+        out[i] = [c, "", out[i] + c][int(rng.integers(3))] if text[i] != " " else " " + c
+    return "".join(out)
+
+
+def test_decontamination_recall_of_edits_spread_over_all_words(spark):
+    rng, letters = np.random.default_rng(8), list("abcdefghijklmnopqrst")
+    word = lambda least=3: "".join(rng.choice(letters, int(rng.integers(least, 9))))
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()]
+    items = dict(enumerate([" ".join(re.findall(r"\w+", t)).lower() for t in texts] + [" ".join(word() for _ in range(n)) for n in (12, 14, 20, 30, 40, 50) * 5]))
+    rows, want = [], []
+    for i, item in items.items():
+        for j, share in enumerate([None, 0.15, 0.2, 0.24, 0.24]):
+            held = altered(item, rng, letters, share)
+            rows.append((10 * i + j, " ".join([*(word() for _ in range(int(rng.integers(0, 40)))), held, *(word() for _ in range(int(rng.integers(0, 40))))])))
+            if D.edit_distance(item, rows[-1][1])[0] <= 0.25 * len(item):
+                want.append((10 * i + j, i))
+    found = {(r["doc_id"], r["item_id"]) for r in D.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert len(want) >= 0.9 * len(rows) and len(found & set(want)) >= 0.98 * len(want)
+    by_id = dict(rows)
+    assert all(D.edit_distance(items[k], by_id[d])[0] <= 0.25 * len(items[k]) for d, k in found)
+
+
 def test_pipeline_stages_take_effect(spark):
     docs, columns = spark.read.parquet(f"{SF}/documents.parquet"), None
     scratch, kept = Scratch(spark), {}
