@@ -408,6 +408,27 @@ def test_decontamination_recall_of_edits_spread_over_all_words(spark):
     assert all(D.edit_distance(items[k], by_id[d])[0] <= 0.25 * len(items[k]) for d, k in found)
 
 
+def test_decontamination_finds_short_items_at_every_place_and_in_any_partitioning(spark):
+    rng, letters = np.random.default_rng(9), list("abcdefghijklmnopqrst")
+    word = lambda: "".join(rng.choice(letters, int(rng.integers(2, 9))))
+    items = {i: " ".join(word() for _ in range(n)) for i, n in enumerate([1, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 16] * 2)}
+    rows = []
+    for i, item in items.items():
+        for j in range(6):
+            body = [word() for _ in range(int(rng.integers(0, 30)))]
+            at = int(rng.integers(0, len(body) + 1))
+            rows.append((10 * i + j, " ".join([*body[:at], item if j < 3 else altered(item, rng, letters, 0.2), *body[at:]])))
+    want = set()
+    for d, text in rows:
+        for k, item in items.items():
+            few = len(item) * 0.25 < 2
+            if D.edit_distance(f" {item} " if few else item, f" {text} ")[0] <= 0.25 * len(item):
+                want.add((d, k))
+    table, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    one, many = (sorted(map(tuple, D.contaminated(t, bench).collect())) for t in (table.coalesce(1), table.repartition(7)))
+    assert one == many and {(r[0], r[1]) for r in one} == want and {(10 * i + j, i) for i in items for j in range(3)} <= want
+
+
 def test_pipeline_stages_take_effect(spark):
     docs, columns = spark.read.parquet(f"{SF}/documents.parquet"), None
     scratch, kept = Scratch(spark), {}
