@@ -134,6 +134,15 @@ def test_reverting_changes_rebuilds_paragraphs(spark):
     assert (size["lines_added"], size["lines_removed"]) == (sum(x[0] == "+" for x in diff), sum(x[0] == "-" for x in diff))
 
 
+def test_a_change_without_a_verdict_is_put_back(spark):
+    side = lambda t: spark.createDataFrame([(1, "m", t), (2, "n", t)], "doc_id long, file string, text string")
+    a, b = "A one\n\nB two\n\nC three", "A one\n\nB changed\n\nC three\n\nD new"
+    ch = versions.paragraph_changes(side(a), side(b)).where("doc_id = 1 AND op = 'replace'").withColumn("verdict", F.lit("keep"))
+    got = {r["doc_id"]: r for r in versions.apply_verdicts(side(a), side(b), ch).collect()}
+    assert "B changed" in got[1]["text"] and "D new" not in got[1]["text"] and (got[1]["kept"], got[1]["reverted"]) == (1, 1)
+    assert got[2]["text"] == a and (got[2]["kept"], got[2]["reverted"]) == (0, 2)
+
+
 def test_carry_forward_and_complete_cases(spark):
     s = spark.createDataFrame([("a", 1, 0, "m", 0.5), ("a", 1, 2, "m", 0.1)], "arm string, code long, round int, item string, score double")
     got = [r["score"] for r in versions.carry_forward(s, [0, 1, 2, 3]).orderBy("round").collect()]
