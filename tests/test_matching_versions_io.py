@@ -143,6 +143,31 @@ def test_a_change_without_a_verdict_is_put_back(spark):
     assert got[2]["text"] == a and (got[2]["kept"], got[2]["reverted"]) == (0, 2)
 
 
+def test_moved_and_repeated_paragraphs_keep_the_other_changes_apart(spark):
+    rng = random.Random(3)
+    texts = {1: (["M", "A", "B", "C", "D", "E"], ["A", "B2", "C", "D", "E", "M"]), 2: (["A", "R", "B", "R", "C"], ["A", "R", "R", "B", "R", "C2"]), 3: (["R"] * 5, ["R"] * 3 + ["X"] + ["R"] * 2), 4: (["A"], ["B"])}
+    for k in range(5, 25):
+        a = [rng.choice("ABCDEFGHIJ") for _ in range(rng.randint(1, 12))]
+        b = [x for x in rng.sample(a, len(a)) if rng.random() < 0.8] + ["Z"] if k % 2 else [rng.choice("ABCDEFGHIJ") for _ in range(8)]
+        texts[k] = (a, b)
+    a, b = (spark.createDataFrame([(k, "m", "\n\n".join(v[side])) for k, v in texts.items()], "doc_id long, file string, text string") for side in (0, 1))
+    ch = versions.paragraph_changes(a, b).cache()
+    rows = {k: [] for k in texts}
+    for r in sorted(ch.collect(), key=lambda r: (r["doc_id"], r["i1"], r["j1"])):
+        rows[r["doc_id"]].append(r)
+    assert [(r["op"], r["original"], r["revised"]) for r in rows[1]] == [("delete", "M", ""), ("replace", "B", "B2"), ("insert", "", "M")]
+    assert [(r["op"], r["original"], r["revised"]) for r in rows[2]] == [("insert", "", "R"), ("replace", "C", "C2")]
+    assert [(r["op"], r["revised"]) for r in rows[3]] == [("insert", "X")]
+    for k, (x, y) in texts.items():
+        i = j = 0
+        for r in rows[k]:
+            assert x[i : r["i1"]] == y[j : r["j1"]] and not set(x[r["i1"] : r["i2"]]) & set(y[r["j1"] : r["j2"]])
+            i, j = r["i2"], r["j2"]
+        assert x[i:] == y[j:]
+    back = versions.apply_verdicts(a, b, ch.limit(0).withColumn("verdict", F.lit("keep")))
+    assert {r["doc_id"]: r["text"].split() for r in back.collect()} == {k: v[0] for k, v in texts.items()}
+
+
 def test_carry_forward_and_complete_cases(spark):
     s = spark.createDataFrame([("a", 1, 0, "m", 0.5), ("a", 1, 2, "m", 0.1)], "arm string, code long, round int, item string, score double")
     got = [r["score"] for r in versions.carry_forward(s, [0, 1, 2, 3]).orderBy("round").collect()]
