@@ -7,7 +7,7 @@ document of the token file. A stage works on all that the one before it kept.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstat.llm.decontaminate import contaminated
@@ -17,6 +17,7 @@ from inkstat.llm.queries import learnable, table
 from inkstat.llm.scratch import Scratch
 from inkstat.llm.tokens import token_digests
 from inkstat.llm.toxicity import score_toxicity
+from inkstat.session import cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,18 +25,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, learnable(spark, sf_dir, "toxic"), tuple(docs.columns)).where("score < 0.5").select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``_key`` for every row, equal for rows that are equal in all columns; ids can be null or repeated."""
+    return docs.withColumn("_key", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
+
+
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every component at a 5-word Jaccard similarity of 0.8; documents without an id stay."""
-    copies = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(copies, "doc_id", "left_anti").withColumn("_row", F.row_number().over(order)).where("_row = 1 OR doc_id IS NULL")
-    return kept.select(*docs.columns)
+    """The row of the smallest id of every component at a 5-word Jaccard similarity of 0.8.
+
+    Each row is a text of its own, whether its id is null or repeated: of near copies one row stays,
+    without an id only if none has one; texts of one id that are no near copies all stay. Of equal rows one stays.
+    """
+    rows = keyed(docs)
+    links = cut(jaccard_components(rows.select(F.col("_key").alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("_key"), "component_id").distinct())
+    members = links.union(links.select("component_id", "component_id")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key"))
+    leaders = members.join(rows.select("_key", "doc_id"), "_key").groupBy("component_id").agg(first.alias("first")).select("first._key")
+    return rows.join(members.join(leaders, "_key", "left_anti").select("_key"), "_key", "left_anti").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold no benchmark item, whether their id is null or repeated."""
+    rows = keyed(docs)
+    leaks = contaminated(rows.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_key")).distinct()
+    return rows.join(leaks, "_key", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -429,6 +429,19 @@ def test_decontamination_finds_short_items_at_every_place_and_in_any_partitionin
     assert one == many and {(r[0], r[1]) for r in one} == want and {(10 * i + j, i) for i in items for j in range(3)} <= want
 
 
+def test_pipeline_keeps_dissimilar_texts_of_one_id_and_searches_rows_without_one(spark):
+    columns = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").schema
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    near, far, other, lone = (" ".join(f"{w}{i}" for i in range(60)) for w in ("near", "far", "other", "lone"))
+    rows = [(7, near), (7, near + " end"), (7, far), (3, near), (3, other), (3, other), (None, other + " end"), (None, lone), (None, lone), (None, None), (None, f"before {item} after"), (7, f"x {item}"), (7, "clean text")]
+    docs = spark.createDataFrame(rows, columns)
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    kept = sorted(map(tuple, corpus_pipeline.keep_one_of_near_copies(spark, docs.where("text IS NULL OR NOT text LIKE '%after' AND NOT text LIKE 'x %'"), SF).collect()), key=order)
+    assert kept == sorted([(3, near), (7, far), (3, other), (None, lone), (None, None), (7, "clean text")], key=order)
+    clean = sorted(map(tuple, corpus_pipeline.drop_contaminated(spark, docs, SF).collect()), key=order)
+    assert clean == sorted(rows[:10] + rows[12:], key=order)
+
+
 def test_pipeline_stages_take_effect(spark):
     docs, columns = spark.read.parquet(f"{SF}/documents.parquet"), None
     scratch, kept = Scratch(spark), {}
