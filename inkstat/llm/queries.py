@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstat.llm import sql as S
+from inkstat.llm.align import align_tokenizers
+from inkstat.llm.chat import as_log, conversation_digests, format_chats
+from inkstat.llm.codes import books_digest, compress_vectors, with_label_error
 from inkstat.llm.decontaminate import contaminated
 from inkstat.llm.jaccard import jaccard_components
 from inkstat.llm.language import predict_language
@@ -95,11 +98,35 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that quotes the template, formatted, read back from the files and parsed."""
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoting = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return conversation_digests(format_chats(as_log(rows.union(quoting))))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product code of every vector, its error, the error of its label, and a digest of the codebooks."""
+    codes, books = compress_vectors(table(spark, sf_dir, "embeddings"))
+    digest = F.lit("" if books is None else books_digest(books))
+    return with_label_error(codes).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of a byte-level and a piece tokenizer over every document, with corpus-wide counts of linked ids."""
+    groups = F.col("groups")
+    n_groups = F.when(groups == "", 0).otherwise(F.regexp_count(groups, F.lit(";")) + 1).cast("long")
+    keep = {"doc_id": F.col("doc_id"), "n_a": F.col("n_a"), "n_b": F.col("n_b"), "n_groups": n_groups, "groups_sha256": F.when(groups == "", "").otherwise(F.sha2(groups, 256))}
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_quality_rules, op3_jaccard_join, op4_quality_model, op5_secret_scan,
         op6_mixing, op7_token_file, op8_language_id, op9_toxicity, op10_decontamination,
+        op11_chat_format, op12_vector_codes, op13_token_alignment,
     )
 }
-ORACLES = {"op1_license_scan": S.LICENSES, "op2_quality_rules": S.QUALITY, "op3_jaccard_join": S.JACCARD}
+ORACLES = {"op1_license_scan": S.LICENSES, "op2_quality_rules": S.QUALITY, "op3_jaccard_join": S.JACCARD, "op11_chat_format": S.CHATS, "op12_vector_codes": S.CODES}

@@ -59,3 +59,41 @@ s AS (SELECT d.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS wo
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR 4 * n_dup_lines > 3 * n_lines OR word_chars > 20 * n_words OR word_chars < 2 * n_words OR 5 * n_exclaims > n_words OR 2 * n_upper > n_letters) AS kept
 FROM s"""
+
+# turns and mask straight from the rows; only the length needs the template's rule for control strings
+CHATS = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)(/?s>|</?SYS>>|/?INST\]|/?ROLE\]|BODY\])', '\1\\\2\3', 'g')) AS n,
+        CASE role WHEN 'system' THEN 8 + 11 WHEN 'user' THEN 7 + 8 WHEN 'assistant' THEN 4 + 5
+          ELSE 7 + length(regexp_replace(role, '([<\[])(\\*)(/?s>|</?SYS>>|/?INST\]|/?ROLE\]|BODY\])', '\1\\\2\3', 'g')) + 8 + 8 END AS marks FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, sum(n + marks)::BIGINT AS formatted_chars FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+
+
+def codes_sql(rounds: int = 6, parts: int = 8, entries: int = 16) -> str:
+    """Lloyd rounds unrolled: every part against every entry, each round from the one before."""
+    ctes = [
+        "q AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings"
+        " WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS (SELECT vec_id, label, j, v[j * (len(v) // {parts}) + 1 : (j + 1) * (len(v) // {parts})] AS v FROM q, (SELECT unnest(range({parts})) AS j))",
+        f"c0 AS (SELECT j, row_number() OVER (PARTITION BY j ORDER BY vec_id) - 1 AS e, v FROM p QUALIFY e < {entries})",
+    ]
+    for k in range(rounds + 1):
+        ctes.append(
+            f"a{k} AS (SELECT p.vec_id, p.label, p.j, p.v, c.e, list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p JOIN c{k} c ON c.j = p.j"
+            " QUALIFY row_number() OVER (PARTITION BY p.vec_id, p.j ORDER BY d, c.e) = 1)")
+        if k < rounds:
+            ctes += [
+                f"u{k} AS (SELECT j, e, unnest(v) AS x, unnest(range(len(v))) AS i FROM a{k})",
+                f"s{k} AS (SELECT j, e, i, sum(x)::BIGINT AS s, count(*) AS n FROM u{k} GROUP BY ALL)",
+                f"m{k} AS (SELECT j, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{k} GROUP BY ALL)",
+                f"c{k + 1} AS (SELECT c.j, c.e, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN m{k} m USING (j, e))",
+            ]
+    ctes.append(f"r AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY j) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY ALL)")
+    book = f"(SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY j, e)) FROM c{rounds})"
+    return f"WITH {', '.join(ctes)} SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, {book} AS codebooks_sha256 FROM r"
+
+
+CODES = codes_sql()
