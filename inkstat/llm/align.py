@@ -3,7 +3,7 @@
 Every text is tokenised whole by a byte-level BPE (A, of space + text) and a piece model (B, which adds the space
 itself). Where an A token and a B token that are marked with a space start at the same byte, the ends before them are shared:
 these anchors cut a document into windows of ids. A window's alignment depends on its ids alone, so it is looked up by
-the pair of id tuples and computed once per worker. Inside a window every byte where both sides end a
+the pair of id tuples and computed once per task. Inside a window every byte where both sides end a
 token closes a group, and links the two tokens that end there. No token is empty, so a group has one link.
 
 Counts: two tokens that end together in one string are suffixes of each other, so the pairs that can
@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ from inkstat.llm.scratch import Scratch
 CACHE = 300_000
 LONGEST = 48
 SPACE_MARK = "▁"
+# what stands for a part with white space at an edge, and for one whose tokens spell something else
+EDGE, UNLIKE = "edge", "unlike"
 APART = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -64,7 +68,9 @@ class Pairs:
         # words between single spaces can be tokenised one by one unless a piece reaches over a space
         self.apart = not any(SPACE_MARK in w.lstrip(SPACE_MARK) for w in names)
         self.keys = self.possible()
-        self.place = {int(k): n for n, k in enumerate(self.keys)}
+        # an id as text with what follows it in the text form of groups: A's, then B's ids
+        self.n_a, self.n_b = len(self.a_length), len(self.b_length)
+        self.forms = [f"{i}{mark}" for size, marks in ((self.n_a, ",|"), (self.n_b, (",", ";", ""))) for mark in marks for i in range(size)]
 
     @staticmethod
     def facts(tokens: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,83 +105,120 @@ class Aligner:
 
     def __init__(self, pairs: Pairs):
         self.p = pairs
-        self.words: dict[str, tuple[bytes, bytes] | None] = {}
+        self.parts: dict[str, tuple[int, int, str, bytes] | str] = {}
         self.windows: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of both sides as 32-bit numbers; None where the tokens do not spell space + text."""
-        a = self.p.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Ids of both sides, and whether both spell space + text."""
+        spelled = [b" " + t.encode() for t in texts]
+        a = [x.ids for x in self.p.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         b = self.p.b.encode(texts, num_threads=1)
-        spelled = [(" " + t).encode() for t in texts]
-        good = (b"".join(map(self.p.a_bytes.__getitem__, x.ids)) == s and b"".join(map(self.p.b_bytes.__getitem__, y)) == s for x, y, s in zip(a, b, spelled))
-        return [(np.array(x.ids, dtype="<u4").tobytes(), np.array(y, dtype="<u4").tobytes()) if ok else None for x, y, ok in zip(a, b, good)]
+        length, good = [len(x) for x in spelled], [True] * len(texts)
+        for side, of in ((a, self.p.a_bytes), (b, self.p.b_bytes)):
+            flat = [of[i] for x in side for i in x]
+            stops = np.cumsum([0, *map(len, flat)])[np.cumsum([0, *map(len, side)])]
+            # all at once if they do, else one by one
+            if np.diff(stops).tolist() != length or b"".join(flat) != b"".join(spelled):
+                good = [g and b"".join(map(of.__getitem__, x)) == s for g, x, s in zip(good, side, spelled)]
+        return a, b, good
+
+    def meet(self, split: list[list[str]]) -> None:
+        """Tokenise and align the parts of texts that are not known yet."""
+        fresh = set().union(*split) - self.parts.keys()
+        if len(self.parts) + len(fresh) > CACHE:  # start anew with the parts of these texts
+            self.parts, self.windows, fresh = {}, {}, set().union(*split)
+        edges = {w for w in fresh if not w or w[0].isspace() or w[-1].isspace()}
+        self.parts.update(dict.fromkeys(edges, EDGE))
+        self.parts.update(self.whole(list(fresh - edges)))
+
+    def whole(self, texts: list[str]) -> dict[str, tuple[int, int, str, bytes] | str]:
+        """Each text, tokenised in one go: token numbers, groups, links; ``UNLIKE`` where the tokens do not spell it."""
+        a, b, good = self.encode(texts)
+        out: dict[str, tuple[int, int, str, bytes] | str] = {t: UNLIKE for t, g in zip(texts, good) if not g}
+        texts, a, b = ([x for x, g in zip(side, good) if g] for side in (texts, a, b))
+        if not texts:
+            return out
+        # texts laid end to end: every one starts with a space on both sides, so they are apart at anchors
+        windows, first = self.anchored(array("I", chain.from_iterable(a)).tobytes(), array("I", chain.from_iterable(b)).tobytes(), np.cumsum([0, *map(len, a)])[:-1])
+        fresh = self.learn([w for w in set(windows) if w not in self.windows])
+        hits = [self.windows[w] if w in self.windows else fresh[w] for w in windows]
+        self.windows.update((w, x) for w, x in fresh.items() if len(w[0]) + len(w[1]) <= 8 * LONGEST)
+        for text, left, right, s, e in zip(texts, a, b, first, [*first[1:], len(hits)]):
+            groups, links = zip(*hits[s:e])
+            out[text] = (len(left), len(right), ";".join(groups), b"".join(links))
+        return out
 
-    def tokens(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Both token lists of every text.
+    def documents(self, texts: list[str]) -> list[tuple[int, int, str, bytes]]:
+        """Token numbers, groups and links of every text; nothing where the tokens do not spell space + text.
 
-        A token of either side starts at a single space between two other characters, so the text between such
-        spaces is tokenised on its own, each different one once; a text in which one of them is not spelled is tokenised in one go.
+        A token of either side starts at a single space between two other characters, so the parts between such spaces
+        are tokenised by themselves, each different one once; a text with a part that is not spelled is tokenised in one go.
         """
-        if not self.p.apart:
-            return self.encode(texts)
-        split = [t.split(" ") for t in texts]
-        for n, (text, words) in enumerate(zip(texts, split)):
+        if self.p.apart:
+            split = [t.split(" ") for t in texts]
+            self.meet(split)
+            found = [[self.parts[w] for w in words] for words in split]
             # white space around a space: cut only where both neighbours are other characters
-            if not all(words) or any(w[0].isspace() or w[-1].isspace() for w in words):
-                split[n] = APART.split(text)
-        fresh = list(set().union(*split) - self.words.keys())
-        known = self.words
-        if len(known) + len(fresh) > CACHE:  # start anew with the words of these texts
-            self.words = known = {}
-            fresh = list(set().union(*split))
-        known.update(zip(fresh, self.encode(fresh)))
-        out: list[tuple[bytes, bytes] | None] = []
-        for text, words in zip(texts, split):
-            parts = [known[w] for w in words]
-            if None in parts:
-                out.append(self.encode([text])[0])
+            loose = {n: APART.split(texts[n]) for n, f in enumerate(found) if EDGE in f}
+            fresh = set().union(*loose.values())
+            more = {w: x for w in fresh if (x := self.parts.get(w, EDGE)) is not EDGE}
+            more |= self.whole([w for w in fresh if w not in more])
+            for n, words in loose.items():
+                found[n] = [more[w] for w in words]
+            for w in {w for words in split for w in words if len(w) > LONGEST}:
+                self.parts.pop(w, None)
+        else:
+            found = [[UNLIKE]] * len(texts)
+        odd = self.whole([t for t, f in zip(texts, found) if UNLIKE in f])
+        out = []
+        for text, parts in zip(texts, found):
+            if UNLIKE in parts:
+                parts = [odd[text]]
+            if UNLIKE in parts:
+                out.append((0, 0, "", b""))
             else:
-                out.append((b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])))
-        for word in fresh:
-            if len(word) > LONGEST:
-                known.pop(word, None)
+                n_a, n_b, groups, links = zip(*parts)
+                out.append((sum(n_a), sum(n_b), ";".join(groups), b"".join(links)))
         return out
 
-    def window(self, a: bytes, b: bytes) -> tuple[str, bytes]:
-        """Groups and links of one window: the text form, and places in the list of pairs."""
-        left, right = np.frombuffer(a, "<u4").tolist(), np.frombuffer(b, "<u4").tolist()
-        a_end = np.cumsum(self.p.a_length[left]).tolist()
-        at_b = {end: k for k, end in enumerate(np.cumsum(self.p.b_length[right]).tolist())}
-        groups, links, i0, j0 = [], [], 0, 0
-        for i, end in enumerate(a_end):
-            j = at_b.get(end)
-            if j is not None:
-                groups.append(",".join(map(str, left[i0:i + 1])) + "|" + ",".join(map(str, right[j0:j + 1])))
-                links.append(self.p.place[(left[i] << 32) + right[j]])
-                i0, j0 = i + 1, j + 1
-        return ";".join(groups), np.array(links, dtype="<u4").tobytes()
-
-    def align(self, a: bytes, b: bytes) -> tuple[str, bytes]:
-        """Groups and links of one document."""
+    def learn(self, windows: list[tuple[bytes, bytes]]) -> dict[tuple[bytes, bytes], tuple[str, bytes]]:
+        """Align windows, given as pairs of id tuples: their text form and their links' places in the list of pairs.
+
+        Both sides of a window spell the same bytes, so windows laid end to end still share all their ends.
+        """
+        if not windows:
+            return {}
+        left, right = np.frombuffer(b"".join([a for a, _ in windows]), "<u4"), np.frombuffer(b"".join([b for _, b in windows]), "<u4")
+        a_end, b_end = np.cumsum(self.p.a_length[left]), np.cumsum(self.p.b_length[right])
+        a_last = b_end[np.minimum(np.searchsorted(b_end, a_end), len(b_end) - 1)] == a_end
+        b_last = a_end[np.minimum(np.searchsorted(a_end, b_end), len(a_end) - 1)] == b_end
+        a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        # A's tokens of a group, then B's: a token is moved back by the other side's tokens in front of it
+        a_sizes, b_sizes = np.bincount(a_group), np.bincount(b_group)
+        a_place = np.arange(len(left)) + (np.cumsum(b_sizes) - b_sizes)[a_group]
+        b_place = np.arange(len(right)) + np.cumsum(a_sizes)[b_group]
+        a_count, b_count = (np.array([len(w[side]) // 4 for w in windows]) for side in (0, 1))
+        a_stop, b_stop = np.cumsum(a_count), np.cumsum(b_count)
+        b_form = b_last.astype(np.int64)
+        b_form[b_stop - 1] = 2
+        forms = np.empty(len(left) + len(right), dtype=np.int64)
+        forms[a_place], forms[b_place] = left + self.p.n_a * a_last, 2 * self.p.n_a + right + self.p.n_b * b_form
+        text = list(map(self.p.forms.__getitem__, forms.tolist()))
+        links = np.searchsorted(self.p.keys, (left[a_last].astype(np.int64) << 32) + right[b_last]).astype("<u4").tobytes()
+        groups = (4 * np.cumsum(a_last)[a_stop - 1]).tolist()
+        stops = (a_stop + b_stop).tolist()
+        return {w: ("".join(text[s:e]), links[u:v]) for w, s, e, u, v in zip(windows, [0, *stops], stops, [0, *groups], groups)}
+
+    def anchored(self, a: bytes, b: bytes, starts: np.ndarray) -> tuple[list[tuple[bytes, bytes]], list[int]]:
+        """Windows of ids, cut where both sides start a space-marked token at the same byte, and the window at each A token of ``starts``."""
         left, right = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
         i, j = np.flatnonzero(self.p.a_space[left]), np.flatnonzero(self.p.b_space[right])
         a_start, b_start = np.cumsum(self.p.a_length[left])[i] - self.p.a_length[left[i]], np.cumsum(self.p.b_length[right])[j] - self.p.b_length[right[j]]
-        # starts of space-marked tokens that both sides share; the first one is byte 0
         near = np.minimum(np.searchsorted(b_start, a_start), len(b_start) - 1)
         shared = b_start[near] == a_start
+        first = np.searchsorted(i[shared], starts).tolist()
         ai, bj = (4 * i[shared]).tolist(), (4 * j[near[shared]]).tolist()
-        seen, out = self.windows, []
-        for s, e, u, v in zip(ai, [*ai[1:], len(a)], bj, [*bj[1:], len(b)]):
-            key = (a[s:e], b[u:v])
-            hit = seen.get(key)
-            if hit is None:
-                hit = self.window(*key)
-                if e - s + v - u <= 8 * LONGEST:
-                    if len(seen) >= CACHE:
-                        seen.clear()
-                    seen[key] = hit
-            out.append(hit)
-        return ";".join([g for g, _ in out]), b"".join([x for _, x in out])
+        return [(a[s:e], b[u:v]) for s, e, u, v in zip(ai, [*ai[1:], len(a)], bj, [*bj[1:], len(b)])], first
 
 
 ALIGNED = "doc_id {id}, n_a long, n_b long, groups string, links binary"
@@ -198,12 +241,11 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
                 while end < len(texts) and (end == at or size + len(texts[end]) <= 1 << 20):
                     size += len(texts[end])
                     end += 1
-                rows = [("", b"", 0, 0)] * (end - at)
+                rows = [(0, 0, "", b"")] * (end - at)
                 full = [n for n in range(at, end) if texts[n]]
-                for n, both in zip(full, aligner.tokens([texts[n] for n in full])):
-                    if both is not None:
-                        rows[n - at] = (*aligner.align(*both), len(both[0]) // 4, len(both[1]) // 4)
-                groups, links, n_a, n_b = zip(*rows)
+                for n, found in zip(full, aligner.documents([texts[n] for n in full])):
+                    rows[n - at] = found
+                n_a, n_b, groups, links = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, end - at), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(groups, pa.string()), pa.array(links, pa.binary())],
                     names=["doc_id", "n_a", "n_b", "groups", "links"])

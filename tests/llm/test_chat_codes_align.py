@@ -207,9 +207,11 @@ def test_alignment_against_whole_texts(spark, tmp_path):
 def test_memories_start_anew(monkeypatch):
     rng = random.Random(8)
     texts = [" ".join("".join(rng.choices("abcdefg", k=rng.randint(1, 9))) for _ in range(200)) for _ in range(30)]
-    plain = align.Aligner(align.pairs_of(A, B))
-    whole = [plain.align(*t) for t in plain.encode(texts)]
+    texts[3] += "  two"
+    want = [(a, b, ";".join(groups)) for a, b, groups, _ in model(texts)]
     monkeypatch.setattr(align, "CACHE", 150)
     small = align.Aligner(align.pairs_of(A, B))
-    assert [small.align(*t) for n in range(0, 30, 2) for t in small.tokens(texts[n:n + 2])] == whole
+    assert [x[:3] for n in range(0, 30, 2) for x in small.documents(texts[n:n + 2])] == want
+    monkeypatch.setattr(align.pairs_of(A, B), "apart", False)
+    assert [x[:3] for x in align.Aligner(align.pairs_of(A, B)).documents(texts)] == want
     assert len(align.pairs_of(A, B).keys) < 1_000_000
