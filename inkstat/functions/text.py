@@ -50,22 +50,41 @@ def environment_steps(envs: list[str], replacement: str) -> list[tuple[str, str]
     return out
 
 
-# running prose: floats vanish, math, citations and references become alphabetic sentinels
+# Fixed values of the running prose: what is cut out, what becomes an alphabetic sentinel, which macros keep their argument.
+VERBATIM_ENVS = ("tcolorbox tcblisting lstlisting verbatim Verbatim minted mdframed framed alltt promptbox listing boxedverbatim shaded "
+                 "tabbing exampleblock prompt chat dialogue quote quotation verse lstinputlisting").split()
+STARRED_FLOATS = "figure table algorithm sidewaystable tabular".split()
+STARRED_MATH = "equation align gather multline eqnarray flalign alignat".split()
+LIST_ENVS = "itemize enumerate description abstract quote center compactitem compactenum".split()
+
+
+def any_of(names: list[str], starred: list[str] = ()) -> str:
+    return "|".join(n + (r"\*?" if n in starred else "") for n in names)
+
+
+VERBATIM_BLOCK = rf"(?s)\\begin\{{({any_of(VERBATIM_ENVS)})\*?\}}(?:\[[^\]]*\])?.*?\\end\{{\1\*?\}}"
+FLOAT_BLOCK = rf"(?s)\\begin\{{({any_of(P.FLOAT_ENVS, STARRED_FLOATS)})\}}.*?\\end\{{\1\}}"
+MATH_BLOCK = rf"(?s)\\begin\{{({any_of(P.MATH_ENVS, STARRED_MATH)})\}}.*?\\end\{{\1\}}"
+# a reference macro whose name is not one of the look-alikes
+REF_CALL = rf"\\(?![A-Za-z]*(?:(?i:{P.REF_BLACKLIST.removeprefix('(?i)').replace('name$', 'name(?![A-Za-z])')})))[A-Za-z]*[Rr]ef[A-Za-z]*\s*(?:\{{[^{{}}]*\}}\s*)+"
+
 PROSE_STEPS: list[tuple[str, str]] = [
-    *environment_steps(["tcolorbox", "lstlisting", "verbatim", "quote", "minted", "promptbox"], " xxverbatimxx "),
-    *environment_steps([e for e in P.FLOAT_ENVS if e not in ("tcolorbox", "lstlisting", "verbatim", "minted", "promptbox")], " "),
-    *environment_steps(P.MATH_ENVS, " xxmathxx "),
+    (r"% MISSING INPUT[^\n]*", " "),
+    (VERBATIM_BLOCK, " xxverbatimxx "),
+    (FLOAT_BLOCK, " "),
+    (MATH_BLOCK, " xxmathxx "),
     (r"(?s)\$\$.*?\$\$", " xxmathxx "),
     (r"(?s)\\\[.*?\\\]", " xxmathxx "),
     (r"\$[^$]*\$", " xxmathxx "),
     (P.CITE, " xxcitexx "),
-    (r"\\(?:[A-Za-z]*?[cC]|auto|eq|page|[Ss]ec|fig|tab|)ref\*?\s*(?:\{[^{}]*\}\s*)+", " xxrefxx "),
-    (r"\\(?:newcommand|renewcommand|providecommand|DeclareMathOperator|newtheorem|definecolor|setcounter)\*?\s*(?:" + P.BRACED_NC + r"\s*){1,4}", " "),
+    (REF_CALL, " xxrefxx "),
+    (r"\\(?:SetKw[A-Za-z]*|SetAlgo[A-Za-z]*|DontPrintSemicolon|newcommand|renewcommand|providecommand|DeclareMathOperator|newtheorem|newenvironment|"
+     r"definecolor|setcounter|addtocounter|newcounter|pagestyle|thispagestyle)\*?\s*(?:" + P.BRACED_NC + r"\s*){1,4}(?:\[[^\]]*\])?", " "),
     (r"\\(?:label|includegraphics|vspace|hspace|footnote|footnotemark|caption|newline|centering|noindent|graphicspath|bibliography|"
      r"bibliographystyle|maketitle|setlength|linewidth|input|include)\*?\s*(?:\[[^\]]*\])?\s*(?:" + P.BRACED_NC + ")?", " "),
     (r"\\(?:sub)*section\*?\s*(?:\[[^\]]*\])?" + P.BRACED, "\n\n$1.\n\n"),
     (r"\\paragraph\*?" + P.BRACED, "\n\n$1. "),
-    (r"\\(?:begin|end)\{(?:itemize|enumerate|description|abstract|center)\}", "\n"),
+    (rf"\\begin\{{(?:{any_of(LIST_ENVS)})\}}(?:\s*\[[^\]]*\])?|\\end\{{(?:{any_of(LIST_ENVS)})\}}", "\n"),
     (r"\\item\b", "\n"),
     (r"\\begin\{[A-Za-z*]+\}\s*(?:\[[^\]]*\])?(?:\{[^{}]*\})?|\\end\{[A-Za-z*]+\}", "\n"),
     (r"\\(?:emph|textbf|textit|texttt|textsc|underline|text|mathrm|textrm|textnormal|small|footnotesize|url|texorpdfstring|mbox)\*?\s*" + P.BRACED, "$1"),

@@ -129,6 +129,52 @@ def quote_found(quote: Column, source: Column) -> Column:
     return source.contains(quote) | ((nq != "") & (ns.contains(nq) | ((F.length(nq) > 50) & ns.contains(F.substring(nq, 1, 50)))))
 
 
+def quote_span(quote: Column, source: Column) -> Column:
+    """struct(start, end) of a quote in its source, in code points, or null.
+
+    An exact hit counts as it stands. Else both are normalized, the hit is counted in words and these are the
+    runs of letters, digits and % of the source; a quote of over 50 normalized characters can hit by its first 50.
+    """
+    word = "[A-Za-z0-9%]"
+    pieces = F.regexp_extract_all(source, F.lit(f"{word}+|[^A-Za-z0-9%]+"), F.lit(0))
+
+    def by_words(nq: Column, ns: Column) -> Column:
+        whole = F.instr(ns, nq)
+        hit = F.when(whole > 0, whole).when(F.length(nq) > 50, F.instr(ns, F.substring(nq, 1, 50))).otherwise(0)
+
+        def place(at: Column) -> Column:
+            before = F.regexp_count(F.substring(ns, F.lit(1), at - 1), F.lit(" "))
+            wanted = F.greatest(F.regexp_count(nq, F.lit(" ")) + 1, F.lit(1))
+
+            def cut(parts: Column) -> Column:
+                # words and what is between them take turns
+                lead = F.when(F.get(parts, F.lit(0)).rlike(f"^{word}"), 0).otherwise(1)
+                words = F.floor((F.size(parts) - lead + 1) / 2).cast("int")
+                last = F.least(words - 1, before + wanted - 1)
+                upto = lambda n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda x, y: x + F.length(y))
+                return F.when(before < words, F.struct(upto(2 * before + lead).alias("start"), upto(2 * last + lead + 1).alias("end")))
+
+            return T.let(pieces, cut)
+
+        return F.when((nq != "") & (hit > 0), T.let(hit, place))
+
+    def find(at: Column) -> Column:
+        exact = F.struct((at - 1).alias("start"), (at - 1 + F.length(quote)).alias("end"))
+        return F.when(at > 0, exact).otherwise(T.let(T.normalize_quote(quote), lambda nq: T.let(T.normalize_quote(source), lambda ns: by_words(nq, ns))))
+
+    return F.when((quote != "") & (source != ""), T.let(F.instr(source, quote), find))
+
+
+def verify_quotes(quotes: DataFrame) -> DataFrame:
+    """(doc_id, quote, source) with the span of each quote; those without one are unverified."""
+    return quotes.withColumn("span", quote_span(F.col("quote"), F.col("source")))
+
+
+def quote_statistics(verified: DataFrame, by: list[str]) -> DataFrame:
+    """Number of quotes and of unverified ones."""
+    return verified.where("quote IS NOT NULL").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("span").isNull()).alias("unverified"))
+
+
 def dedupe_claims(claims: DataFrame, order: str) -> DataFrame:
     """One row per (document, kind, sorted targets, criterion-or-content prefix) with its occurrences.
 

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from inkstat.functions import patterns as P
 from inkstat.functions import text as T
+from inkstat.operators import citation as C24
 from inkstat.operators import crossref as C
 from inkstat.operators import structure as S
+from inkstat.operators import views as V
 from inkstat.plans.inputs import TEX, tex_docs
 from inkstat.plans.registry import query
 from inkstat.session import cut
@@ -178,11 +180,60 @@ def b6(t):
     return tex_docs(t).select("doc_id", T.abstract_of(F.col("tex")).alias("abstract"))
 
 
-@query("b7_prose_view", f"WITH {TEX} SELECT doc_id, {chain_sql('tex', T.PROSE_STEPS)} AS prose FROM tx")
+# the rules of the view, written apart from the operator: one environment at a time, no look-ahead
+CUT_ENVS = [("tcolorbox tcblisting lstlisting verbatim Verbatim minted mdframed framed alltt promptbox listing boxedverbatim shaded tabbing exampleblock prompt chat dialogue quote quotation verse", " xxverbatimxx "),
+            ("figure table algorithm algorithmic wrapfigure wraptable sidewaystable tabular tabularx longtable minipage tikzpicture boxedminipage comment", " "),
+            ("equation align gather multline eqnarray displaymath flalign alignat", " xxmathxx ")]
+PROSE_SQL = [(rf"(?s)\\begin\{{{e}\*?\}}.*?\\end\{{{e}\*?\}}", put) for group, put in CUT_ENVS for e in group.split()] + [
+    (r"(?s)\$\$.*?\$\$|\\\[.*?\\\]", " xxmathxx "), (r"\$[^$]*\$", " xxmathxx "), (r"\\[cC]ite[a-z]*\*?(?:\[[^\]]*\])*\{[^}]*\}", " xxcitexx "), (r"\\(?:[A-Za-z]*[cC]|auto|eq|page|[Ss]ec|fig|tab|)ref\{[^{}]*\}", " xxrefxx "),
+    (r"\\(?:label|caption|centering|footnote|includegraphics|maketitle|bibliography|bibliographystyle)(?:\[[^\]]*\])?(?:\{[^{}]*\})?", " "), (r"\\(?:sub)*section\*?\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}", "\n\n$1.\n\n"), (r"\\paragraph\{([^{}]*)\}", "\n\n$1. "),
+    (r"\\(?:begin|end)\{[A-Za-z]+\*?\}", "\n"), (r"\\item\b", "\n"), (r"\\(?:emph|text[a-z]*|underline|mbox)\{([^{}]*)\}", "$1"), (r"\\[A-Za-z]+\*?\s*", " "), (r"[{}~]", " "), (r"\\([%&])", "$1"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")]
+
+
+@query("b7_prose_view", f"WITH {TEX} SELECT doc_id, {chain_sql('tex', PROSE_SQL)} AS prose FROM tx")
 def b7(t):
     return tex_docs(t).select("doc_id", T.prose_view(F.col("tex")).alias("prose"))
 
 
+@query("b7_prose_by_segments", f"WITH {TEX} SELECT doc_id, {chain_sql('tex', PROSE_SQL)} AS prose, true AS has_map FROM tx")
+def b7_segments(t):
+    views = V.prose_views(tex_docs(t))
+    ends = V.source_spans(views.withColumns({"start": F.lit(0), "end": F.length("prose")}))
+    return ends.select("doc_id", "prose", (F.col("tex_start") < F.col("tex_end")).alias("has_map"))
+
+
+# every line of a text becomes a paragraph of two sentences whose places follow from its length
+LINE_WORDS = "trim(regexp_replace(l, '[^A-Za-z]+', ' ', 'g'))"
+ONE, TWO = ("Aaa \\emph{", "} see e.g. Bbb in \\Secref{s:x} and $x_1$ \\cite[p.~3]{k, m} zzz."), " Ccc \\href{u}{v} \\textbf{ends}."
+
+
+@query("b10_sentence_spans", f"""WITH ln AS (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls FROM documents)),
+  w AS (SELECT doc_id, i, {LINE_WORDS} AS w FROM ln),
+  x AS (SELECT *, 'Aaa ' || w || CASE WHEN w = '' THEN '' ELSE ' ' END || 'see e.g. Bbb in xxrefxx and xxmathxx xxcitexx zzz.' AS one, 'Ccc u v ends.' AS two, length(w) + {len(ONE[0]) + len(ONE[1])} AS n1, {len(TWO)} AS n2 FROM w),
+  p AS (SELECT *, sum(n1 + n2 + 2) OVER u - (n1 + n2 + 2) AS tex, sum(length(one) + length(two) + 3) OVER u - (length(one) + length(two) + 3) AS view FROM x WINDOW u AS (PARTITION BY doc_id ORDER BY i))
+  SELECT doc_id, CAST(2 * i AS INT) AS ord, view::BIGINT AS para, one AS text, view::BIGINT AS view_start, (view + length(one))::BIGINT AS view_end, tex::BIGINT AS tex_start, (tex + n1)::BIGINT AS tex_end FROM p
+  UNION ALL SELECT doc_id, CAST(2 * i + 1 AS INT), view::BIGINT, two, (view + length(one) + 1)::BIGINT, (view + length(one) + 1 + length(two))::BIGINT, (tex + n1 + 1)::BIGINT, (tex + n1 + n2)::BIGINT FROM p""")
+def b10_spans(t):
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    tex = F.array_join(F.transform(lines, lambda l: F.concat(F.lit(ONE[0]), F.trim(F.regexp_replace(l, "[^A-Za-z]+", " ")), F.lit(ONE[1] + TWO + "\n\n"))), "")
+    return V.sentence_spans(t.documents.select("doc_id", tex.alias("tex")))
+
+
+@query("b24_quote_spans", """WITH q AS (SELECT doc_id, doc_id % 4 AS kind, length(coalesce(text, '')) AS n, substr(md5(doc_id::VARCHAR), 1, 12) AS h FROM documents)
+  SELECT doc_id, CASE WHEN kind <> 3 THEN n + 1 END AS start, CASE kind WHEN 0 THEN n + 1 + 47 WHEN 1 THEN n + 1 + 47 WHEN 2 THEN n + 1 + 47 + 55 END AS "end" FROM q""")
+def b24_spans(t):
+    """Quotes at known places behind a text: literal, in another spelling, long with another end, and absent."""
+    h = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 12)
+    said = F.concat(F.lit("Zq"), h, F.lit(" holds; (Beta, gamma) is 12%, not")).alias("said")  # 47 characters
+    more = ", as the longer remark on this very page goes on to say."
+    source = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), said, F.lit(more), F.lit(" "), F.coalesce("text", F.lit("")))
+    spelled = F.concat(F.lit("zq"), h, F.lit(" HOLDS beta -- gamma is 12% not"))
+    quote = (F.when(F.col("doc_id") % 4 == 0, said).when(F.col("doc_id") % 4 == 1, spelled)
+             .when(F.col("doc_id") % 4 == 2, F.concat(spelled, F.lit(" as the longer remark on this very page went on to say"))).otherwise(F.concat(F.lit("never "), said)))
+    found = C24.verify_quotes(t.documents.select("doc_id", quote.alias("quote"), source.alias("source")))
+    return found.select("doc_id", F.col("span.start").cast("bigint").alias("start"), F.col("span.end").cast("bigint").alias("end"))
+
+
 @query("b8_body_and_flat_view", f"WITH {TEX} SELECT doc_id, length(body) AS body_chars, {TRIM_SQL.format(x=chain_sql('body', T.FLAT_STEPS))} AS flat FROM (SELECT doc_id, {BODY_SQL} AS body FROM tx)")
 def b8(t):
     body = tex_docs(t).select("doc_id", T.body_of(F.col("tex")).alias("body"))
