@@ -214,44 +214,6 @@ def text_section_references(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("doc_id", "k", F.posexplode(F.regexp_extract_all("hit", F.lit(r"[A-Z]?\d+(?:\.\d+)*|\b[A-Z]\b"), F.lit(0))).alias("j", "target"))
 
 
-# --------------------------------------------------------------------------- tables
-
-
-def table_cells(docs: DataFrame, tex: str = "tex") -> DataFrame:
-    """Cells of every tabular: (doc_id, tbl, r, c, raw, span), multicolumn cells expanded.
-
-    Rows split at a double backslash and cells at & outside braces; braces are masked one level
-    deep first, so a line break inside a cell stays in the cell.
-    """
-    begin = r"\\begin\{(?:tabularx|tabulary|tabular|longtable)\*?\}"
-    body = F.regexp_replace(
-        F.regexp_extract(F.concat("t.match", "t.rest"), r"(?s)^" + begin + r"(?:\s*" + P.BRACED_NC + r"){1,2}(.*?)\\end\{", 1),
-        r"\\(?:toprule|midrule|bottomrule|hline|morecmidrules|cline\{[^}]*\}|cmidrule(?:\([^)]*\))?\{[^}]*\}|addlinespace(?:\[[^\]]*\])?|rowcolor\{[^}]*\})", " ")
-    masked = F.regexp_replace(F.regexp_replace(body, r"(\{[^{}]*)\\\\([^{}]*\})", "$1 $2"), r"\\&", "\u0002")
-    tables = docs.select("doc_id", F.posexplode(find_all(F.col(tex), begin)).alias("tbl", "t")).select("doc_id", "tbl", masked.alias("body"))
-    rows = F.filter(F.split("body", r"\\\\(?:\[[^\]]*\])?"), lambda r: ~r.rlike(r"^[\s&]*$"))
-    multi = r"\\multicolumn\s*\{(\d+)\}\s*\{[^{}]*\}\s*" + P.BRACED
-
-    def expand(row: Column) -> Column:
-        return F.flatten(F.transform(F.split(row, "&"), lambda c: F.when(
-            c.rlike(multi), F.transform(F.sequence(F.lit(1), F.regexp_extract(c, multi, 1).cast("int")), lambda i: F.when(i == 1, F.regexp_extract(c, multi, 2)).otherwise(""))
-        ).otherwise(F.array(F.when(c.rlike(r"\\multirow"), F.regexp_extract(c, r"\\multirow\s*\{[^{}]*\}\s*(?:\{[^{}]*\}|\*)?\s*" + P.BRACED, 1)).otherwise(c)))))
-
-    cells = tables.select("doc_id", "tbl", F.posexplode(rows).alias("r", "row"))
-    return cells.select("doc_id", "tbl", "r", F.posexplode(expand(F.col("row"))).alias("c", "raw")).withColumn("raw", F.trim(F.regexp_replace("raw", "\u0002", "&")))
-
-
-def parsed_tables(cells: DataFrame) -> DataFrame:
-    """Cells with their parsed value and row kind: up to three leading rows with at most a quarter
-    numeric cells are the header (at least the first row is)."""
-    parsed = cells.withColumn("cell", T.number_cell(F.col("raw")))
-    row = parsed.groupBy("doc_id", "tbl", "r").agg(F.count_if(F.col("cell.kind") == "number").alias("nums"), F.count_if(F.col("cell.kind") != "empty").alias("full"))
-    head_like = (F.col("full") > 0) & (F.col("nums") <= F.floor(F.col("full") / 4))
-    run = Window.partitionBy("doc_id", "tbl").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    flagged = row.withColumn("is_header", (F.col("r") == 0) | ((F.col("r") < 3) & F.every(head_like).over(run)))
-    return parsed.join(flagged.select("doc_id", "tbl", "r", "is_header"), ["doc_id", "tbl", "r"])
-
-
 def rounding_matches(numbers: DataFrame, cells: DataFrame) -> DataFrame:
     """Pairs (text number, table cell) of one document whose rounding intervals overlap.
 

@@ -13,6 +13,7 @@ from inkstat.operators import core
 from inkstat.operators import evidence as E
 from inkstat.operators import figure as G
 from inkstat.operators import structure as S
+from inkstat.operators import tables as TB
 from inkstat.plans.inputs import BENCH_LONG, TEX, bench_scores, tex_docs
 from inkstat.plans.registry import query
 from inkstat.plans.structure import CELLS, TOK, names, q
@@ -155,13 +156,13 @@ EX = EX.replace("({})", "(" + positions_sql(RX_ENV) + ")", 1).replace("({})", "(
 
 
 def result_documents(t):
-    return E.applicable_documents(S.parsed_tables(S.table_cells(tex_docs(t))))
+    return E.applicable_documents(TB.parsed_tables(TB.table_cells(tex_docs(t))))
 
 
 @query("c20_evidence_applicability", f"WITH {TEX}, {CELLS} SELECT doc_id, count(*) AS n_result_tables FROM (SELECT doc_id, tbl, count(DISTINCT r) AS rows, count(*) FILTER (regexp_matches(raw, '^[0-9\\\\]')) AS nums FROM ce WHERE r > 0 GROUP BY 1, 2) WHERE rows >= 2 AND nums >= 3 GROUP BY 1")
 def c20(t):
     # the wrapped tables hold three numeric cells each
-    cells = S.parsed_tables(S.table_cells(tex_docs(t)))
+    cells = TB.parsed_tables(TB.table_cells(tex_docs(t)))
     return E.applicable_documents(cells, min_numbers=3)
 
 
@@ -174,7 +175,7 @@ def gap_rows(t):
     docs = tex_docs(t)
     tok = S.tex_tokens(docs)
     appendix = S.outline(tok).groupBy("doc_id").agg(F.min("appendix_start").alias("appendix_start"))
-    applicable = E.applicable_documents(S.parsed_tables(S.table_cells(docs)), min_numbers=3)
+    applicable = E.applicable_documents(TB.parsed_tables(TB.table_cells(docs)), min_numbers=3)
     return E.gap_scores(docs, applicable, E.exhibits(docs), appendix, E.word_count(F.col("tex")))
 
 

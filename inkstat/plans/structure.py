@@ -9,6 +9,7 @@ from inkstat.functions import text as T
 from inkstat.operators import citation as C24
 from inkstat.operators import crossref as C
 from inkstat.operators import structure as S
+from inkstat.operators import tables as TB
 from inkstat.operators import views as V
 from inkstat.plans.inputs import TEX, tex_docs
 from inkstat.plans.registry import query
@@ -270,7 +271,7 @@ CELLS = f"""tb AS (SELECT doc_id, unnest(l) AS body, unnest(range(len(l))) AS tb
 
 @query("b14_table_cells", f"""WITH {TEX}, {CELLS} SELECT doc_id, CAST(tbl AS INT) AS tbl, CAST(r AS INT) AS r, CAST(c AS INT) AS c, raw, r = 0 AS is_header FROM ce""")
 def b14(t):
-    return S.parsed_tables(S.table_cells(tex_docs(t))).select("doc_id", "tbl", "r", "c", "raw", "is_header")
+    return TB.parsed_tables(TB.table_cells(tex_docs(t))).select("doc_id", "tbl", "r", "c", "raw", "is_header")
 
 
 @query("b15_number_cells", f"""WITH {TEX}, {CELLS}, p AS (SELECT *, regexp_extract(raw, '([0-9]+\\.[0-9]) \\\\pm', 1) AS a, regexp_extract(raw, '\\\\textbf\\{{([0-9.]+)\\}}', 1) AS b, regexp_matches(raw, '^1,234$') AS k FROM ce),
@@ -278,13 +279,51 @@ def b14(t):
   SELECT doc_id, CAST(tbl AS INT) AS tbl, CAST(r AS INT) AS r, CAST(c AS INT) AS c, CASE WHEN printed IS NULL THEN 'text' ELSE 'number' END AS kind, CAST(printed AS DOUBLE) AS value, printed,
     CASE WHEN a <> '' THEN 0.4::DOUBLE END AS std, b <> '' AS is_bold, false AS is_percent FROM v""")
 def b15(t):
-    return S.table_cells(tex_docs(t)).select("doc_id", "tbl", "r", "c", T.number_cell(F.col("raw")).alias("x")).select("doc_id", "tbl", "r", "c", "x.*")
+    return TB.table_cells(tex_docs(t)).select("doc_id", "tbl", "r", "c", T.number_cell(F.col("raw")).alias("x")).select("doc_id", "tbl", "r", "c", "x.*")
 
 
 @query("b16_metric_direction", f"""WITH {TEX}, {CELLS} SELECT doc_id, CAST(tbl AS INT) AS tbl, CAST(c AS INT) AS c, CAST(CASE WHEN lower(raw) = 'acc' THEN 1 WHEN lower(raw) = 'loss' THEN -1 ELSE 1 END AS INT) AS direction FROM ce WHERE r = 0""")
 def b16(t):
-    head = S.table_cells(tex_docs(t)).where("r = 0")
-    return head.select("doc_id", "tbl", "c", T.metric_direction(F.col("raw"), F.lit("Accuracy results. Higher is better")).alias("direction"))
+    return TB.column_names(TB.parsed_tables(TB.table_cells(tex_docs(t)))).select("doc_id", "tbl", "c", "direction")
+
+
+# every line of a text is a table with spans, breaks inside of cells, options, rules and groups; {n} its length, {i} its number
+GRID = """¤begin{table*}[t]¤caption{Error of {run ¤emph{{i}}}, lower is better}¤label{t:{i}}¤begin{tabular}[t]{@{}lcc@{}} ¤toprule
+¤multirow{2}{*}{Model} & ¤multicolumn{2}{c}{¤textbf{Test}} ¤¤ ¤cmidrule(lr){2-3}
+ & ¤makecell{Acc¤¤(top)} & Loss ¤¤[2pt] ¤midrule
+Base & ¤shortstack{1¤¤2} & ¤textbf{{n}.25} ¤¤
+¤multicolumn{3}{l}{¤textit{Group {i}}} ¤¤
+Plain & 7 & 8 ¤¤
+¤multirow{2}{*}{Ours} & {n}.5 ¤pm 0.1 & {a & b} ¤¤
+ & {n} & x ¤& y ¤¤ ¤hline
+Last & {n}~¤% & (3) ¤¤ ¤bottomrule
+¤end{tabular}¤end{table*}
+"""
+GRID_LINES = "SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS tbl FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls FROM documents)"
+
+
+def grid_docs(t):
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    one = lambda l, i: F.replace(F.replace(F.lit(GRID.replace("¤", "\\")), F.lit("{i}"), i.cast("string")), F.lit("{n}"), F.length(l).cast("string"))
+    return t.documents.select("doc_id", F.array_join(F.transform(lines, one), "").alias("tex"))
+
+
+@query("b14_table_rows", f"""WITH g AS ({GRID_LINES}), x AS (SELECT doc_id, CAST(tbl AS INT) AS tbl, length(l)::VARCHAR AS n, tbl::VARCHAR AS i FROM g)
+  SELECT doc_id, tbl, 2::INT AS r, 'Base' AS name, 'Base' AS own_name, NULL AS row_group, '1' AS one, '\\textbf{{' || n || '.25}}' AS two FROM x
+  UNION ALL SELECT doc_id, tbl, 4::INT, 'Plain', 'Plain', 'Group ' || i, '7', '8' FROM x
+  UNION ALL SELECT doc_id, tbl, 5::INT, 'Ours', 'Ours', NULL, n || '.5', '{{a & b}}' FROM x
+  UNION ALL SELECT doc_id, tbl, 6::INT, 'Ours', '', NULL, n, 'x \\& y' FROM x
+  UNION ALL SELECT doc_id, tbl, 7::INT, 'Last', 'Last', 'Ours', n, '(3)' FROM x""")
+def b14_rows(t):
+    rows = TB.body_rows(TB.parsed_tables(TB.table_cells(grid_docs(t))))
+    cell = lambda k: F.get("cells", F.lit(k))
+    return rows.select("doc_id", "tbl", "r", "name", "own_name", "row_group", cell(1)["cell"]["printed"].alias("one"), cell(2)["raw"].alias("two"))
+
+
+@query("b16_column_names", f"""WITH g AS ({GRID_LINES}) SELECT doc_id, CAST(tbl AS INT) AS tbl, c, header, d AS direction FROM g,
+  (VALUES (0::INT, 'Model', -1::INT), (1::INT, 'Test | Acc (top)', 1::INT), (2::INT, 'Test | Loss', -1::INT)) AS v(c, header, d)""")
+def b16_names(t):
+    return TB.column_names(TB.parsed_tables(TB.table_cells(grid_docs(t)))).select("doc_id", "tbl", "c", "header", "direction")
 
 
 @query("b17_rounding_matches", """WITH p AS (SELECT p_size AS doc_id, CAST(round(p_retailprice * 10) AS BIGINT) AS m FROM part),
