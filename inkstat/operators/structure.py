@@ -279,22 +279,3 @@ def method_figures(docs: DataFrame, tex: str = "tex") -> DataFrame:
     captions = F.regexp_extract_all(F.col(tex), F.lit(r"\\caption\s*(?:\[[^\]]*\])?\s*" + P.BRACED), F.lit(1))
     picked = F.slice(F.filter(captions, lambda c: c.rlike(P.METHOD_FIGURE)), 1, 3)
     return docs.select("doc_id", F.transform(picked, lambda c: F.substring(F.regexp_replace(c, r"\s+", " "), 1, 160)).alias("captions"))
-
-
-def reference_list(docs: DataFrame, text: str) -> DataFrame:
-    """Numbered reference list: [N] entries while N keeps increasing by one, with first-author
-    surname, year and a title guess (the sentence after the authors)."""
-    parts = F.split(F.regexp_replace(F.col(text), r"(?m)^(?=\[\d+\]\s)", T.MARK), T.MARK)
-    rows = docs.select("doc_id", F.posexplode(F.filter(parts, lambda p: p.rlike(r"^\[\d+\]\s"))).alias("k", "entry"))
-    number = F.regexp_extract("entry", r"^\[(\d+)\]", 1).cast("int")
-    body = F.trim(F.regexp_replace(F.regexp_replace("entry", r"^\[\d+\]\s*", ""), r"\s+", " "))
-    # initials ("J.") do not end the author part
-    split = F.split(body, r"(?<!\b[A-Z])[.?!]\s+")
-    rows = rows.select("doc_id", number.alias("number"), body.alias("body"), split.alias("parts"))
-    order = Window.partitionBy("doc_id").orderBy("number")
-    rising = rows.withColumn("_gap", F.col("number") - F.row_number().over(order)).where(F.col("_gap") == 0)
-    authors = F.get("parts", F.lit(0))
-    return rising.select(
-        "doc_id", "number", F.regexp_extract("body", r"^(?:[A-Z]\.[ -]?)*([A-Z][\w'-]+)", 1).alias("surname"),
-        F.nullif(F.regexp_extract("body", r"\b((?:19|20)\d{2})[a-z]?\b", 1), F.lit("")).cast("int").alias("year"),
-        F.regexp_replace(F.get("parts", F.lit(1)), r"\.$", "").alias("title"))

@@ -12,6 +12,7 @@ from inkstat.operators import citation as C
 from inkstat.operators import core
 from inkstat.operators import evidence as E
 from inkstat.operators import figure as G
+from inkstat.operators import references as RF
 from inkstat.operators import structure as S
 from inkstat.operators import tables as TB
 from inkstat.plans.inputs import BENCH_LONG, TEX, bench_scores, tex_docs
@@ -461,7 +462,26 @@ def b21(t):
 def b22(t):
     per = t.orders.groupBy(F.expr("o_orderkey div 20").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.year("o_orderdate").alias("y"), "o_orderpriority"))).alias("r"))
     text = F.array_join(F.transform("r", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] J. Smith and A. Doe. A study of "), x["o_orderpriority"], F.lit(". In Proc., "), x["y"].cast("string"), F.lit("."))), "\n")
-    return S.reference_list(per.select("doc_id", text.alias("refs")), "refs")
+    return RF.reference_list(per.select("doc_id", text.alias("refs")), "refs").select("doc_id", "number", "surname", "year", "title")
+
+
+@query("b22_author_year_list", """SELECT o_orderkey // 20 AS doc_id, CAST(row_number() OVER (PARTITION BY o_orderkey // 20 ORDER BY o_orderkey) AS INT) AS number, 'Óscar' AS surname, CAST(year(o_orderdate) AS INT) AS year,
+    'On the ' || o_orderpriority || ' of large orders' AS title, '2301.' || lpad((o_orderkey % 100000)::VARCHAR, 5, '0') AS arxiv FROM orders""")
+def b22_author_year(t):
+    """No numbers of their own: entries end at a year; citations of numbers inside of an entry open none."""
+    entry = F.concat(F.lit("Óscar, M. and van der Berg, Karl. On the "), F.col("o_orderpriority"), F.lit(" of large\norders. arXiv:2301."), F.lpad((F.col("o_orderkey") % 100000).cast("string"), 5, "0"),
+                     F.lit(" [2]. In Proceedings of [1] Things, "), F.year("o_orderdate").cast("string"), F.lit(".")).alias("e")
+    per = t.orders.groupBy(F.expr("o_orderkey div 20").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", entry))).alias("r"))
+    refs = RF.reference_list(per.select("doc_id", F.array_join(F.transform("r", lambda x: x["e"]), "\n").alias("refs")), "refs")
+    return refs.select("doc_id", "number", "surname", "year", "title", "arxiv")
+
+
+@query("b22_citation_markers", """WITH o AS (SELECT o_orderkey AS doc_id, o_custkey % 90 + 1 AS a, o_orderkey % 9 AS w, o_custkey % 290 + 1 AS b FROM orders)
+  SELECT doc_id, list_sort(list_distinct(list_concat(list_transform(range(a, a + w + 1), lambda x: x::INT), [b::INT, 7::INT]))) AS numbers, 3::INT AS n_markers, 1::INT AS n_author_year FROM o""")
+def b22_markers(t):
+    a, w, b = F.col("o_custkey") % 90 + 1, F.col("o_orderkey") % 9, F.col("o_custkey") % 290 + 1
+    said = F.concat(F.lit("As shown ["), a.cast("string"), F.lit(" – "), (a + w).cast("string"), F.lit(", "), b.cast("string"), F.lit("]\n12\nand (see Doe, 1999b) by [7] and ["), b.cast("string"), F.lit("], x[4] = [0.5] of 2001."))
+    return RF.citation_markers(t.orders.select(F.col("o_orderkey").alias("doc_id"), F.replace(said, F.lit("x[4]"), F.lit("x")).alias("body")), "body")
 
 
 @query("b24_quote_location", f"""WITH x AS (SELECT doc_id, text AS plain, CASE WHEN doc_id % 3 = 0 THEN replace(substr(text, 5, 40), ' ', '  ') WHEN doc_id % 3 = 1 THEN substr(text, 5, 40) ELSE substr(text, 1, 80) || ' not in the source' END AS f FROM documents)
