@@ -11,7 +11,7 @@ from inkstat.operators import versions as V
 from inkstat.plans.inputs import RECORDS, TEX, auroc_sql, records, tex_docs
 from inkstat.plans.paired import K_B, pair_acc_sql, threshold_sql
 from inkstat.plans.registry import query
-from inkstat.plans.statistics import REPS, draws_sql, rank_sql
+from inkstat.plans.statistics import BOOT, counted_sql, rank_sql
 
 # --- reviews: the lines of an order are the reviews of a paper --------------------------------
 
@@ -309,8 +309,8 @@ def i10(t):
     return V.latest_records(log, ["code", "round"], "ts", "event_id")
 
 
-EFF = SC + """, p AS (SELECT sc.*, s0, d0, human, score - s0 AS diff FROM sc JOIN z USING (arm, code, item) LEFT JOIN hu USING (code, item) WHERE round > 0), """ + draws_sql("p", "arm, round, item", "code") + f""",
-  ci AS (SELECT arm, round, item, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM (SELECT arm, round, item, rep, avg(diff) AS m FROM sm GROUP BY ALL) GROUP BY ALL),
+EFF = SC + """, p AS (SELECT sc.*, s0, d0, human, score - s0 AS diff FROM sc JOIN z USING (arm, code, item) LEFT JOIN hu USING (code, item) WHERE round > 0), """ + counted_sql("p", "arm, round, item, diff", "code") + f""",
+  ci AS (SELECT arm, round, item, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM (SELECT arm, round, item, rep, sum(diff * k) / nullif(sum(k), 0)::DOUBLE AS m FROM bd GROUP BY ALL) GROUP BY ALL),
   wr AS (SELECT arm, round, item, diff, {rank_sql('abs(diff)', 'arm, round, item')} AS r FROM p WHERE diff <> 0),
   wk AS (SELECT arm, round, item, sum(c::DOUBLE ** 3 - c) AS ties FROM (SELECT arm, round, item, abs(diff) AS a, count(*) AS c FROM wr GROUP BY ALL) GROUP BY ALL),
   ws AS (SELECT arm, round, item, count(*) AS n, least(coalesce(sum(r) FILTER (diff > 0), 0), coalesce(sum(r) FILTER (diff < 0), 0)) AS w FROM wr GROUP BY ALL)"""
@@ -322,7 +322,7 @@ EFF = SC + """, p AS (SELECT sc.*, s0, d0, human, score - s0 AS diff FROM sc JOI
   FROM p JOIN ci USING (arm, round, item) LEFT JOIN ws ON ws.arm = p.arm AND ws.round = p.round AND ws.item = p.item AND ws.n >= 5 LEFT JOIN wk ON wk.arm = p.arm AND wk.round = p.round AND wk.item = p.item GROUP BY 1, 2, 3""",
        "mean_r0 mean_rn mean_diff denominator_ratio ci_low ci_high wilcoxon_w wilcoxon_z")
 def i11(t):
-    return V.effects(scores(t), human(t), REPS)
+    return V.effects(scores(t), human(t), BOOT)
 
 
 @query("i12_interactions", f"""WITH {SC}, d AS (SELECT sc.arm, sc.code, sc.item, CASE sc.arm WHEN 'click' THEN 'm0' WHEN 'view' THEN 'm1' ELSE 'm2' END AS target, s0, score - s0 AS diff FROM sc JOIN z USING (arm, code, item) WHERE round = 1),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from inkstat.operators import pair_eval, resample, stats
@@ -105,9 +107,22 @@ def f10(t):
     return stats.within_stratum(record_scores(t), SYS, "value", "rating", "year")
 
 
-# --- resampling: 20 replicates keep the oracle's replicate x row table small -----------------
+# --- resampling: statistics of sums at 2,000 replicates over all systems; those of ranks at 20 over one, which
+# keeps the replicate x row table of both sides small
 
 REPS = 20
+BOOT = 2000
+POISSON = "(" + " + ".join(f"(u >= {int(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)))})::BIGINT" for k in range(12)) + ")"
+
+
+def counted_sql(source: str, columns: str, key: str = "paper_id") -> str:
+    """How often a row counts in each replicate: two halves of its md5, mixed in 32 bits, through the steps of Poisson(1)."""
+    cut = "& 4294967295::UBIGINT"
+    mixed = "xor({0}, {0} >> 16) * 2146121005::UBIGINT " + cut + " AS {0}1, xor({0}1, {0}1 >> 15) * 2221713035::UBIGINT " + cut + " AS {0}2, xor({0}2, {0}2 >> 16)"
+    return f"""bh AS (SELECT *, md5({key} || ':0') AS h FROM {source}), bk AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS UBIGINT) AS hi, CAST('0x' || substr(h, 9, 8) AS UBIGINT) AS lo FROM bh),
+  bd AS (SELECT {columns}, rep, (hi + rep::UBIGINT * 2654435769::UBIGINT) {cut} AS a, {mixed.format('a')} AS a3, xor(a3, lo) AS b, {mixed.format('b')} AS u, {POISSON} AS k FROM bk, (SELECT unnest(range(1, {BOOT + 1})) AS rep))"""
+
+
 H = "CAST('0x' || substr(md5(rep || ':' || rn || ':0'), 1, 8) AS BIGINT)"
 
 
@@ -125,11 +140,11 @@ def agg_only(t):
     return labelled(t).where(F.col("system") == "agg")
 
 
-@query("f11_bootstrap_mean", R + AGG + ", " + draws_sql("ag", "year") + f""" SELECT year, n, mean, replicates, ci_low, ci_high
-  FROM (SELECT year, count(*) AS n, avg(value) AS mean FROM ag GROUP BY 1) JOIN
-  (SELECT year, {CI} FROM (SELECT year, rep, avg(value) AS m FROM sm GROUP BY 1, 2) GROUP BY 1) USING (year)""", "mean ci_low ci_high")
+@query("f11_bootstrap_mean", R + ", " + counted_sql("rl", "system, year, value") + f""" SELECT system, year, n, mean, replicates, ci_low, ci_high
+  FROM (SELECT system, year, count(*) AS n, avg(value) AS mean FROM rl GROUP BY 1, 2) JOIN
+  (SELECT system, year, {CI} FROM (SELECT system, year, rep, sum(value * k) / nullif(sum(k), 0)::DOUBLE AS m FROM bd GROUP BY ALL) GROUP BY ALL) USING (system, year)""", "mean ci_low ci_high")
 def f11(t):
-    return resample.bootstrap_mean(agg_only(t), ["year"], "paper_id", "value", REPS)
+    return resample.bootstrap_mean(record_scores(t), ["system", "year"], "paper_id", "value", BOOT)
 
 
 @query("f12_bootstrap_auroc", LAB + ", ag AS (SELECT * FROM lab WHERE system = 'agg'), " + draws_sql("ag", "year, label") + f""",
@@ -147,27 +162,27 @@ def f13(t):
     return resample.bootstrap_spearman(agg_only(t), ["year"], "paper_id", "value", "rating", REPS)
 
 
-@query("f14_weighted_mean_ci", R + AGG + ", " + draws_sql("ag", "year") + f""" SELECT year, n, mean, replicates, ci_low, ci_high
-  FROM (SELECT year, count(*) AS n, sum(value * n_words) / sum(n_words) AS mean FROM ag GROUP BY 1) JOIN
-  (SELECT year, {CI} FROM (SELECT year, rep, sum(value * n_words) / sum(n_words) AS m FROM sm GROUP BY 1, 2) GROUP BY 1) USING (year)""", "mean ci_low ci_high")
+@query("f14_weighted_mean_ci", R + ", " + counted_sql("rl", "system, year, value, n_words") + f""" SELECT system, year, n, mean, replicates, ci_low, ci_high
+  FROM (SELECT system, year, count(*) AS n, sum(value * n_words) / sum(n_words) AS mean FROM rl GROUP BY 1, 2) JOIN
+  (SELECT system, year, {CI} FROM (SELECT system, year, rep, sum(value * n_words * k) / nullif(sum(n_words * k), 0)::DOUBLE AS m FROM bd GROUP BY ALL) GROUP BY ALL) USING (system, year)""", "mean ci_low ci_high")
 def f14(t):
-    return resample.bootstrap_mean(agg_only(t), ["year"], "paper_id", "value", REPS, weight="n_words")
+    return resample.bootstrap_mean(record_scores(t), ["system", "year"], "paper_id", "value", BOOT, weight="n_words")
 
 
-@query("f15_paired_difference_ci", f"WITH {RECORDS}, ag AS (SELECT paper_id, domain, agg - xsec AS value FROM rec WHERE xsec IS NOT NULL), " + draws_sql("ag", "domain") + f"""
+@query("f15_paired_difference_ci", f"WITH {RECORDS}, ag AS (SELECT paper_id, domain, agg - xsec AS value FROM rec WHERE xsec IS NOT NULL), " + counted_sql("ag", "domain, value") + f"""
   SELECT domain, n, mean, replicates, ci_low, ci_high FROM (SELECT domain, count(*) AS n, avg(value) AS mean FROM ag GROUP BY 1) JOIN
-  (SELECT domain, {CI} FROM (SELECT domain, rep, avg(value) AS m FROM sm GROUP BY 1, 2) GROUP BY 1) USING (domain)""", "mean ci_low ci_high")
+  (SELECT domain, {CI} FROM (SELECT domain, rep, sum(value * k) / nullif(sum(k), 0)::DOUBLE AS m FROM bd GROUP BY ALL) GROUP BY ALL) USING (domain)""", "mean ci_low ci_high")
 def f15(t):
     paired = records(t).withColumn("diff", F.col("agg") - F.col("xsec"))
-    return resample.bootstrap_mean(paired, ["domain"], "paper_id", "diff", REPS)
+    return resample.bootstrap_mean(paired, ["domain"], "paper_id", "diff", BOOT)
 
 
-@query("f16_difference_of_means_ci", LAB + ", ag AS (SELECT * FROM lab WHERE system = 'agg'), " + draws_sql("ag", "year, label") + f"""
-  SELECT year, difference, replicates, ci_low, ci_high FROM (SELECT year, avg(value) FILTER (label = 1) - avg(value) FILTER (label = 0) AS difference FROM ag GROUP BY 1)
-  JOIN (SELECT year, {CI} FROM (SELECT year, rep, avg(value) FILTER (label = 1) - avg(value) FILTER (label = 0) AS m FROM sm GROUP BY 1, 2) GROUP BY 1) USING (year)""",
-       "difference ci_low ci_high")
+@query("f16_difference_of_means_ci", LAB + ", " + counted_sql("lab", "system, year, label, value") + f"""
+  SELECT system, year, difference, replicates, ci_low, ci_high FROM (SELECT system, year, avg(value) FILTER (label = 1) - avg(value) FILTER (label = 0) AS difference FROM lab GROUP BY 1, 2)
+  JOIN (SELECT system, year, {CI} FROM (SELECT system, year, rep, sum(value * k) FILTER (label = 1) / nullif(sum(k) FILTER (label = 1), 0)::DOUBLE - sum(value * k) FILTER (label = 0) / nullif(sum(k) FILTER (label = 0), 0)::DOUBLE AS m FROM bd GROUP BY ALL) GROUP BY ALL)
+  USING (system, year)""", "difference ci_low ci_high")
 def f16(t):
-    return resample.bootstrap_difference(agg_only(t), ["year"], "paper_id", "value", "label", REPS)
+    return resample.bootstrap_difference(labelled(t), ["system", "year"], "paper_id", "value", "label", BOOT)
 
 
 KW = f"""SELECT system, CAST(sum(n) AS BIGINT) AS n, count(*) AS k,
