@@ -5,10 +5,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkstat.functions import text as T
 from inkstat.operators.resample import hash_int
 
 # fixed values: statuses in the order they are checked
@@ -67,40 +67,32 @@ def declared_by_kind(predictors: DataFrame, key_units: DataFrame) -> DataFrame:
     return k.groupBy("kind").agg(F.count(F.lit(1)).alias("n_key"), F.avg((~F.coalesce(F.col("pred") < F.col("ord"), F.lit(False))).cast("int")).alias("declared_rate"))
 
 
+def depth_in_order(order: Column, incoming: Column) -> Column:
+    """Map unit -> depth when units are read in ``order``; ``incoming`` lists every unit's predictors. What is not read yet has no depth to build on."""
+    return F.aggregate(order, F.create_map().cast("map<int,int>"), lambda seen, unit: F.map_concat(seen, F.create_map(
+        unit, F.coalesce(F.array_max(F.transform(F.get(incoming, unit), lambda s: F.try_element_at(seen, s) + 1)), F.lit(0)))))
+
+
 def shuffle_null(predictors: DataFrame, key_units: DataFrame, sizes: DataFrame, permutations: int = 300, seed: int = 0) -> DataFrame:
-    """Mean build-up of the key units against hash-ordered position permutations of the document.
+    """Mean build-up of the key units against hash-ordered permutations of the document's units.
 
-    One document at a time, a few hundred units at most; each (document, replicate) is its own
-    group, so replicates spread over the cluster. Adds the null mean, its population sd, the
-    difference, z and the share of replicates below the observation.
+    Each (document, permutation) is a row of its own behind one exchange, so permutations spread over the cluster. Adds the
+    null mean, its population sd, the difference, z and the share of permutations below the observation.
     """
     pred = predictors.groupBy("doc_id").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
-    keys = key_units.groupBy("doc_id").agg(F.collect_list("ord").alias("keys"))
-    base = sizes.join(pred, "doc_id").join(keys, "doc_id").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
-    draw = F.transform(F.sequence(F.lit(0), F.col("n_units").cast("int") - 1), lambda i: F.struct(hash_int(F.col("doc_id"), F.col("rep"), i, F.lit(seed)).alias("h"), i.alias("i")))
-    order = F.when(F.col("rep") == 0, F.sequence(F.lit(0), F.col("n_units").cast("int") - 1)).otherwise(F.transform(F.array_sort(draw), lambda d: d["i"]))
-
-    def means(batches):
-        for pdf in batches:
-            out = []
-            for order_, edges, keys_ in zip(pdf["order"], pdf["edges"], pdf["keys"]):
-                pos = {int(u): p for p, u in enumerate(order_)}
-                incoming: dict[int, list[int]] = {}
-                for e in edges:
-                    incoming.setdefault(int(e["dst"]), []).append(int(e["src"]))
-                depth: dict[int, int] = {}
-                for u in order_:
-                    back = [depth[s] + 1 for s in incoming.get(int(u), ()) if pos.get(s, len(pos)) < pos[int(u)]]
-                    depth[int(u)] = max(back, default=0)
-                out.append(sum(depth.get(int(k), 0) for k in keys_) / len(keys_))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "rep": pdf["rep"], "m": out})
-
-    per = base.select("doc_id", "rep", order.alias("order"), "edges", "keys").mapInPandas(means, "doc_id long, rep int, m double")
-    obs = per.where("rep = 0").select("doc_id", F.col("m").alias("observed"))
-    null = per.where("rep > 0").join(obs, "doc_id").groupBy("doc_id").agg(
-        F.first("observed").alias("observed"), F.avg("m").alias("null_mean"), F.stddev_pop("m").alias("null_sd"), F.avg((F.col("m") < F.col("observed")).cast("int")).alias("null_pct"))
+    keys = key_units.groupBy("doc_id").agg(F.collect_list(F.col("ord").cast("int")).alias("keys"))
+    base = sizes.where("n_units > 0").join(pred, "doc_id").join(keys, "doc_id").withColumn("units", F.sequence(F.lit(0), F.col("n_units").cast("int") - 1))
+    base = base.withColumn("incoming", F.transform("units", lambda u: F.transform(F.filter("edges", lambda e: e["dst"] == u), lambda e: e["src"].cast("int"))))
+    base = base.select("doc_id", "units", "incoming", "keys", F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("rep")).repartition("doc_id", "rep")
+    drawn = F.transform("units", lambda i: F.struct(hash_int(F.col("doc_id"), F.col("rep"), i, F.lit(seed)).alias("h"), i.alias("i")))
+    order = F.when(F.col("rep") == 0, F.col("units")).otherwise(F.transform(F.array_sort(drawn), lambda d: d["i"]))
+    total = T.let(depth_in_order(order, F.col("incoming")), lambda depth: F.aggregate("keys", F.lit(0), lambda x, k: x + F.coalesce(F.try_element_at(depth, k), F.lit(0))))
+    per = base.select("doc_id", "rep", (total / F.size("keys")).alias("m"))
+    observed, null = F.max(F.when(F.col("rep") == 0, F.col("m"))), F.when(F.col("rep") > 0, F.col("m"))
+    rows = per.groupBy("doc_id").agg(observed.alias("observed"), F.avg(null).alias("null_mean"), F.stddev_pop(null).alias("null_sd"), F.collect_list(null).alias("nulls"))
+    below = F.size(F.filter("nulls", lambda x: x < F.col("observed"))) / F.size("nulls")
     gap = F.col("observed") - F.col("null_mean")
-    return null.withColumns({"abu": gap, "abu_z": gap / F.when(F.col("null_sd") > 0, F.col("null_sd")).otherwise(1e-9)})
+    return rows.select("doc_id", "observed", "null_mean", "null_sd", below.alias("null_pct"), gap.alias("abu"), (gap / F.when(F.col("null_sd") > 0, F.col("null_sd")).otherwise(1e-9)).alias("abu_z"))
 
 
 def eligibility(n_words: Column, n_sentences: Column, n_labelled: Column, n_scored: Column, labels_stage: Column) -> Column:

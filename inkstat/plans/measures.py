@@ -317,10 +317,22 @@ def c30b(t):
     return A.declared_by_kind(A.top_predictors(edges(t), 1), key_units(t)[0])
 
 
-@query("c31_shuffle_null")
+# each unit has at most one predictor here, so a depth is a walk along them as far as they precede in the drawn order
+NULLS = KEYS + """, hk AS (SELECT DISTINCT doc_id FROM ku), he AS (SELECT DISTINCT doc_id FROM tp),
+  hs AS (SELECT doc_id, rep, i, CASE WHEN rep = 0 THEN i ELSE CAST('0x' || substr(md5(doc_id || ':' || rep || ':' || i || ':0'), 1, 8) AS BIGINT) END AS h FROM un SEMI JOIN hk USING (doc_id) SEMI JOIN he USING (doc_id), (SELECT unnest(range(0, 301)) AS rep)),
+  ps AS (SELECT doc_id, rep, i, row_number() OVER (PARTITION BY doc_id, rep ORDER BY h, i) AS pos FROM hs),
+  fw AS (SELECT d.doc_id, d.rep, tp.src, tp.dst FROM tp JOIN ps d ON d.doc_id = tp.doc_id AND d.i = tp.dst JOIN ps s ON s.doc_id = tp.doc_id AND s.i = tp.src AND s.rep = d.rep WHERE s.pos < d.pos),
+  wk AS (SELECT doc_id, rep, i AS unit, 0 AS depth FROM ps ANTI JOIN fw ON fw.doc_id = ps.doc_id AND fw.rep = ps.rep AND fw.dst = ps.i
+    UNION ALL SELECT fw.doc_id, fw.rep, fw.dst, wk.depth + 1 FROM fw JOIN wk ON wk.doc_id = fw.doc_id AND wk.rep = fw.rep AND wk.unit = fw.src),
+  mn AS (SELECT wk.doc_id, rep, avg(depth) AS m FROM wk JOIN ku ON ku.doc_id = wk.doc_id AND ku.ord = wk.unit GROUP BY 1, 2),
+  ob AS (SELECT doc_id, m AS observed FROM mn WHERE rep = 0),
+  nl AS (SELECT doc_id, max(observed) AS observed, avg(m) AS null_mean, stddev_pop(m) AS null_sd, avg((m < observed)::INT) AS null_pct FROM mn JOIN ob USING (doc_id) WHERE rep > 0 GROUP BY 1)"""
+
+
+@query("c31_shuffle_null", "WITH RECURSIVE " + NULLS + " SELECT *, observed - null_mean AS abu, (observed - null_mean) / CASE WHEN null_sd > 0 THEN null_sd ELSE 1e-9 END AS abu_z FROM nl", "observed null_mean null_sd null_pct abu abu_z")
 def c31(t):
     keys, sizes = key_units(t)
-    return A.shuffle_null(A.top_predictors(edges(t), 1), keys, sizes, permutations=10)
+    return A.shuffle_null(A.top_predictors(edges(t), 1), keys, sizes)
 
 
 @query("c32_eligibility", """SELECT doc_id, CASE WHEN w < 80 THEN 'no_intro' WHEN s < 4 THEN 'too_short' WHEN doc_id % 5 = 0 THEN 'labels_pending' WHEN doc_id % 7 = 0 THEN 'labels_only' WHEN doc_id % 3 = 0 THEN 'pmi_pending' ELSE 'ok' END AS status
