@@ -261,17 +261,18 @@ def cohens_d(df: DataFrame, by: Sequence[str], value: str, flag: str) -> DataFra
 # --------------------------------------------------------------------------- logistic fits
 
 
-def _newton(step, start: list[float], iterations: int, tolerance: float = 1e-10) -> list[float]:
+def _newton(step, start: list[float], iterations: int, tolerance: float = 1e-10) -> tuple[list[float], int, bool]:
+    """Coefficients, steps taken, and whether the last step was below the tolerance."""
     import numpy as np
 
-    beta = np.array(start, dtype=float)
-    for _ in range(iterations):
+    beta, turn, still = np.array(start, dtype=float), 0, False
+    while turn < iterations and not still:
         gradient, hessian = step(beta)
         move = np.linalg.solve(hessian, gradient)
-        beta = beta + move
-        if np.abs(move).max() < tolerance:
+        if not np.isfinite(move).all():
             break
-    return [float(b) for b in beta]
+        beta, turn, still = beta + move, turn + 1, bool(np.abs(move).max() < tolerance)
+    return [float(b) for b in beta], turn, still
 
 
 def _newton_sums(df: DataFrame, xs: Sequence[Column], beta, y: Column, weight: Column) -> tuple:
@@ -296,12 +297,12 @@ def _newton_sums(df: DataFrame, xs: Sequence[Column], beta, y: Column, weight: C
 def fit_calibration(df: DataFrame, value: str, label: str = "label", ridge: float = 1e-3, iterations: int = 40) -> dict[str, float]:
     """1-D logistic of the label on the standardized score with an L2 term on both coefficients.
 
-    The data are first reduced to distinct (value, label) counts; every Newton step is one
-    aggregate over them and only the two coefficients reach the driver.
+    The data are first reduced to distinct (value, label) counts, stored once; every Newton step is one
+    aggregate over them and only the two coefficients reach the driver. ``converged`` is false where the steps did not end.
     """
     import numpy as np
 
-    cell = df.where(F.col(value).isNotNull()).groupBy(value, label).agg(F.count(F.lit(1)).alias("n"))
+    cell = cut(df.where(F.col(value).isNotNull()).groupBy(value, label).agg(F.count(F.lit(1)).alias("n")))
     v, w = F.col(value).cast("double"), F.col("n")
     m = cell.agg((F.sum(v * w) / F.sum(w)).alias("mu"), F.sum(v * v * w).alias("ss"), F.sum(w).alias("n")).first()
     var = cell.agg((F.sum((v - F.lit(m["mu"])) * (v - F.lit(m["mu"])) * w) / F.sum(w)).alias("v")).first()["v"]
@@ -312,8 +313,8 @@ def fit_calibration(df: DataFrame, value: str, label: str = "label", ridge: floa
         g, h = _newton_sums(cell, xs, beta, F.col(label).cast("double"), w)
         return g - 2 * ridge * beta, h + 2 * ridge * np.eye(2)
 
-    a, b = _newton(step, [0.0, 0.0], iterations)
-    return {"a": a, "b": b, "mu": float(m["mu"]), "sd": sd, "n": int(m["n"])}
+    (a, b), turns, converged = _newton(step, [0.0, 0.0], iterations)
+    return {"a": a, "b": b, "mu": float(m["mu"]), "sd": sd, "n": int(m["n"]), "iterations": turns, "converged": converged}
 
 
 def apply_calibration(value: Column, cal: dict[str, float]) -> Column:
@@ -321,13 +322,14 @@ def apply_calibration(value: Column, cal: dict[str, float]) -> Column:
 
 
 def fit_logistic(df: DataFrame, predictors: Sequence[str], label: str, iterations: int = 60) -> DataFrame:
-    """k-D Newton logistic on standardized predictors; one row per term."""
+    """k-D Newton logistic on standardized predictors; one row per term, with whether the steps ended (separable data never do)."""
     import numpy as np
 
     ok = df.where(F.col(label).isNotNull())
     for p in predictors:
         ok = ok.where(F.col(p).isNotNull())
     s = ok.agg(*[F.avg(p).alias(f"m_{p}") for p in predictors], *[F.stddev_pop(p).alias(f"s_{p}") for p in predictors]).first()
+    ok = cut(ok.select(*dict.fromkeys([*predictors, label])))  # read by every step
     xs = [F.lit(1.0)] + [(F.col(p) - F.lit(float(s[f"m_{p}"]))) / F.lit(float(s[f"s_{p}"] or 1.0)) for p in predictors]
     y = F.col(label).cast("double")
 
@@ -335,9 +337,9 @@ def fit_logistic(df: DataFrame, predictors: Sequence[str], label: str, iteration
         g, h = _newton_sums(ok, xs, beta, y, F.lit(1.0))
         return g, h + 1e-8 * np.eye(len(xs))
 
-    beta = _newton(step, [0.0] * len(xs), iterations, 1e-9)
-    rows = list(zip(["intercept", *predictors], beta))
-    return df.sparkSession.createDataFrame(rows, "term string, coefficient double")
+    beta, _, converged = _newton(step, [0.0] * len(xs), iterations, 1e-9)
+    rows = [(term, b, converged) for term, b in zip(["intercept", *predictors], beta)]
+    return df.sparkSession.createDataFrame(rows, "term string, coefficient double, converged boolean")
 
 
 # --------------------------------------------------------------------------- normalization

@@ -3,6 +3,7 @@
 import math
 import random
 
+import hashlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -220,3 +221,46 @@ def test_retrieval_rank_is_exact(spark):
     got = dict(rows_of(pair_eval.retrieval_ranks(left, right, block=16), "pair_id", "rank"))
     s = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
     assert got == {i: int(1 + (s[i] > s[i, i]).sum()) for i in range(60)}
+
+
+def test_replicate_draws_are_poisson_and_keyed():
+    rng = np.random.default_rng(2)
+    high, low = (rng.integers(0, 2**32, 3000) for _ in range(2))
+    copies = resample.draws(high, low, 400)
+    share = [np.mean(copies == k) for k in range(4)]
+    assert share == pytest.approx([math.exp(-1), math.exp(-1), math.exp(-1) / 2, math.exp(-1) / 6], abs=2e-3)
+    assert abs(np.corrcoef(copies[:, 0], copies[:, 1])[0, 1]) < 0.08 and abs(np.corrcoef(copies[0], copies[1])[0, 1]) < 0.2
+    assert (resample.draws(high[:5], low[:5], 400) == copies[:5]).all()
+    assert not (resample.draws(high[:5], low[5:10], 400) == copies[:5]).all()
+
+
+def test_replicate_sums_equal_a_plain_sum(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), int(i) % 700 if i < 900 else None, float(rng.normal()) if i % 50 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, g int, v double").repartition(5)
+    got = resample.replicate_sums(df, ["g"], "id", ["v"], 30).collect()
+    digest = [hashlib.md5(f"{i}:0".encode()).hexdigest() for i, *_ in rows]
+    copies = resample.draws(np.array([int(d[:8], 16) for d in digest]), np.array([int(d[8:16], 16) for d in digest]), 30)
+    want = {}
+    for (_, g, v), c in zip(rows, copies):
+        want[g] = want.get(g, 0) + c * (v or 0.0)
+    assert len(got) == 30 * len(want)
+    for r in got:
+        assert r["v"] == pytest.approx(want[r["g"]][r["rep"] - 1], abs=1e-9)
+
+
+def test_bootstrap_width_is_the_standard_error(spark):
+    rng = np.random.default_rng(4)
+    v = rng.gamma(2.0, size=4000)
+    df = spark.createDataFrame([(i, i % 2, float(x)) for i, x in enumerate(v)], "id long, label int, v double")
+    one = resample.bootstrap_mean(df.withColumn("g", F.lit("a")), ["g"], "id", "v", 2000).first()
+    assert one["ci_high"] - one["ci_low"] == pytest.approx(2 * 1.96 * v.std() / math.sqrt(len(v)), rel=0.08) and one["replicates"] == 2000
+    two = resample.bootstrap_difference(df.withColumn("g", F.lit("a")), ["g"], "id", "v", "label", 2000).first()
+    assert two["ci_low"] < two["difference"] < two["ci_high"]
+
+
+def test_fits_tell_whether_they_converged(spark):
+    apart = spark.createDataFrame([(float(i), int(i > 5)) for i in range(12)], "x double, y int")
+    mixed = spark.createDataFrame([(float(i), int(i > 5) ^ int(i in (2, 8))) for i in range(12)], "x double, y int")
+    assert not stats.fit_logistic(apart, ["x"], "y", 5).first()["converged"]
+    assert stats.fit_logistic(mixed, ["x"], "y").first()["converged"] and stats.fit_calibration(mixed, "x", "y")["converged"]
