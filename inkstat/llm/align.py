@@ -18,6 +18,7 @@ empty result. Columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -107,6 +108,7 @@ class Aligner:
         self.p = pairs
         self.parts: dict[str, tuple[int, int, str, bytes] | str] = {}
         self.windows: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
+        self.odd: set[str] = set()
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
         """Ids of both sides, and whether both spell space + text."""
@@ -114,22 +116,26 @@ class Aligner:
         a = [x.ids for x in self.p.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         b = self.p.b.encode(texts, num_threads=1)
         length, good = [len(x) for x in spelled], [True] * len(texts)
-        for side, of in ((a, self.p.a_bytes), (b, self.p.b_bytes)):
-            flat = [of[i] for x in side for i in x]
-            stops = np.cumsum([0, *map(len, flat)])[np.cumsum([0, *map(len, side)])]
+        for side, of, size in ((a, self.p.a_bytes, self.p.a_length), (b, self.p.b_bytes, self.p.b_length)):
+            flat = array("I", chain.from_iterable(side))
+            stops = np.concatenate([[0], np.cumsum(size[np.frombuffer(flat, "<u4")])])[np.cumsum([0, *map(len, side)])] if flat else np.zeros(len(side) + 1, dtype=int)
             # all at once if they do, else one by one
-            if np.diff(stops).tolist() != length or b"".join(flat) != b"".join(spelled):
+            if np.diff(stops).tolist() != length or b"".join(map(of.__getitem__, flat)) != b"".join(spelled):
                 good = [g and b"".join(map(of.__getitem__, x)) == s for g, x, s in zip(good, side, spelled)]
         return a, b, good
 
-    def meet(self, split: list[list[str]]) -> None:
-        """Tokenise and align the parts of texts that are not known yet."""
-        fresh = set().union(*split) - self.parts.keys()
+    def meet(self, split: list[list[str]]) -> bool:
+        """Tokenise and align the parts of texts that are not known yet; whether all parts are plain ones."""
+        met = set().union(*split)
+        fresh = met - self.parts.keys()
         if len(self.parts) + len(fresh) > CACHE:  # start anew with the parts of these texts
-            self.parts, self.windows, fresh = {}, {}, set().union(*split)
+            self.parts, self.windows, self.odd, fresh = {}, {}, set(), met
         edges = {w for w in fresh if not w or w[0].isspace() or w[-1].isspace()}
         self.parts.update(dict.fromkeys(edges, EDGE))
-        self.parts.update(self.whole(list(fresh - edges)))
+        found = self.whole(list(fresh - edges))
+        self.parts.update(found)
+        self.odd.update(edges, (w for w, x in found.items() if x is UNLIKE))
+        return self.odd.isdisjoint(met)
 
     def whole(self, texts: list[str]) -> dict[str, tuple[int, int, str, bytes] | str]:
         """Each text, tokenised in one go: token numbers, groups, links; ``UNLIKE`` where the tokens do not spell it."""
@@ -156,10 +162,10 @@ class Aligner:
         """
         if self.p.apart:
             split = [t.split(" ") for t in texts]
-            self.meet(split)
-            found = [[self.parts[w] for w in words] for words in split]
+            plain = self.meet(split)
+            found = [list(map(self.parts.__getitem__, words)) for words in split]
             # white space around a space: cut only where both neighbours are other characters
-            loose = {n: APART.split(texts[n]) for n, f in enumerate(found) if EDGE in f}
+            loose = {} if plain else {n: APART.split(texts[n]) for n, f in enumerate(found) if EDGE in f}
             fresh = set().union(*loose.values())
             more = {w: x for w in fresh if (x := self.parts.get(w, EDGE)) is not EDGE}
             more |= self.whole([w for w in fresh if w not in more])
@@ -168,13 +174,14 @@ class Aligner:
             for w in {w for words in split for w in words if len(w) > LONGEST}:
                 self.parts.pop(w, None)
         else:
-            found = [[UNLIKE]] * len(texts)
-        odd = self.whole([t for t, f in zip(texts, found) if UNLIKE in f])
+            plain, found = False, [[UNLIKE]] * len(texts)
+        unlike = set() if plain else {n for n, f in enumerate(found) if UNLIKE in f}
+        again = self.whole([texts[n] for n in unlike])
         out = []
-        for text, parts in zip(texts, found):
-            if UNLIKE in parts:
-                parts = [odd[text]]
-            if UNLIKE in parts:
+        for n, parts in enumerate(found):
+            if n in unlike:
+                parts = [again[texts[n]]]
+            if parts[0] is UNLIKE:
                 out.append((0, 0, "", b""))
             else:
                 n_a, n_b, groups, links = zip(*parts)
@@ -232,6 +239,7 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(pairs_of(byte_level, pieces))
+        gc.disable()  # the memories are millions of small objects without cycles
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             # a bounded amount of text at a time, so long texts do not pile up as lists of words
@@ -250,6 +258,7 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
                     [batch.column(0).slice(at, end - at), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(groups, pa.string()), pa.array(links, pa.binary())],
                     names=["doc_id", "n_a", "n_b", "groups", "links"])
                 at = end
+        gc.enable()
 
     return docs.select("doc_id", "text").mapInArrow(run, ALIGNED.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
