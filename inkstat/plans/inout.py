@@ -91,7 +91,7 @@ def a8(t):
 def source_files(t):
     """Every document as a main file that includes its parts; every fourth part is missing."""
     lines = F.filter(F.split("text", "\n"), lambda x: x != "")
-    n = F.least(F.size(lines), F.lit(5))
+    n = F.size(lines)
     parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.format_string("parts/p%d.tex", i).alias("path"), F.concat(F.get(lines, i), F.lit(" % dropped \\input{parts/p0}")).alias("text")))
     kept = F.filter(parts, lambda p, i: (i % 4) != 3)
     main = F.concat(F.lit("\\documentclass{article}\n% \\input{draft}\n\\begin{document}\n"), F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.format_string("\\input{parts/p%d}", i)), "\n"), F.lit("\n\\input{parts/p0}\\end{document}\n"))
@@ -101,7 +101,7 @@ def source_files(t):
     return docs.select("doc_id", F.inline(files))
 
 
-FILES = """fl AS (SELECT doc_id, l, least(len(l), 5) AS n FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents) WHERE len(l) > 0)"""
+FILES = """fl AS (SELECT doc_id, l, len(l) AS n FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents) WHERE len(l) > 0)"""
 
 
 @query("a9_source_scan", "SELECT lang AS doc_id, count(DISTINCT doc_id // 100) AS n_files, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY lang")
@@ -125,8 +125,8 @@ def a10b(t):
     return io.root_file(source_files(t), 2)
 
 
-@query("a11_include_expansion", f"""WITH {FILES} SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN n > 3 THEN 'parts/p3' ELSE '' END AS missing,
-  '\\documentclass{{article}}' || chr(10) || chr(10) || '\\begin{{document}}' || chr(10) || array_to_string(list_transform(range(n), lambda i: CASE WHEN i = 3 THEN chr(10) || '% MISSING INPUT parts/p3' || chr(10) ELSE chr(10) || regexp_replace(l[i + 1], '%.*$', '') || CASE WHEN contains(l[i + 1], '%') THEN '' ELSE ' ' END || chr(10) END), chr(10)) || chr(10) || chr(10) || chr(10) || '\\end{{document}}' || chr(10) AS tex FROM fl""")
+@query("a11_include_expansion", f"""WITH {FILES} SELECT doc_id, array_to_string(list_transform(list_filter(range(n), lambda i: i % 4 = 3), lambda i: 'parts/p' || i), ' ') AS missing,
+  '\\documentclass{{article}}' || chr(10) || chr(10) || '\\begin{{document}}' || chr(10) || array_to_string(list_transform(range(n), lambda i: CASE WHEN i % 4 = 3 THEN chr(10) || '% MISSING INPUT parts/p' || i || chr(10) ELSE chr(10) || regexp_replace(l[i + 1], '%.*$', '') || CASE WHEN contains(l[i + 1], '%') THEN '' ELSE ' ' END || chr(10) END), chr(10)) || chr(10) || chr(10) || chr(10) || '\\end{{document}}' || chr(10) AS tex FROM fl""")
 def a11(t):
     files = source_files(t)
     return io.expand_includes(files, io.root_file(files)).select("doc_id", F.array_join("missing", " ").alias("missing"), "tex")

@@ -85,7 +85,7 @@ def read_sources(spark: SparkSession, folder: str, suffix: str = ".tex") -> Data
 def root_file(files: DataFrame, rule: int = 1) -> DataFrame:
     """The main file of every document among those with a document class.
 
-    Rule 1: has a document body, most inputs, longest. Rule 2 (body required): shallowest, then
+    Rule 1: has a document body, most inputs, longest, of equal ones the last path. Rule 2 (body required): shallowest, then
     main.tex before conference/paper names before others, then longest.
     """
     base = F.lower(F.element_at(F.split("path", "/"), -1))
@@ -94,22 +94,29 @@ def root_file(files: DataFrame, rule: int = 1) -> DataFrame:
         "_b": body.cast("int"), "_i": F.regexp_count("text", F.lit(r"\\(?:input|include)\{")), "_l": F.length("text"), "_d": F.size(F.split("path", "/")),
         "_p": F.when(base == "main.tex", 0).when(base.rlike("conference|paper"), 1).otherwise(2)})
     if rule == 1:
-        key = F.struct((-F.col("_b")).alias("a"), (-F.col("_i")).alias("b"), (-F.col("_l")).alias("c"), "path")
+        key = F.max(F.struct("_b", "_i", "_l", "path"))
     else:
         c = c.where("_b = 1")
-        key = F.struct("_d", "_p", (-F.col("_l")).alias("c"), "path")
-    return c.groupBy("doc_id").agg(F.min(key).alias("k")).select("doc_id", F.col("k.path").alias("root"))
+        key = F.min(F.struct("_d", "_p", (-F.col("_l")).alias("c"), "path"))
+    return c.groupBy("doc_id").agg(key.alias("k")).select("doc_id", F.col("k.path").alias("root"))
 
 
 # fixed value: the macros that read another file, with one or two arguments
 INCLUDE = r"\\(?:input|include|subfile)\{([^}]+)\}|\\(?:sub)?import\{([^}]*)\}\{([^}]+)\}"
 
 
+def _folded(path: Column) -> Column:
+    """A path without ``.`` and empty steps, each ``..`` taking back the step before it."""
+    steps = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    back = lambda held, x: (x == "..") & (F.size(held) > 0) & (F.coalesce(F.element_at(F.concat(F.array(F.lit("..")), held), -1), F.lit("..")) != "..")
+    return F.array_join(F.aggregate(steps, F.array().cast("array<string>"), lambda held, x: F.when(back(held, x), F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.array_append(held, x))), "/")
+
+
 def _places(name: Column, here: Column, root: Column) -> Column:
-    """Paths that an include may mean, best first: as written, from the root's folder, from the including file's, flattened, by its last part."""
+    """Paths that an include may mean, best first: as written, from the root's folder, from the including file's, flattened, by its last part; ``..`` is followed."""
     folder = lambda path: F.regexp_extract(path, r"^(.*/)?", 0)
     names = F.array(name, F.concat(folder(root), name), F.concat(folder(here), name), F.regexp_replace(name, "/", "__"), F.element_at(F.split(name, "/"), -1))
-    plain = F.transform(names, lambda p: F.regexp_replace(F.regexp_replace(p, r"(^|/)(\./)+", "$1"), "/{2,}", "/"))
+    plain = F.transform(names, _folded)
     return F.flatten(F.transform(plain, lambda p: F.array(p, F.concat(p, F.lit(".tex")))))
 
 
@@ -121,8 +128,7 @@ def expand_includes(files: DataFrame, roots: DataFrame, depth: int = 12) -> Data
     the way to it, so the first place of a file is the smallest and the text follows by sorting.
     Comments are stripped first, so a commented include stays out.
     """
-    doc = F.col("doc_id").cast("string").alias("doc_id")
-    clean = files.select(doc, "path", T.strip_comments(F.col("text")).alias("text"))
+    clean = files.select("doc_id", "path", T.strip_comments(F.col("text")).alias("text"))
     macros = F.regexp_extract_all("text", F.lit("(" + INCLUDE + ")"), F.lit(1))
     part = lambda m, g: F.regexp_extract(m, INCLUDE, g)
     names = F.transform(macros, lambda m: F.trim(F.when(part(m, 1) != "", part(m, 1)).otherwise(F.concat(part(m, 2), F.when((part(m, 2) != "") & ~part(m, 2).endswith("/"), "/").otherwise(""), part(m, 3)))))
@@ -130,7 +136,7 @@ def expand_includes(files: DataFrame, roots: DataFrame, depth: int = 12) -> Data
     includes = parts.select("doc_id", F.col("path").alias("here"), F.posexplode("names").alias("k", "name"))
     paths = parts.select("doc_id", "path")
 
-    level = cut(roots.select(doc, "root", F.array().cast("array<int>").alias("at"), F.col("root").alias("path")).join(paths, ["doc_id", "path"], "left_semi").select("doc_id", "root", "at", "path"))
+    level = cut(roots.select("doc_id", "root", F.array().cast("array<int>").alias("at"), F.col("root").alias("path")).join(paths, ["doc_id", "path"], "left_semi").select("doc_id", "root", "at", "path"))
     met, lost, deep = level, None, None
     for n in range(depth + 1):
         asked = level.withColumnRenamed("path", "here").join(includes, ["doc_id", "here"]).select("doc_id", "root", "here", "name", F.concat("at", F.array(2 * F.col("k") + 1)).alias("at"))

@@ -191,6 +191,21 @@ def test_includes_expand_once_in_order(spark):
     assert re.sub(r"\s+", " ", r["tex"]) == "\\documentclass{a}\\begin{document}S X Y Z % MISSING INPUT gone \\end{document}" and r["missing"] == ["gone"]
 
 
+def test_include_paths_follow_steps_back(spark):
+    body = "\\begin{document}\\input{../sec/a}\\input{./b}\\input{../../top}\\end{document}"
+    files = [(7, "src/main.tex", "\\documentclass{a}" + body), (7, "sec/a.tex", "A \\input{../src/./c}"), (7, "src/b.tex", "B"), (7, "src/c.tex", "C"), (7, "a.tex", "wrong"), (7, "deep/sec/a.tex", "wrong")]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    r = io.expand_includes(df, spark.createDataFrame([(7, "src/main.tex")], "doc_id long, root string")).first()
+    assert re.sub(r"\s+", " ", r["tex"]) == "\\documentclass{a}\\begin{document} A C B % MISSING INPUT ../../top \\end{document}"
+    assert r["doc_id"] == 7 and r["missing"] == ["../../top"]
+
+
+def test_equal_root_candidates_take_the_last_path(spark):
+    text = "\\documentclass{a}\\begin{document}\\end{document}"
+    df = spark.createDataFrame([(1, "b.tex", text), (1, "c.tex", text), (1, "a.tex", text), (1, "z.tex", "\\documentclass{a}" + " " * 99)], "doc_id long, path string, text string")
+    assert io.root_file(df).first()["root"] == "c.tex"
+
+
 def test_torn_json_tail_and_null_spellings(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": 1, "score": "0.5"}\n{"id": 2, "score": "None"}\n{"id": 3, "sc')
     rows = io.read_jsonl(spark, str(tmp_path / "a.jsonl"), "id BIGINT, score STRING", strict=False).where("id IS NOT NULL")
