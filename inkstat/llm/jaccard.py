@@ -7,8 +7,12 @@ no candidate is dropped without proof, and every link is counted on the whole se
 1. Shingles found in ``long_list`` texts or more are *long lists*. They are counted over all
    texts; what the tasks keep of them is a bitmap of fixed size (``2**BITS`` bits).
 2. Equal sets are one class; only its representative goes on.
-3. Representatives that share a MinHash band are compared with the smallest of their band: one
-   comparison per member, not one per pair. Groups of near copies fall together here.
+3. Representatives that share a MinHash band are compared with a centre of their band: one
+   comparison per member, not one per pair. The centre is the member with the largest share of
+   shingles in long lists; among many near copies that is the text they were made from, whatever
+   its id. Members that it does not reach get further centres (``star_rounds``). Texts whose lists
+   then still meet another component are compared with that component's hub, once per component.
+   Groups of near copies fall together here.
 4. T-occurrence over the cluster: short lists first, then long ones, each set is ordered alike.
    A pair that links shares at least ``turn`` of its first ``n - ceil(0.8 n) + turn`` shingles, so
    only those are dealt out as inverted lists. As in DivideSkip long lists produce no candidates
@@ -41,6 +45,8 @@ BANDS, ROWS = 3, 2
 LONG_LIST = 64
 FLUSH = 1 << 20
 GROUP_ELEMENTS = 500_000
+CROWD = 16  # fewer members of a band than this need no further centre
+MISSES = 2  # centres in a row that reach nobody before a band gets no other
 
 
 def overlap(percent: int, na, nb):
@@ -243,12 +249,38 @@ def postings(reps: DataFrame, parts: int) -> DataFrame:
     return reps.select("doc_id", "prefix").mapInArrow(tokens, "part int, c0 binary, c1 binary").groupBy("part").applyInArrow(repeated, "token long, doc_id long")
 
 
-def candidates(reps: DataFrame, near: DataFrame, percent: int, hot: np.ndarray, parts: int, scratch: Scratch, name: str) -> DataFrame:
-    """(a, b, n): pairs of representatives of different components that occur together often enough in the lists."""
-    spark = reps.sparkSession
+def star_rounds(reps: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between centres of MinHash bands and members of their bands.
+
+    Each round compares every open member with one centre. What a centre does not reach goes on
+    with the next one while ``CROWD`` members are left and not more than ``MISSES`` centres in a row
+    reached nobody. Rounds only find links early; the search of the lists misses none.
+    """
+    start = reps.select("doc_id", "n", (F.col("n_long") / F.col("n")).alias("common"), F.explode("bands").alias("band"), F.lit(0).alias("missed"))
+    members, found, turn = scratch.save(start, "members-0"), None, 0
+    while True:
+        best = F.max_by(F.struct("doc_id", "n"), F.struct("common", (-F.col("doc_id")).alias("first"))).alias("c")
+        centre = members.groupBy("band").agg(best, F.count("*").alias("m")).where("m > 1").select("band", F.col("c.doc_id").alias("a"), F.col("c.n").alias("a_n"))
+        asked = members.join(centre, "band").where("doc_id <> a")
+        pairs = asked.where(f"100 * least(n, a_n) >= {percent} * greatest(n, a_n)").select("a", F.col("doc_id").alias("b"), "n").distinct()
+        links = linked(pairs, docs, k, percent, scratch, f"stars-{turn}")
+        found = links if found is None else found.union(links)
+        rest = asked.join(links, (asked.a == links.a) & (asked.doc_id == links.b), "left").select("doc_id", "n", "common", "band", "missed", links.b.isNotNull().alias("won"))
+        state = rest.groupBy("band").agg(F.sum(F.expr("int(NOT won)")).alias("left"), F.max("won").alias("any"), F.max("missed").alias("before"))
+        goes_on = state.withColumn("missed", F.expr("CASE WHEN any THEN 0 ELSE before + 1 END")).where(f"left >= {CROWD} AND missed <= {MISSES}").select("band", "missed")
+        turn += 1
+        members = scratch.save(rest.where("NOT won").drop("won", "missed").join(goes_on, "band").select(*start.columns), f"members-{turn}")
+        scratch.drop(f"members-{turn - 1}")
+        if not members.limit(1).count():
+            scratch.drop(f"members-{turn}")
+            return found.distinct()
+
+
+def short_lists(reps: DataFrame, near: DataFrame, percent: int, hot: np.ndarray, parts: int, scratch: Scratch) -> DataFrame:
+    """(token, doc_id, n, n_long, comp, is_long): the inverted lists that can produce candidates."""
     known = reps.select("doc_id", "n", "n_long").join(near, reps.doc_id == near.node, "left").select("doc_id", "n", "n_long", F.coalesce("component", "doc_id").alias("comp"))
     # one bit decides whether a list is long; the bitmap goes to the tasks as a broadcast value of fixed size
-    bits = spark.sparkContext.broadcast(hot)
+    bits = reps.sparkSession.sparkContext.broadcast(hot)
 
     def flag(batches):
         for batch in batches:
@@ -256,10 +288,27 @@ def candidates(reps: DataFrame, near: DataFrame, percent: int, hot: np.ndarray,
             yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("doc_id"), pa.array(marked(bits.value, at))], names=["token", "doc_id", "is_long"])
 
     rows = postings(reps, parts).mapInArrow(flag, "token long, doc_id long, is_long boolean").join(known, "doc_id")
-    rows = scratch.save(rows.where(f"NOT is_long OR 100 * n_long >= {percent} * n").distinct(), f"{name}-lists")
+    return scratch.save(rows.where(f"NOT is_long OR 100 * n_long >= {percent} * n").distinct(), "rest-lists")
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """Lists that several components meet in: their main component and whether a row lies apart from it."""
     by_comp = rows.groupBy("token", "comp").count()
     mixed = by_comp.groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("token", "main")
-    lists = scratch.save(rows.join(mixed, "token").withColumn("apart", F.col("comp") != F.col("main")), f"{name}-mixed")
+    return rows.join(mixed, "token").withColumn("apart", F.col("comp") != F.col("main"))
+
+
+def hub_pairs(lists: DataFrame, links: DataFrame, near: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n): texts that lie apart in a list, with the best linked text of the list's main component."""
+    degree = links.groupBy("a").count()
+    hubs = degree.join(near, degree.a == near.node).groupBy(F.col("component").alias("main")).agg(F.max_by("a", F.struct("count", "a")).alias("a"))
+    sized = hubs.join(reps.select(F.col("doc_id").alias("a"), F.col("n").alias("a_n")).distinct(), "a")
+    return (lists.where("apart").select(F.col("doc_id").alias("b"), "n", "main").distinct().join(sized, "main")
+            .where(f"a <> b AND 100 * least(n, a_n) >= {percent} * greatest(n, a_n)").select("a", "b", "n").distinct())
+
+
+def candidates(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n): pairs of representatives of different components that occur together often enough in the lists."""
     left = lists.where("apart").select("token", "is_long", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "n_long", "comp")))
     right = lists.select("token", *(F.col(c).alias(f"y_{c}") for c in ("doc_id", "n", "n_long", "comp", "apart")))
     met = left.join(right, "token").where(
@@ -288,19 +337,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, long_list
     classes = scratch.save(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = scratch.save(full.join(classes.select("d1", "d2", F.col("rep").alias("doc_id")), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"]), "reps")
 
-    band = reps.select("doc_id", "n", F.explode("bands").alias("band"))
-    centre = band.groupBy("band").agg(F.min("doc_id").alias("a"), F.min_by("n", "doc_id").alias("a_n"), F.count("*").alias("m")).where("m > 1")
-    stars = band.join(centre, "band").where(f"doc_id <> a AND 100 * least(n, a_n) >= {percent} * greatest(n, a_n)").select("a", F.col("doc_id").alias("b"), "n").distinct()
-    first = linked(stars, docs, k, percent, scratch, "stars")
+    first = star_rounds(reps, docs, k, percent, scratch)
     near = components(first, scratch, "near")
-    second = linked(candidates(reps, near, percent, hot, parts, scratch, "rest"), docs, k, percent, scratch, "found")
+    lists = short_lists(reps, near, percent, hot, parts, scratch)
+    hubs = linked(hub_pairs(apart(lists), first, near, reps, percent), docs, k, percent, scratch, "hubs")
+    # both ends of a hub's link change to one component; the lists are contracted before pairs are sought
+    ends = hubs.join(near.select(F.col("node").alias("a"), F.col("component").alias("a_comp")), "a").join(near.select(F.col("node").alias("b"), F.col("component").alias("b_comp")), "b", "left")
+    joined = components(ends.select(F.col("a_comp").alias("a"), F.coalesce("b_comp", "b").alias("b")), scratch, "joined")
+    merged = lists.join(joined, lists.comp == joined.node, "left").withColumn("comp", F.coalesce("component", "comp")).drop("node", "component")
+    second = linked(candidates(scratch.save(apart(merged), "rest-mixed"), percent), docs, k, percent, scratch, "found")
 
     owners = scratch.save(full.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "rep"), "owners")
     twice = owners.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("doc_id", "lo")
-    links = first.union(second).union(owners.join(twice, "doc_id").select(F.col("lo").alias("a"), F.col("rep").alias("b")))
+    links = first.union(hubs).union(second).union(owners.join(twice, "doc_id").select(F.col("lo").alias("a"), F.col("rep").alias("b")))
     label = components(links, scratch, "all")
     at = owners.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(label, F.col("rep") == label.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(at, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     done = scratch.save(out, "result")
-    scratch.drop("profiles", "classes", "reps", "rest-lists", "rest-mixed", "owners", "stars", "found")
+    scratch.drop("profiles", "classes", "reps", "rest-lists", "rest-mixed", "owners", "hubs", "found")
     return done

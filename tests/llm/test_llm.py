@@ -154,6 +154,24 @@ def test_jaccard_with_chains_long_lists_and_passages(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: want.get(i, i) for i, _ in rows}
 
 
+@pytest.mark.parametrize("hub", [0, 10**6, 2 * 10**6])
+def test_jaccard_pairs_grow_with_members_whatever_the_id_of_the_hub(spark, monkeypatch, hub):
+    """Copies that link only with the text they were made from: a few comparisons a member, not one per pair."""
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 200)]
+    rows = [(hub, " ".join(base))]
+    for doc in rng.choice(np.arange(1, 2 * 10**6), 240, replace=False).tolist():
+        words = list(base)
+        for at in rng.choice(200, 4, replace=False):
+            words[at] = f"x{rng.integers(1 << 40)}"
+        rows.append((doc + (doc == hub), " ".join(words)))
+    asked, search = [], J.linked
+    monkeypatch.setattr(J, "linked", lambda pairs, *rest: asked.append(pairs.count()) or search(pairs, *rest))
+    got = {r["doc_id"]: r["component_id"] for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(rows)
+    assert sum(asked) < 5 * len(rows)
+
+
 def test_divide_skip_equals_counting():
     rng = np.random.default_rng(0)
     for _ in range(60):
