@@ -244,3 +244,40 @@ def test_upsert_keeps_the_latest_record_across_batches(spark, tmp_path):
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(src))
         got = incremental.upsert_latest(stream, ["k"], "ts", "line", str(tmp_path / "sink"), str(tmp_path / "ckpt"))
     assert sorted((r["k"], r["v"]) for r in got.collect()) == [(1, "a"), (2, "tie"), (3, "new")]
+
+
+def test_upsert_rewrites_only_touched_buckets(spark, tmp_path):
+    """Three batches, one of them replayed; files of untouched buckets stay, a gap and another number of buckets raise."""
+    schema, sink = "k long, ts long, line long, v string", str(tmp_path / "sink")
+    batches = [[(k, 1, k, f"a{k}") for k in range(200)], [(7, 2, 300, "b7"), (500, 1, 301, "new"), (8, 0, 302, "late"), (None, 1, 303, "null")], [(7, 3, 400, "c7")], []]
+
+    def files():
+        return {f: f.stat().st_mtime_ns for f in (tmp_path / "sink" / "data").rglob("*.parquet")}
+
+    def put(i, buckets=16):
+        incremental.upsert_batch(spark.createDataFrame(batches[i], schema), i, ["k"], "ts", "line", sink, buckets)
+        return files()
+
+    def model(upto):
+        best = {}
+        for k, ts, line, v in (r for b in batches[: upto + 1] for r in b):
+            best[k] = max(best.get(k, (-1, -1, "")), (ts, line, v))
+        return sorted(((k, v) for k, (_, _, v) in best.items()), key=str)
+
+    def now(i):
+        return sorted(((r["k"], r["v"]) for r in incremental.latest_table(spark, sink, schema, i).collect()), key=str)
+
+    first = put(0)
+    second = put(1)
+    assert all(second[f] == at for f, at in first.items())
+    assert len({f.parent for f in second if "generation=1" in str(f)}) <= 4
+    third = put(2)
+    assert len([f for f in third if "generation=2" in str(f)]) == 1 and now(2) == model(2)
+    again = put(1)  # replayed after a restart: the same rows, nothing of the first batch touched
+    assert all(again[f] == at for f, at in first.items()) and now(1) == model(1)
+    put(2), put(3)
+    assert now(3) == now(2) == model(3) and now(0) == model(0)
+    with pytest.raises(ValueError, match="missing"):
+        incremental.upsert_batch(spark.createDataFrame(batches[2], schema), 9, ["k"], "ts", "line", sink, 16)
+    with pytest.raises(ValueError, match="16 buckets"):
+        put(2, 8)
