@@ -291,8 +291,8 @@ def caveat_flags(pairs: DataFrame) -> DataFrame:
 
 
 def tfidf_weights(docs: DataFrame, min_df: int = 2, stop: Sequence[str] = tuple(P.STOP_WORDS)) -> DataFrame:
-    """(doc_id, term, w): uni- and bigrams, (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), l2-normalized."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9_]{2,}"), F.lit(0)), lambda w: ~w.isin(list(stop)))
+    """(doc_id, term, w): uni- and bigrams of words in any script, (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), l2-normalized."""
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(list(stop)))
     follow = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
     counts = docs.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.concat("w", follow)).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = docs.agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))
@@ -304,50 +304,54 @@ def tfidf_weights(docs: DataFrame, min_df: int = 2, stop: Sequence[str] = tuple(
     return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def top_neighbours(queries: DataFrame, docs: DataFrame, k: int = 3, query_block: int = 256, doc_block: int = 1024) -> DataFrame:
-    """The k most similar documents of every query by cosine, exactly.
+def top_neighbours(queries: DataFrame, docs: DataFrame, k: int = 3, champions: int = 12, split: int = 100_000) -> DataFrame:
+    """The k most similar documents of every query by cosine, exactly; ties go to the smaller id.
 
-    Both sides are (doc_id, term, w). Only document terms some query has can add to a cosine, so
-    the rest is dropped first. Both sides are then packed into blocks of bounded size; a document
-    block meets every query block inside a task that accumulates all dot products from an
-    inverted index and emits the best k per query, never a (query, document) pair.
+    Both sides are (doc_id, term, w) with lengths of at most 1 and no negative weights. Sums over the
+    ``champions`` heaviest documents of each term pick a few documents whose cosines give every
+    query a floor below its k-th best. Its most frequent terms are then set aside for as long as all
+    of them together stay under that floor: a document that shares only those cannot get among the
+    best. The other terms meet the postings, sums that cannot reach the floor any more are dropped,
+    and what was set aside is added for the rest. Postings of a term move in parts of about
+    ``split`` documents. A query with no k documents in common keeps all terms; one that shares no
+    term, or has none, gives no row.
     """
-    def packed(weights: DataFrame, size: int, name: str) -> DataFrame:
-        vec = weights.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("v")).select(
-            "doc_id", F.transform("v", lambda x: x["term"]).alias("terms"), F.transform("v", lambda x: x["w"]).alias("weights"))
-        return ranks.numbered(vec, [], "doc_id").withColumn(name, F.floor((F.col("rn") - 1) / size)).groupBy(name).agg(
-            F.collect_list(F.struct("doc_id", "terms", "weights")).alias(f"{name}_rows"))
-
-    q = cut(packed(queries, query_block, "q"))
-    d = packed(docs.join(queries.select("term").distinct(), "term", "left_semi"), doc_block, "d")
-    last = q.agg(F.max("q").alias("last")).withColumn("_one", F.lit(1))
-    visits = d.withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one").withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")))
-
-    def score(batches):
-        import numpy as np
-
-        for pdf in batches:
-            for qs, ds in zip(pdf["q_rows"], pdf["d_rows"]):
-                index: dict[str, list] = {}
-                for qi, row in enumerate(qs):
-                    for term, w in zip(row["terms"], row["weights"]):
-                        index.setdefault(term, []).append((qi, w))
-                postings = {t: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for t, p in index.items()}
-                sims = np.zeros((len(ds), len(qs)))
-                for di, row in enumerate(ds):
-                    for term, w in zip(row["terms"], row["weights"]):
-                        at, weight = postings.get(term, (None, None))
-                        if at is not None:
-                            sims[di, at] += w * weight
-                sims = np.round(sims, 9)
-                ids = np.array([row["doc_id"] for row in ds])
-                for qi, row in enumerate(qs):
-                    best = np.lexsort((ids, -sims[:, qi]))[:k]
-                    yield pd.DataFrame({"query_id": row["doc_id"], "cand_id": ids[best], "sim": sims[best, qi]})
-
-    found = visits.join(q, "q").select("q_rows", "d_rows").mapInPandas(score, "query_id long, cand_id long, sim double").where(F.col("sim") > 0)
-    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "cand_id")
-    return found.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+    q = queries.select(F.col("doc_id").alias("query_id"), "term", F.col("w").alias("wq"))
+    shared = docs.join(queries.select("term").distinct(), "term", "left_semi")
+    stats = cut(shared.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("top")))
+    parts = F.ceil(F.col("df") / split)
+    postings = cut(docs.join(stats, "term").select(
+        F.col("doc_id").alias("cand_id"), "term", "w", F.pmod(F.xxhash64("doc_id"), parts).alias("part")))
+
+    def dots(pairs: DataFrame, terms: DataFrame) -> DataFrame:
+        return pairs.select("query_id", "cand_id").join(terms.select("query_id", "term", "wq"), "query_id").join(
+            postings.drop("part"), ["cand_id", "term"]).select("query_id", "cand_id", (F.col("wq") * F.col("w")).alias("s"))
+
+    def sums(found: DataFrame) -> DataFrame:
+        return found.groupBy("query_id", "cand_id").agg(F.sum("s").alias("s"))
+
+    def best(found: DataFrame, by: str, n: int) -> DataFrame:
+        w = Window.partitionBy("query_id").orderBy(F.desc(by), "cand_id")
+        return found.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
+
+    heavy = Window.partitionBy("term").orderBy(F.desc("w"), "cand_id")
+    first = postings.drop("part").withColumn("_n", F.row_number().over(heavy)).where(F.col("_n") <= champions)
+    guess = sums(q.join(first, "term").select("query_id", "cand_id", (F.col("wq") * F.col("w")).alias("s")))
+    floors = best(sums(dots(best(guess, "s", max(champions, k)), q)), "s", k).groupBy("query_id").agg(
+        F.when(F.count(F.lit(1)) == k, F.min("s")).otherwise(0.0).alias("floor"))
+
+    # a millionth of a millionth of slack would do for sums in another order; ties of rounded cosines need more
+    frequent = Window.partitionBy("query_id").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.least(F.sum(F.col("wq") * F.col("top")).over(frequent), F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(frequent)))
+    ordered = cut(q.join(stats, "term").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - 1e-8).withColumn("reach", reach))
+    aside = ordered.where(F.col("reach") < F.col("floor"))
+    bounds = ordered.groupBy("query_id").agg(
+        F.first("floor").alias("floor"), F.coalesce(F.max(F.when(F.col("reach") < F.col("floor"), F.col("reach"))), F.lit(0.0)).alias("rest"))
+    met = ordered.where(F.col("reach") >= F.col("floor")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).select("query_id", "term", "wq", "part")
+    met = sums(met.join(postings, ["term", "part"]).select("query_id", "cand_id", (F.col("wq") * F.col("w")).alias("s")))
+    open_ = cut(met.join(bounds, "query_id").where(F.col("s") + F.col("rest") >= F.col("floor")).select("query_id", "cand_id", "s"))
+    found = sums(open_.unionByName(dots(open_, aside))).withColumn("sim", F.round("s", 9)).where(F.col("sim") > 0)
+    return best(found, "sim", k).select("query_id", "cand_id", "sim", "position")
 
 
 def source_coverage(pairs: DataFrame, n: int = 6, accept: float = 0.85) -> DataFrame:

@@ -218,7 +218,7 @@ def g14b(t):
 
 
 STOPS = ", ".join(f"'{w}'" for w in P.STOP_WORDS)
-TFIDF = f"""tk AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}'), lambda w: w NOT IN ({STOPS})) AS w FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)),
+TFIDF = f"""tk AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({STOPS})) AS w FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)),
   tm AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM tk), tf AS (SELECT doc_id, term, count(*) AS tf FROM tm GROUP BY 1, 2),
   idf AS (SELECT term, ln((1 + (SELECT count(*) FROM tk)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tf GROUP BY 1 HAVING count(*) >= 2), wt AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term)),
   nv AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM wt)"""

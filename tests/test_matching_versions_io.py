@@ -85,22 +85,35 @@ def test_fuzzy_titles_match_brute_force(spark):
     assert got == want
 
 
-def test_top_neighbours_across_blocks(spark):
-    rng = random.Random(2)
-    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta"]) for _ in range(12)) for _ in range(40)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    w = matching.tfidf_weights(docs)
-    q, d = w.where("doc_id < 10"), w.where("doc_id >= 10")
-    big = {(r["query_id"], r["cand_id"]) for r in matching.top_neighbours(q, d, 3).collect()}
-    small = {(r["query_id"], r["cand_id"]) for r in matching.top_neighbours(q, d, 3, query_block=3, doc_block=4).collect()}
+def nearest(vec, queries, cands, k):
+    want = set()
+    for i in queries:
+        sims = sorted((-round(sum(vec[i][t] * vec[j].get(t, 0) for t in vec[i]), 9), j) for j in cands if i in vec and j in vec)
+        want |= {(i, j, p, -s) for p, (s, j) in enumerate(sims[:k], 1) if s < 0}
+    return want
+
+
+@pytest.mark.parametrize("champions, split, k", [(12, 100_000, 3), (1, 4, 3), (4, 7, 60)])
+def test_top_neighbours_equal_all_cosines(spark, champions, split, k):
+    rng = random.Random(2 + k)
+    common = ["alpha", "beta", "gamma", "größe", "über", "слово"]
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.8 else f"rare{rng.randrange(25)}" for _ in range(rng.choice([2, 12, 40]))) for _ in range(70)]
+    texts[20:24] = [texts[3]] * 4  # copies tie at the top
+    texts[30], texts[31], texts[5] = "", None, "unseen words only"
+    w = matching.tfidf_weights(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = matching.top_neighbours(w.where("doc_id < 10"), w.where("doc_id >= 10"), k, champions=champions, split=split)
     vec = {}
     for r in w.collect():
         vec.setdefault(r["doc_id"], {})[r["term"]] = r["w"]
-    want = set()
-    for i in range(10):
-        sims = sorted((-round(sum(vec[i][t] * vec[j].get(t, 0) for t in vec[i]), 9), j) for j in range(10, 40))
-        want |= {(i, j) for _, j in sims[:3]}
-    assert big == small == want
+    assert {"größe", "слово", "über größe"} & {t for v in vec.values() for t in v} >= {"größe", "слово"}
+    got = {(r["query_id"], r["cand_id"], r["position"], r["sim"]) for r in found.collect()}
+    assert got == nearest(vec, range(10), range(10, 70), k)
+
+
+def test_top_neighbours_of_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, term string, w double")
+    one = spark.createDataFrame([(1, "a", 1.0)], "doc_id long, term string, w double")
+    assert matching.top_neighbours(none, one).count() == matching.top_neighbours(one, none).count() == 0
 
 
 def test_human_filter_order(spark):
