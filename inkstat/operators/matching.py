@@ -294,14 +294,15 @@ def tfidf_weights(docs: DataFrame, min_df: int = 2, stop: Sequence[str] = tuple(
     """(doc_id, term, w): uni- and bigrams of words in any script, (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), l2-normalized."""
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(list(stop)))
     follow = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    counts = docs.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.concat("w", follow)).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # texts move instead of their terms: the counts below need no further exchange
+    counts = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", words.alias("w")).select("doc_id", F.explode(F.concat("w", follow)).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = docs.agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))
     # reading tf keeps this branch on the same exchange as the weights below
     df = counts.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df")).where(F.col("df") >= min_df)
     idf = df.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one").select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = counts.join(idf, "term").select("doc_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("w"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))  # a window is one text
+    return raw.select("doc_id", "term", (F.col("w") / length).alias("w"))
 
 
 def top_neighbours(queries: DataFrame, docs: DataFrame, k: int = 3, champions: int = 12, split: int = 100_000) -> DataFrame:
