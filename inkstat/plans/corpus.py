@@ -384,14 +384,16 @@ def i19(t):
     return V.repair_targets(objects, lines.select("doc_id", F.concat(F.lit("f"), (F.col("ord") % 3).cast("string")).alias("file"), "ord", "words"))
 
 
-RV = f"""{SC}, hh AS (SELECT code AS pair_id, max(human) AS h FROM hu GROUP BY 1), o AS (SELECT arm, round, code AS pair_id, 1 AS label, score AS s FROM sc WHERE item = 'm0' UNION ALL SELECT arm, round, code, 0, h FROM sc JOIN hh ON hh.pair_id = code WHERE item = 'm0')"""
+RV = f"""{SC}, o AS (SELECT arm, round, item, code AS pair_id, 1 AS label, score AS s FROM sc JOIN hu USING (code, item) UNION ALL SELECT arm, round, item, code, 0, human FROM sc JOIN hu USING (code, item))"""
+PER = "arm, round, item"
 
 
-@query("i20_reevaluation", f"""WITH {RV}, th AS ({threshold_sql('o', 'arm, round', K_B)}), tp AS (SELECT arm, round, count(*) FILTER (label = 1 AND s > threshold) / count(*) FILTER (label = 1)::DOUBLE AS tpr FROM o JOIN th USING (arm, round) GROUP BY 1, 2)
-  SELECT p.arm, p.round, n_pairs, pair_acc, auroc, tpr FROM ({pair_acc_sql('o', 'arm, round')}) p JOIN ({auroc_sql('o', 'arm, round')}) a USING (arm, round) JOIN tp USING (arm, round)""", "pair_acc auroc tpr")
+@query("i20_reevaluation", f"""WITH {RV}, th AS ({threshold_sql('o', PER, K_B)}), tp AS (SELECT {PER}, count(*) FILTER (label = 1 AND s > threshold) / count(*) FILTER (label = 1)::DOUBLE AS tpr FROM o JOIN th USING ({PER}) GROUP BY ALL)
+  SELECT {PER}, n_pairs, pair_acc, auroc, tpr FROM ({pair_acc_sql('o', PER)}) p JOIN ({auroc_sql('o', PER)}) a USING ({PER}) JOIN tp USING ({PER})""", "pair_acc auroc tpr")
 def i20(t):
-    revised = scores(t).where("item = 'm0'").select("arm", "round", F.col("code").alias("pair_id"), F.col("score").alias("value"))
-    return V.reevaluate(revised, human(t).groupBy(F.col("code").alias("pair_id")).agg(F.max("human").alias("value")))
+    revised = scores(t).select("arm", "round", "item", F.col("code").alias("pair_id"), F.col("score").alias("value"))
+    fixed = human(t).select("item", F.col("code").alias("pair_id"), F.col("human").alias("value"))
+    return V.reevaluate(revised, fixed, ["arm", "round", "item"], ["pair_id", "item"])
 
 
 @query("i21_single_vs_joint", f"""WITH {SC}, j AS (SELECT a.item, a.score AS a, b.score AS b FROM sc a JOIN sc b USING (code, item) WHERE a.arm = 'click' AND a.round = 1 AND b.arm = 'view' AND b.round = 1)
@@ -401,10 +403,10 @@ def i21(t):
     return V.single_vs_joint(s.where("arm = 'click' AND round = 1"), s.where("arm = 'view' AND round = 1"))
 
 
-@query("i22_rounds_table", f"""WITH {SC}, w AS (SELECT code, item, max(score) FILTER (round = 0) AS r0, max(score) FILTER (round = 1) AS r1, max(score) FILTER (round = 2) AS r2 FROM sc WHERE arm = 'view' GROUP BY 1, 2), j AS (SELECT w.*, human FROM w LEFT JOIN hu USING (code, item))
-  SELECT CAST(code AS VARCHAR) AS code, item, r0, r1, r2, human FROM j UNION ALL SELECT 'mean', item, avg(r0), avg(r1), avg(r2), avg(human) FROM j GROUP BY item""", "r0 r1 r2 human")
+@query("i22_rounds_table", f"""WITH {SC}, w AS (SELECT code, item, max(score) FILTER (round = 0) AS r0, max(score) FILTER (round = 1) AS r1, max(score) FILTER (round = 2) AS r2, arm FROM sc GROUP BY arm, code, item), j AS (SELECT w.*, human FROM w LEFT JOIN hu USING (code, item))
+  SELECT arm, CAST(code AS VARCHAR) AS code, item, r0, r1, r2, human FROM j UNION ALL SELECT arm, 'mean', item, avg(r0), avg(r1), avg(r2), avg(human) FROM j GROUP BY arm, item""", "r0 r1 r2 human")
 def i22(t):
-    return V.rounds_table(scores(t).where("arm = 'view'"), human(t), [0, 1, 2])
+    return V.rounds_table(scores(t), human(t), [0, 1, 2], ["arm"])
 
 
 @query("i23_asset_retention", """WITH a AS (SELECT event_type AS arm, user_id AS code, event_id % 4 AS round, event_id % 5 AS asset FROM events), z AS (SELECT DISTINCT arm, code, asset FROM a WHERE round = 0), v AS (SELECT DISTINCT arm, code, round FROM a), h AS (SELECT DISTINCT arm, code, round, asset, 1 AS held FROM a),

@@ -294,3 +294,15 @@ def test_upsert_rewrites_only_touched_buckets(spark, tmp_path):
         incremental.upsert_batch(spark.createDataFrame(batches[2], schema), 9, ["k"], "ts", "line", sink, 16)
     with pytest.raises(ValueError, match="16 buckets"):
         put(2, 8)
+
+
+def test_reevaluation_and_rounds_by_item_and_arm(spark):
+    human = spark.createDataFrame([(p, i, h) for p in (1, 2, 3) for i, h in (("a", 2.0), ("b", 5.0))], "pair_id long, item string, value double")
+    rows = [("x", 0, p, i, v) for p in (1, 2, 3) for i, v in (("a", 3.0), ("b", 4.0))] + [("y", 0, 1, "a", 1.0), ("y", 0, 2, "a", None)]
+    revised = spark.createDataFrame(rows, "arm string, round int, pair_id long, item string, value double")
+    got = {(r["arm"], r["item"]): (r["n_pairs"], r["pair_acc"], r["auroc"]) for r in versions.reevaluate(revised, human, ["arm", "round", "item"], ["pair_id", "item"]).collect()}
+    assert got == {("x", "a"): (3, 1.0, 1.0), ("x", "b"): (3, 0.0, 0.0), ("y", "a"): (1, 0.0, 0.0)}
+    scores = revised.select("arm", "round", F.col("pair_id").alias("code"), "item", F.col("value").alias("score"))
+    table = versions.rounds_table(scores, human.select(F.col("pair_id").alias("code"), "item", F.col("value").alias("human")), [0], ["arm"])
+    means = {(r["arm"], r["item"]): (r["r0"], r["human"]) for r in table.where("code = 'mean'").collect()}
+    assert means == {("x", "a"): (3.0, 2.0), ("x", "b"): (4.0, 5.0), ("y", "a"): (1.0, 2.0)} and table.count() == 8 + 3
