@@ -334,12 +334,10 @@ def i12(t):
     return V.interactions(scores(t).withColumn("target", target))
 
 
-@query("i13_complete_cases", """WITH d AS (SELECT DISTINCT user_id AS code, event_id % 2 AS arm, event_id % 4 AS round FROM events WHERE event_type IN ('view', 'click') AND event_id % 4 IN (1, 2, 3)) SELECT code FROM d GROUP BY 1 HAVING count(*) = 3""")
+@query("i13_complete_cases", """WITH d AS (SELECT DISTINCT user_id AS code, event_id // 4 % 2 AS arm, event_id % 4 AS round FROM events WHERE event_type IN ('view', 'click') AND event_id % 4 IN (1, 2, 3)) SELECT code FROM d GROUP BY 1 HAVING count(*) = 6""")
 def i13(t):
-    p = t.events.select(F.col("user_id").alias("code"), (F.col("event_id") % 2).alias("arm"), (F.col("event_id") % 4).cast("int").alias("round"), F.when(F.col("event_type") == "view", "ok").when(F.col("event_type") == "click", "nothing_to_fix").otherwise("failed").alias("exec"))
-    # an event id fixes the parity of its round, so three (arm, round) cells exist
-    done = V.complete_cases(p.withColumn("arm", F.lit(0)), 1, [1, 2, 3])
-    return done
+    p = t.events.select(F.col("user_id").alias("code"), F.pmod(F.floor(F.col("event_id") / 4), F.lit(2)).alias("arm"), (F.col("event_id") % 4).cast("int").alias("round"), F.when(F.col("event_type") == "view", "ok").when(F.col("event_type") == "click", "nothing_to_fix").otherwise("failed").alias("exec"))
+    return V.complete_cases(p, 2, [1, 2, 3])
 
 
 @query("i14_carry_forward", f"""WITH {SC}, k AS (SELECT DISTINCT arm, code, item FROM sc), s AS (SELECT *, CAST(unnest(range(4)) AS INT) AS round FROM k)
