@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import count
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
