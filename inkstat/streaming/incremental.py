@@ -11,14 +11,22 @@ from inkstat.operators.versions import latest_records
 
 
 def table_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int = 100) -> DataFrame:
-    """Stream over the parquet files of one table below ``folder``, its schema read once."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    """Stream over one table below ``folder``, a single file or a folder of part files, its schema read once."""
+    path = f"{folder}/{table}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    fs, jpath = _located(spark, path)
+    # a stream watches folders: a single file is picked out of the one it lies in
+    return stream.parquet(path) if fs.getFileStatus(jpath).isDirectory() else stream.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _located(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, jpath = _located(spark, path)
+    return fs.exists(jpath)
 
 
 def score_unseen(stream: DataFrame, key: str, score: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> None:

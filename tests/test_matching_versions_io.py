@@ -248,6 +248,21 @@ def test_incremental_scoring_skips_what_is_there(spark, tmp_path):
     assert out.select("batch_id").distinct().count() == 2
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_a_streamed_table_may_be_a_folder_of_parts(spark, tmp_path, parts):
+    df = spark.createDataFrame([(i, "t" * i) for i in range(6)], "doc_id long, text string").repartition(parts)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    df.write.parquet(str(tmp_path / "labels.parquet"))  # another table of the folder stays out
+    if parts == 1:
+        part, = (tmp_path / "documents.parquet").glob("part-*")
+        (tmp_path / "one").mkdir()
+        (tmp_path / "one" / "documents.parquet").write_bytes(part.read_bytes())
+    stream = incremental.table_stream(spark, str(tmp_path / "one" if parts == 1 else tmp_path), "documents")
+    sink = str(tmp_path / "sink")
+    incremental.score_unseen(stream, "doc_id", lambda b: b.select("doc_id", F.length("text").alias("n")), sink, str(tmp_path / "ckpt"))
+    assert sorted((r["doc_id"], r["n"]) for r in spark.read.parquet(sink).collect()) == [(i, i) for i in range(6)]
+
+
 def test_upsert_keeps_the_latest_record_across_batches(spark, tmp_path):
     src = tmp_path / "in"
     rows = [[(1, 10, 1, "a"), (2, 5, 1, "b")], [(1, 9, 2, "late"), (2, 5, 2, "tie"), (3, 1, 1, "new")]]
