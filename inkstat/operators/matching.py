@@ -13,6 +13,8 @@ from inkstat.functions import text as T
 from inkstat.operators import ranks
 from inkstat.session import cut
 
+SIGNATURE = 4  # longs of hashed words per title
+
 # --------------------------------------------------------------------------- pools
 
 
@@ -45,32 +47,55 @@ def merge_titles(pool: DataFrame, waiting: DataFrame, resolved: DataFrame) -> Da
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("bib_keys")))).alias("bib_keys"))
 
 
+def title_candidates(parsed: DataFrame, known: DataFrame, jaccard: float, containment: float) -> DataFrame:
+    """Pairs (id, known_id) that can match, both sides (id, words) of at least four words; see ``fuzzy_title_join``."""
+    frequency = known.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("f"))
+
+    def placed(df: DataFrame, side: str) -> DataFrame:
+        """One row per title and word: its place among the words of the title, their number, their bits."""
+        bits = F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(64 * SIGNATURE)).cast("int"))
+        part = lambda q: F.aggregate(F.filter("bits", lambda h: F.floor(h / 64) == q), F.lit(0).cast("bigint"), lambda x, h: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), h % 64)))
+        each = df.select("id", F.explode("words").alias("w")).join(frequency, "w", "left")
+        order = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "w"))).alias("o"))
+        # the sorted list holds the words, so no second copy of them moves
+        named = order.withColumn("words", F.col("o.w")).withColumn("bits", bits).select("id", "o", *[part(q).alias(f"{side}{q}") for q in range(SIGNATURE)])
+        return named.select(F.col("id").alias(f"{side}_id"), F.size("o").alias(f"{side}_n"), *[f"{side}{q}" for q in range(SIGNATURE)], F.posexplode("o").alias(f"{side}_at", "x")).where(
+            F.col("x.f") > 0).withColumn("w", F.col("x.w")).drop("x")
+
+    def reach(n: Column, share: float) -> Column:
+        return n - F.ceil(n * F.lit(share) - 1e-9).cast("int")
+
+    probe, entries = placed(parsed, "p"), placed(known, "k")
+    pn, kn = F.col("p_n"), F.col("k_n")
+    absent = lambda a, b: sum((F.bit_count(F.col(f"{a}{q}").bitwiseAND(F.bitwise_not(f"{b}{q}"))) for q in range(SIGNATURE)), F.lit(0))
+    most = F.least(pn - absent("p", "k"), kn - absent("k", "p"))
+    contained = (F.col("p_at") <= reach(pn, containment)) & (most >= pn * F.lit(containment) - 1e-9)
+    alike = (F.col("p_at") <= reach(pn, jaccard)) & (F.col("k_at") <= reach(kn, jaccard)) & (most >= (pn + kn - most) * F.lit(jaccard) - 1e-9)
+    probe = probe.where(F.col("p_at") <= reach(pn, min(jaccard, containment)))
+    return probe.join(entries, "w").where(contained | alike).select(F.col("p_id").alias("id"), F.col("k_id").alias("known_id")).distinct()
+
+
 def fuzzy_title_join(parsed: DataFrame, known: DataFrame, jaccard: float = 0.85, containment: float = 0.92) -> DataFrame:
     """Distinct titles of ``parsed`` that match distinct titles of ``known`` (column title).
 
-    A match shares at least ``jaccard`` of the parsed words, so it must share one of the rarest
-    |P| - ceil(jaccard * |P|) + 1 of them; only those words open the join, and equal titles are
-    collapsed first, so neither a stock word nor a much-copied title multiplies pairs.
+    Equal titles are collapsed first, so a much-copied title multiplies no pairs. With the words of both sides in one order, rare
+    ones first, a match by containment shares one of the first |P| - ceil(containment * |P|) + 1 words of P, a match by jaccard one of
+    such a prefix of both. Bit sets of the hashed words bound what two titles can share, so a pair that cannot match ends inside the
+    join; ids move for the others, the titles themselves only for pairs the bound leaves, and their words decide.
     """
-    def words(df: DataFrame) -> DataFrame:
+    def titles(df: DataFrame) -> DataFrame:
         norm = df.select(T.normalize_title(F.col("title")).alias("norm")).where(F.col("norm") != "").groupBy("norm").agg(F.count(F.lit(1)).alias("copies"))
-        return norm.withColumn("words", F.array_distinct(F.split("norm", " ")))
+        return cut(norm.select(F.monotonically_increasing_id().alias("id"), "norm", "copies"))
 
-    p, k = words(parsed), words(known)
-    kn = k.select(F.col("norm").alias("known"), F.col("words").alias("kw"), F.col("copies").alias("known_copies"))
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    p, k = titles(parsed), titles(known).select(F.col("id").alias("known_id"), F.col("norm").alias("known"), F.col("copies").alias("known_copies"))
+    pw, kw = p.select("id", words(F.col("norm")).alias("words")), k.select(F.col("known_id").alias("id"), words(F.col("known")).alias("words"))
     # under four words only the same word set can pass, which is an equality
-    same = lambda c: F.array_join(F.sort_array(c), " ")
-    short = p.where(F.size("words") < 4).withColumn("key", same("words")).join(kn.where(F.size("kw") < 4).withColumn("key", same("kw")), "key").drop("key")
-    long = p.where(F.size("words") >= 4)
-    entries = k.where(F.size("words") >= 4).select(F.col("norm").alias("known"), F.explode("words").alias("w"))
-    frequency = entries.groupBy("w").agg(F.count(F.lit(1)).alias("f"))
-    rare = long.select("norm", F.explode("words").alias("w")).join(frequency, "w", "left").groupBy("norm").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "w"))).alias("o"))
-    keep = F.size("o") - F.ceil(F.size("o") * F.lit(jaccard) - 1e-9).cast("int") + 1
-    probe = rare.select("norm", F.explode(F.slice("o", F.lit(1), keep)).alias("x")).where(F.col("x.f") > 0).select("norm", F.col("x.w").alias("w"))
-    pairs = probe.join(entries, "w").select("norm", "known").distinct()
-    full = pairs.join(p, "norm").join(kn, "known").select("norm", "words", "copies", "known", "kw", "known_copies").unionByName(
-        short.select("norm", "words", "copies", "known", "kw", "known_copies"))
+    same = F.array_join(F.sort_array("words"), " ").alias("key")
+    short = pw.where(F.size("words") < 4).select("id", same).join(kw.where(F.size("words") < 4).select(F.col("id").alias("known_id"), same), "key").select("id", "known_id")
+
+    pairs = title_candidates(*(x.where(F.size("words") >= 4) for x in (pw, kw)), jaccard, containment)
+    full = pairs.unionByName(short).join(p, "id").join(k, "known_id").select("norm", "copies", "known", "known_copies", words(F.col("norm")).alias("words"), words(F.col("known")).alias("kw"))
     common = F.size(F.array_intersect("words", "kw"))
     jac = common / F.size(F.array_union("words", "kw"))
     con = common / F.size("words")

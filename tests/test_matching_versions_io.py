@@ -85,6 +85,25 @@ def test_fuzzy_titles_match_brute_force(spark):
     assert got == want
 
 
+def test_fuzzy_titles_of_many_words_match_brute_force(spark):
+    rng = random.Random(4)
+    base = [[f"w{rng.randint(0, 60)}" for _ in range(rng.randint(5, 40))] for _ in range(12)]
+    near = lambda ws: [w if rng.random() > 0.05 else f"x{rng.randint(0, 9)}" for w in ws][: max(4, len(ws) - rng.choice([0, 0, 6]))]
+    a, b = ([" ".join(near(rng.choice(base))) for _ in range(70)] for _ in range(2))
+    df = lambda ts: spark.createDataFrame([(t,) for t in ts], "title string")
+    got = {(r["norm"], r["known"]) for r in matching.fuzzy_title_join(df(a), df(b)).collect()}
+    sets = lambda x, y: (set(x.split()), set(y.split()))
+    ok = lambda p, c: len(p & c) / len(p | c) >= 0.85 or (len(p) >= 4 and len(p & c) / len(p) >= 0.92)
+    want = {(x, y) for x in set(a) for y in set(b) if ok(*sets(x, y))}
+    assert got == want and 50 < len(want) < len(set(a)) * len(set(b)) / 2
+
+
+def test_titles_that_share_one_rare_word_do_not_become_pairs(spark):
+    side = lambda tag: spark.createDataFrame([(i, ["rare"] + [f"{tag}{i}x{j}" for j in range(11)]) for i in range(60)], "id long, words array<string>")
+    assert matching.title_candidates(side("a"), side("b"), 0.85, 0.92).count() == 0
+    assert matching.title_candidates(side("a"), side("a"), 0.85, 0.92).count() == 60
+
+
 def nearest(vec, queries, cands, k):
     want = set()
     for i in queries:
