@@ -5,12 +5,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstat.functions import text as T
-from inkstat.operators.resample import hash_int
+from inkstat.operators import shuffles
 
+DRAWS = 300_000  # units times permutations of one row
 # fixed values: statuses in the order they are checked
 STATUSES = ["no_intro", "too_short", "labels_pending", "labels_only", "no_key", "pmi_pending", "ok"]
 
@@ -76,23 +78,40 @@ def depth_in_order(order: Column, incoming: Column) -> Column:
 def shuffle_null(predictors: DataFrame, key_units: DataFrame, sizes: DataFrame, permutations: int = 300, seed: int = 0) -> DataFrame:
     """Mean build-up of the key units against hash-ordered permutations of the document's units.
 
-    Each (document, permutation) is a row of its own behind one exchange, so permutations spread over the cluster. Adds the
-    null mean, its population sd, the difference, z and the share of permutations below the observation.
+    A document is dealt out once, with its edges and keys; its permutations are made and summed next to it, as whole numbers, so
+    nothing of their size moves. A document of many units is dealt as several blocks of permutations. Adds the null mean, its
+    population sd, the difference, z and the share of permutations below the observation.
     """
-    pred = predictors.groupBy("doc_id").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
+    pred = predictors.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"))).alias("edges"))
     keys = key_units.groupBy("doc_id").agg(F.collect_list(F.col("ord").cast("int")).alias("keys"))
-    base = sizes.where("n_units > 0").join(pred, "doc_id").join(keys, "doc_id").withColumn("units", F.sequence(F.lit(0), F.col("n_units").cast("int") - 1))
-    base = base.withColumn("incoming", F.transform("units", lambda u: F.transform(F.filter("edges", lambda e: e["dst"] == u), lambda e: e["src"].cast("int"))))
-    base = base.select("doc_id", "units", "incoming", "keys", F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("rep")).repartition("doc_id", "rep")
-    drawn = F.transform("units", lambda i: F.struct(hash_int(F.col("doc_id"), F.col("rep"), i, F.lit(seed)).alias("h"), i.alias("i")))
-    order = F.when(F.col("rep") == 0, F.col("units")).otherwise(F.transform(F.array_sort(drawn), lambda d: d["i"]))
-    total = T.let(depth_in_order(order, F.col("incoming")), lambda depth: F.aggregate("keys", F.lit(0), lambda x, k: x + F.coalesce(F.try_element_at(depth, k), F.lit(0))))
-    per = base.select("doc_id", "rep", (total / F.size("keys")).alias("m"))
-    observed, null = F.max(F.when(F.col("rep") == 0, F.col("m"))), F.when(F.col("rep") > 0, F.col("m"))
-    rows = per.groupBy("doc_id").agg(observed.alias("observed"), F.avg(null).alias("null_mean"), F.stddev_pop(null).alias("null_sd"), F.collect_list(null).alias("nulls"))
-    below = F.size(F.filter("nulls", lambda x: x < F.col("observed"))) / F.size("nulls")
+    step = F.greatest(F.lit(1), F.least(F.lit(permutations), F.floor(F.lit(DRAWS) / F.col("n_units")).cast("int")))
+    base = sizes.where("n_units > 0").select("doc_id", F.col("n_units").cast("int").alias("n_units")).join(pred, "doc_id").join(keys, "doc_id").withColumn("step", step)
+    base = base.select("doc_id", F.col("doc_id").cast("string").alias("name"), "n_units", "edges", "keys", "step", F.explode(F.sequence(F.lit(1), F.lit(permutations), F.col("step"))).alias("first"))
+    # the work is in the rows, not in their bytes
+    base = base.repartition(4 * base.sparkSession.sparkContext.defaultParallelism, "doc_id", "first")
+
+    def run(batches):
+        for batch in batches:
+            doc, groups = batch.column(0), {}
+            for j, (n, step, first) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n_units", "step", "first")))):
+                groups.setdefault((n, first, min(first + step, permutations + 1)), []).append(j)
+            names, edges, units = (batch.column(c).to_pylist() for c in ("name", "edges", "keys"))
+            for (n, first, last), at in groups.items():
+                found = shuffles.totals([names[j] for j in at], n, [[(e["src"], e["dst"]) for e in edges[j]] for j in at], [units[j] for j in at], first, last, seed)
+                seen, s1, s2, below = zip(*found)
+                yield pa.RecordBatch.from_arrays([doc.take(pa.array(at)), pa.array([len(units[j]) for j in at], pa.int64()), *(pa.array(x, pa.int64()) for x in (seen, s1, s2, below))],
+                                                 names=["doc_id", "size", "seen", "s1", "s2", "below"])
+
+    kind = dict(base.dtypes)["doc_id"]
+    per = base.mapInArrow(run, f"doc_id {kind}, size long, seen long, s1 long, s2 long, below long").groupBy("doc_id").agg(
+        F.max("size").alias("size"), F.max("seen").alias("seen"), *[F.sum(c).alias(c) for c in ("s1", "s2", "below")])
+    # whole numbers until here: equal permutations give a spread of zero, not of rounding
+    n, wide = F.lit(permutations), "decimal(38,0)"
+    spread = n.cast("decimal(9,0)") * F.col("s2").cast("decimal(20,0)") - F.col("s1").cast("decimal(19,0)") * F.col("s1").cast("decimal(19,0)")
+    rows = per.select("doc_id", (F.col("seen") / F.col("size")).alias("observed"), (F.col("s1") / (n * F.col("size"))).alias("null_mean"),
+                      (F.sqrt(spread.cast(wide).cast("double")) / (n * F.col("size"))).alias("null_sd"), (F.col("below") / n).alias("null_pct"))
     gap = F.col("observed") - F.col("null_mean")
-    return rows.select("doc_id", "observed", "null_mean", "null_sd", below.alias("null_pct"), gap.alias("abu"), (gap / F.when(F.col("null_sd") > 0, F.col("null_sd")).otherwise(1e-9)).alias("abu_z"))
+    return rows.select("*", gap.alias("abu"), (gap / F.when(F.col("null_sd") > 0, F.col("null_sd")).otherwise(1e-9)).alias("abu_z"))
 
 
 def eligibility(n_words: Column, n_sentences: Column, n_labelled: Column, n_scored: Column, labels_stage: Column) -> Column:

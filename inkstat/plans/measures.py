@@ -263,8 +263,10 @@ def c27(t):
 
 def edges(t):
     """Lines of an order as units; the weight of an edge is a fixed function of both ends."""
-    units = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"))
-    per = units.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p", "s"))).alias("u"))
+    # lines move once, by order; what follows is per order
+    lines = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_partkey", "l_suppkey").repartition("doc_id")
+    units = lines.groupBy("doc_id", "l_linenumber").agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"))
+    per = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p", "s"))).alias("u"))
     pair = F.flatten(F.transform("u", lambda a, i: F.transform("u", lambda b, j: F.struct(
         i.alias("src"), j.alias("dst"), F.when((a["p"] + b["s"]) % 13 != 0, F.pmod(a["p"] * 31 + b["s"] * 17 + i * 7, F.lit(101)) / 10.0).otherwise(F.lit(float("nan"))).alias("weight")))))
     return per.select("doc_id", F.inline(pair))
@@ -277,8 +279,9 @@ ED = """un AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_or
 
 
 def key_units(t):
-    rows = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"))
-    per = rows.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p"))).alias("u"))
+    lines = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_partkey").repartition("doc_id")
+    rows = lines.groupBy("doc_id", "l_linenumber").agg(F.max("l_partkey").alias("p"))
+    per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p"))).alias("u"))
     units = per.select("doc_id", F.size("u").alias("n_units"), F.posexplode("u").alias("ord", "x"))
     keys = units.where(F.col("x.p") % 2 == 0).select("doc_id", "ord", F.when(F.col("x.p") % 3 == 0, "claim").otherwise("contribution").alias("kind"))
     return keys, units.groupBy("doc_id").agg(F.max("n_units").alias("n_units"))

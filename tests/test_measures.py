@@ -1,5 +1,6 @@
 """Regression cases of the document measures on synthetic text."""
 
+import hashlib
 import random
 
 import pytest
@@ -252,6 +253,33 @@ def test_shuffle_null_is_bounded_and_reproducible(spark):
     assert tuple(a) == pytest.approx(tuple(b)) and a["observed"] == 9.0 and a["abu"] > 0 and a["null_pct"] == 1.0
 
 
+def test_shuffle_null_equals_permutations_in_turn(spark):
+    rng, draw = random.Random(2), lambda d, r, i: int(hashlib.md5(f"{d}:{r}:{i}:0".encode()).hexdigest()[:8], 16)
+    sizes = {d: rng.choice([1, 4, 4, 7, 90]) for d in (1, 2, 30, 400, 5000, 10**17)}
+    edges = {d: {(rng.randrange(n), rng.randrange(n)) for _ in range(2 * n)} for d, n in sizes.items()}
+    keys = {d: [i for i in range(n) if i % 3 == 0] for d, n in sizes.items()}
+
+    def total(d, order):
+        seen = {}
+        for u in order:
+            seen[u] = max([seen[s] + 1 for s, t in edges[d] if t == u and s in seen], default=0)
+        return sum(seen[k] for k in keys[d]) / len(keys[d])
+
+    rows = argument.shuffle_null(
+        spark.createDataFrame([(d, s, t) for d, es in edges.items() for s, t in es], "doc_id long, src long, dst long"),
+        spark.createDataFrame([(d, k) for d, ks in keys.items() for k in ks], "doc_id long, ord long"), spark.createDataFrame(list(sizes.items()), "doc_id long, n_units int"), 40)
+    # what moves is a document, not its permutations
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "collect_list(" in plan
+    got = {r["doc_id"]: r for r in rows.collect()}
+    for d, n in sizes.items():
+        null = [total(d, sorted(range(n), key=lambda i: (draw(d, r, i), i))) for r in range(1, 41)]
+        seen, mean = total(d, range(n)), sum(null) / 40
+        want = (seen, mean, (sum((x - mean) ** 2 for x in null) / 40) ** 0.5, sum(x < seen for x in null) / 40)
+        assert tuple(got[d])[1:5] == pytest.approx(want, abs=1e-9)
+    assert len(got) == len(sizes)
+
+
 def test_majority_ties_go_to_the_first_label(spark):
     v = spark.createDataFrame([(1, 0, 0, "b"), (1, 0, 1, "a"), (1, 0, 2, "a"), (1, 0, 3, "b"), (1, 1, 0, "zzz")], "doc_id long, ord int, run int, label string")
     got = {r["ord"]: (r["label"], r["unanimous"]) for r in argument.majority_label(v, ["a", "b"]).collect()}
