@@ -335,7 +335,7 @@ def b17(t):
     rows = t.part.select(F.col("p_size").alias("doc_id"), F.col("p_partkey").alias("id"), m.alias("m"))
     num = rows.select("doc_id", "id", F.format_string("%d.%03d", F.expr("m div 1000"), F.col("m") % 1000).alias("printed"))
     cell = rows.select("doc_id", "id", F.format_string("%d.%d", F.expr("m div 1000"), F.expr("(m div 100) % 10")).alias("printed"))
-    return S.rounding_matches(num, cell).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return S.rounding_match_counts(num, cell)
 
 
 COUNT = lambda p: f"CAST(len(regexp_extract_all(body, {q(p)})) AS INT)"

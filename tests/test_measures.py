@@ -171,6 +171,15 @@ def test_rounding_compatibility(spark, a, b, hit):
     assert structure.rounding_matches(side(a), side(b)).count() == int(hit)
 
 
+def test_rounding_counts_make_no_pairs_of_equal_prints(spark):
+    side = lambda vs: spark.createDataFrame([(i % 2, i, v) for i, v in enumerate(vs)], "doc_id long, id long, printed string")
+    a, b = side(["5.39", "5.46", "5.4", "7", "5.39", "5.39"] * 5), side(["5.4", "5.4", "5", "7.0"] * 6)
+    want = {r["doc_id"]: r["count"] for r in structure.rounding_matches(a, b).groupBy("doc_id").count().collect()}
+    assert {r["doc_id"]: r["n"] for r in structure.rounding_match_counts(a, b).collect()} == want and want
+    copies = side(["5.39"] * 40_000)  # 800 million pairs
+    assert {r["doc_id"]: r["n"] for r in structure.rounding_match_counts(copies, copies).collect()} == {0: 20_000**2, 1: 20_000**2}
+
+
 def sents(spark, *texts):
     return spark.createDataFrame([(1, 0, i, s) for i, s in enumerate(texts)], "doc_id long, para int, ord int, text string")
 
