@@ -197,7 +197,8 @@ def length_controlled(scores: DataFrame, words: str, by: Sequence[str] = SYSTEM,
     )
     resid = F.round(F.col("value") - (F.col("_my") + F.coalesce(F.col("_b"), F.lit(0.0)) * (x - F.col("_mx"))), 9)
     return (
-        scores.join(fit, list(by))
+        # one row per system; a join by exchange would leave all rows of a system in one task from here on
+        scores.join(F.broadcast(fit), list(by))
         .where((F.col("_n") < min_items) | usable)
         .withColumn("value", F.when(F.col("_n") < min_items, F.col("value")).otherwise(resid))
         .drop("_n", "_b", "_my", "_mx")

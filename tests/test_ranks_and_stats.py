@@ -32,6 +32,17 @@ def frame(spark, sample):
     return spark.createDataFrame(sample, "id long, g string, label int, v double, y double, z double, s string").repartition(5)
 
 
+def test_ranges_of_a_group_do_not_share_a_task(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("g"), (F.col("id") * 1.0).alias("v")).repartition("g")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a few rows would be put together again
+    try:
+        sizes = [r["count"] for r in ranks.rank_cells(df, ["g"], "v").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert sum(sizes) == 20_000 and max(sizes) < 9_000
+
+
 def avg_ranks(values):
     order = sorted(values)
     first, count = {}, {}
