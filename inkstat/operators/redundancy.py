@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from inkstat.functions import patterns as P
 from inkstat.functions import text as T
 from inkstat.operators import stats
+from inkstat.session import cut
 
 N, TAU, MIN_TOK, CEIL = 8, 0.5, 8, 0.10
 
@@ -32,66 +33,79 @@ def units_from_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.flatten(per_line).alias("units"))
 
 
-def _gram_array(n: int) -> Column:
-    """All (ord, sec, role, pos, gram) of a document; sentinel-bearing grams are left out."""
-    per_unit = F.transform(
-        "units",
-        lambda u, ord_: F.transform(
-            T.grams(u["toks"], n),
-            lambda g, pos: F.struct(ord_.cast("int").alias("ord"), u["sec"].alias("sec"), u["role"].alias("role"), pos.cast("int").alias("pos"), g.alias("gram")),
-        ),
-    )
-    bearing = r"\b(?:" + "|".join(P.SENTINELS) + r")\b"
-    return F.filter(F.flatten(per_unit), lambda g: ~(g["gram"].contains("xx") & g["gram"].rlike(bearing)))
+def _bearing(gram: Column) -> Column:
+    """Whether a gram holds a sentinel; such grams are left out."""
+    return gram.contains("xx") & gram.rlike(r"\b(?:" + "|".join(P.SENTINELS) + r")\b")
+
+
+def _repeats(n: int) -> Column:
+    """(n, ord, sec, role, n_tokens, pos, gram) of the grams whose hash occurs again in the document.
+
+    Hashes are sorted and compared with their neighbours, so a text of many repeats costs no pairs; a gram's text is built only
+    where its hash came twice.
+    """
+    def hashes(u: Column, ord_: Column) -> Column:
+        return T.let(F.transform(u["toks"], lambda w: F.xxhash64(w)), lambda w: F.when(F.size(w) >= n, F.transform(
+            F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda p: F.struct(F.xxhash64(F.slice(w, p, n)).alias("h"), ord_.cast("int").alias("ord"), (p - 1).cast("int").alias("pos")))))
+
+    def kept(g: Column) -> Column:
+        hash_at = lambda i: F.get(g, i)["h"]
+        return F.filter(g, lambda x, i: F.coalesce(x["h"] == hash_at(i - 1), F.lit(False)) | F.coalesce(x["h"] == hash_at(i + 1), F.lit(False)))
+
+    def row(x: Column) -> Column:
+        return T.let(F.get(F.col("units"), x["ord"]), lambda u: F.struct(
+            F.lit(n).alias("n"), x["ord"].alias("ord"), u["sec"].alias("sec"), u["role"].alias("role"), F.size(u["toks"]).alias("n_tokens"), x["pos"].alias("pos"),
+            F.array_join(F.slice(u["toks"], x["pos"] + 1, n), " ").alias("gram")))
+
+    return F.transform(T.let(F.sort_array(F.flatten(F.array_compact(F.transform("units", hashes)))), kept), row)
 
 
-def repeated_grams(units: DataFrame, n: int = N) -> DataFrame:
-    """Gram occurrences whose gram occurs again in the same document, one row each."""
-    hashed = units.select("doc_id", _gram_array(n).alias("g")).withColumn("h", F.sort_array(F.transform("g", lambda g: F.xxhash64(g["gram"]))))
-    twice = F.array_distinct(F.filter(F.zip_with(F.slice("h", 2, F.greatest(F.size("h") - 1, F.lit(0))), "h", lambda b, a: F.when(a == b, a)), lambda x: x.isNotNull()))
-    # no filter on the arrays: it would be pushed below the projection and build the grams again
-    return hashed.select("doc_id", "g", twice.alias("twice")).select("doc_id", F.explode(F.filter("g", lambda g: F.array_contains("twice", F.xxhash64(g["gram"])))).alias("g")).select("doc_id", "g.*")
+def repeated_grams(units: DataFrame, *ns: int) -> DataFrame:
+    """Gram occurrences of every length (column n) whose gram occurs again in the same document, one row each; texts are read once."""
+    each = F.flatten(F.array(*[_repeats(n) for n in ns or (N,)]))
+    return units.select("doc_id", F.explode(each).alias("g")).select("doc_id", "g.*").where(~_bearing(F.col("gram")))
 
 
 def gram_owners(units: DataFrame, n: int = N) -> DataFrame:
     """First occurrence of every repeated gram: the unit that owns it, and how often it occurs."""
-    return repeated_grams(units, n).groupBy("doc_id", "gram").agg(
+    return repeated_grams(units, n).drop("n").groupBy("doc_id", "gram").agg(
         F.min(F.struct("ord", "sec")).alias("o"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(
         "doc_id", "gram", F.col("o.ord").alias("owner_ord"), F.col("o.sec").alias("owner_sec"), "n")
 
 
-def recycled_units(units: DataFrame, n: int = N, cliches: DataFrame | None = None) -> DataFrame:
-    """Units with covered tokens: count, longest run, most frequent source unit.
+def recycled_units(units: DataFrame, *ns: int, cliches: DataFrame | None = None) -> DataFrame:
+    """Units with covered tokens by gram length n: count, longest run, most frequent source unit.
 
     A token is covered inside a gram first seen in an earlier unit of another section. Sources tie
     to the one met first.
     """
-    occ = repeated_grams(units, n)
+    occ = repeated_grams(units, *ns)
     if cliches is not None:
         occ = occ.withColumn("h1", F.xxhash64("gram")).withColumn("h2", F.hash("gram")).join(cliches.select("h1", "h2"), ["h1", "h2"], "left_anti")
-    same = Window.partitionBy("doc_id", "gram")
-    hits = (
+    text, unit = ["n", "doc_id"], ["n", "doc_id", "ord", "sec", "role", "n_tokens"]
+    same = Window.partitionBy(*text, "gram")
+    # few rows, read twice below: covered tokens and sources
+    hits = cut(
         occ.withColumn("o", F.min(F.struct("ord", "sec", "role")).over(same))
         .where((F.col("o.ord") < F.col("ord")) & (F.col("o.sec") != F.col("sec")))
-        .select("doc_id", "ord", "sec", "role", "pos", F.col("o.ord").alias("src_ord"), F.col("o.role").alias("src_role"))
+        .select(*unit, "pos", F.col("o.ord").alias("src_ord"), F.col("o.role").alias("src_role"))
     )
-    along = Window.partitionBy("doc_id", "ord").orderBy("pos")
+    along = Window.partitionBy(*text, "ord").orderBy("pos")
     # a gram adds n tokens unless the next one starts earlier; a run breaks where the gap exceeds n
-    stepped = hits.withColumn("step", F.least(F.lit(n), F.coalesce(F.lead("pos").over(along) - F.col("pos"), F.lit(n)))).withColumn(
-        "run", F.sum(F.when(F.col("pos") - F.lag("pos").over(along) <= n, 0).otherwise(1)).over(along))
-    runs = stepped.groupBy("doc_id", "ord", "sec", "role", "run").agg(F.sum("step").alias("len"))
-    covered = runs.groupBy("doc_id", "ord", "sec", "role").agg(F.sum("len").alias("covered"), F.max("len").alias("longest_run"))
-    sources = hits.groupBy("doc_id", "ord", "src_ord", "src_role").agg(F.count(F.lit(1)).alias("c"), F.min("pos").alias("p")).groupBy("doc_id", "ord").agg(
+    stepped = hits.withColumn("step", F.least(F.col("n"), F.coalesce(F.lead("pos").over(along) - F.col("pos"), F.col("n")))).withColumn(
+        "run", F.sum(F.when(F.col("pos") - F.lag("pos").over(along) <= F.col("n"), 0).otherwise(1)).over(along))
+    runs = stepped.groupBy(*unit, "run").agg(F.sum("step").alias("len"))
+    covered = runs.groupBy(*unit).agg(F.sum("len").alias("covered"), F.max("len").alias("longest_run"))
+    sources = hits.groupBy(*text, "ord", "src_ord", "src_role").agg(F.count(F.lit(1)).alias("c"), F.min("pos").alias("p")).groupBy(*text, "ord").agg(
         F.max(F.struct("c", (-F.col("p")).alias("first"), "src_ord", "src_role")).alias("s"))
-    return covered.join(sources.select("doc_id", "ord", F.col("s.src_ord").alias("src_ord"), F.col("s.src_role").alias("src_role")), ["doc_id", "ord"])
+    return covered.join(sources.select(*text, "ord", F.col("s.src_ord").alias("src_ord"), F.col("s.src_role").alias("src_role")), [*text, "ord"])
 
 
 def sentence_rows(units: DataFrame, n: int = N, tau: float = TAU, cliches: DataFrame | None = None) -> DataFrame:
     """One row per covered unit with r, eligibility and the recycled verdict."""
-    sizes = units.select("doc_id", F.posexplode(F.transform("units", lambda u: F.size(u["toks"])))).select("doc_id", F.col("pos").alias("ord"), F.col("col").alias("n_tokens"))
     r = F.col("covered") / F.col("n_tokens")
     eligible = F.col("n_tokens") >= MIN_TOK
-    return recycled_units(units, n, cliches).join(sizes, ["doc_id", "ord"]).select(
+    return recycled_units(units, n, cliches=cliches).select(
         "doc_id", "ord", "sec", "role", "n_tokens", "covered", "longest_run", "src_ord", "src_role", r.alias("r"),
         eligible.alias("eligible"), (eligible & (r >= tau)).alias("recycled"))
 
@@ -139,19 +153,18 @@ def frequent_grams(units: DataFrame, min_docs: int, n: int = N) -> DataFrame:
     Each document contributes a gram once before the shuffle, and the count is a partial
     aggregate, so a stock phrase of the whole corpus costs one row per task.
     """
-    once = units.select(F.explode(F.array_distinct(F.transform(_gram_array(n), lambda g: F.struct(F.xxhash64(g["gram"]).alias("h1"), F.hash(g["gram"]).alias("h2"))))).alias("g"))
-    return once.groupBy(F.col("g.h1").alias("h1"), F.col("g.h2").alias("h2")).agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    # texts are distinct by their hash codes; structs would be compared in pairs
+    grams = F.array_distinct(F.flatten(F.transform("units", lambda u: T.grams(u["toks"], n))))
+    once = units.select(F.explode(grams).alias("gram")).where(~_bearing(F.col("gram")))
+    return once.groupBy(F.xxhash64("gram").alias("h1"), F.hash("gram").alias("h2")).agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
 
 
 def sweep(units: DataFrame, ns: list[int], taus: list[float]) -> DataFrame:
     """Corpus totals for every (n, tau): eligible, recycled, mean score."""
     eligible = F.size(F.filter("units", lambda u: F.size(u["toks"]) >= MIN_TOK))
     totals = units.agg(F.sum(eligible).alias("n_eligible"))
-    out = None
-    for n in ns:
-        rows = sentence_rows(units, n).where("eligible").select("r", F.explode(F.array(*[F.lit(t) for t in taus])).alias("tau"))
-        one = rows.groupBy("tau").agg(F.count_if(F.col("r") >= F.col("tau")).alias("n_recycled")).withColumn("n", F.lit(n))
-        out = one if out is None else out.unionByName(one)
+    rows = recycled_units(units, *ns).where(F.col("n_tokens") >= MIN_TOK).select("n", (F.col("covered") / F.col("n_tokens")).alias("r"), F.explode(F.array(*[F.lit(t) for t in taus])).alias("tau"))
+    out = rows.groupBy("n", "tau").agg(F.count_if(F.col("r") >= F.col("tau")).alias("n_recycled"))
     return out.withColumn("_one", F.lit(1)).join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one").select(
         "n", "tau", "n_recycled", "n_eligible", (F.col("n_recycled") / F.col("n_eligible")).alias("score"))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +86,24 @@ def test_frequent_grams_are_dropped(spark):
     assert redundancy.sentence_rows(u, cliches=redundancy.frequent_grams(u, 5)).count() == 4
 
 
+def test_long_texts_cost_no_pairs_of_grams(spark):
+    u = units(spark, {1: [(0, " ".join(f"w{i}" for i in range(60_000)))], 2: [(0, "a b " * 8 + "c"), (1, "a b " * 8 + "c")]})
+    redundancy.frequent_grams(u.where("doc_id = 2"), 1).count()
+    begun = time.monotonic()
+    assert redundancy.frequent_grams(u, 1).count() == 59_993 + 3
+    assert time.monotonic() - begun < 15
+
+
+def test_sweep_reads_the_texts_once_for_all_lengths(spark):
+    rng = random.Random(3)
+    u = units(spark, {d: [(k // 2, " ".join(rng.choice("ab") + str(rng.randint(0, 2)) for _ in range(20))) for k in range(8)] for d in range(5)})
+    out = redundancy.sweep(u, [2, 3, 4], [0.3, 0.6])
+    got = {(r["n"], r["tau"]): r["n_recycled"] for r in out.collect()}
+    assert got == {(n, tau): redundancy.sentence_rows(u, n, tau).where("eligible AND recycled").count() for n in (2, 3, 4) for tau in (0.3, 0.6)}
+    # the rows of covered units come from what was written once, the total from the texts
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 3
+
+
 TEX = r"""\documentclass{article}
 \begin{document}
 \begin{abstract}Short abstract.\end{abstract}
