@@ -314,19 +314,41 @@ def caveat_flags(pairs: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- text neighbours
 
 
-def tfidf_weights(docs: DataFrame, min_df: int = 2, stop: Sequence[str] = tuple(P.STOP_WORDS)) -> DataFrame:
-    """(doc_id, term, w): uni- and bigrams of words in any script, (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), l2-normalized."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(list(stop)))
-    follow = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    # texts move instead of their terms: the counts below need no further exchange
-    counts = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", words.alias("w")).select("doc_id", F.explode(F.concat("w", follow)).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(docs: DataFrame, stop: Sequence[str] = tuple(P.STOP_WORDS)) -> DataFrame:
+    """(doc_id, term, tf): uni- and bigrams of words in any script, counted inside of the row of their text."""
+    # terms of one id are counted in one row, so only texts that share an id move
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        texts = docs.select("doc_id", F.array("text").alias("texts"))
+    else:
+        texts = docs.groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    words = lambda text: F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(list(stop)))
+    follow = lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    rows = texts.select("doc_id", F.filter(F.transform("texts", words), lambda w: w.isNotNull()).alias("w")).select(
+        "doc_id", F.sort_array(F.concat(F.flatten("w"), F.flatten(F.transform("w", follow)))).alias("t"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == 1) | (F.get("t", i - 1) != F.get("t", i - 2)))
+    rows = rows.withColumn("at", F.when(F.size("t") > 0, starts))
+    ends = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.size("t") + 1))
+    # neither term nor, below, doc_id is filtered against null: that would be done for one reader of the terms only and make two exchanges of them
+    runs = F.zip_with("at", ends, lambda a, b: F.struct(F.coalesce(F.get("t", a - 1), F.lit("")).alias("term"), (b - a).alias("tf")))
+    return rows.select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.term", "r.tf")
+
+
+def tfidf_weights(docs: DataFrame, min_df: int = 2, stop: Sequence[str] = tuple(P.STOP_WORDS), only: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, w): uni- and bigrams of words in any script, (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), l2-normalized.
+
+    Every term counts for the lengths; ``only`` (column term) leaves the weights of its terms. All terms move once, dealt by
+    term; lengths are summed where the terms are, and the weights asked for move to them.
+    """
+    counts = term_counts(docs, stop).repartition("term")
     n = docs.agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))
-    # reading tf keeps this branch on the same exchange as the weights below
-    df = counts.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df")).where(F.col("df") >= min_df)
+    # reading tf and doc_id keeps this branch on the same exchange as the weights below
+    df = counts.groupBy("term").agg(F.count(F.when((F.col("tf") > 0) | F.col("doc_id").isNull(), 1)).alias("df")).where(F.col("df") >= min_df)
     idf = df.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one").select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(idf, "term").select("doc_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))  # a window is one text
-    return raw.select("doc_id", "term", (F.col("w") / length).alias("w"))
+    # a hash of the terms of one part: sorting all terms of all texts for a merge would spill them
+    raw = counts.join(idf.hint("shuffle_hash"), "term").select("doc_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    length = raw.groupBy(F.col("doc_id").alias("_doc")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    kept = raw if only is None else raw.join(only.select("term").distinct(), "term", "left_semi")
+    return kept.join(length, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "term", (F.col("w") / F.col("length")).alias("w"))
 
 
 def top_neighbours(queries: DataFrame, docs: DataFrame, k: int = 3, champions: int = 12, split: int = 100_000) -> DataFrame:
@@ -339,14 +361,14 @@ def top_neighbours(queries: DataFrame, docs: DataFrame, k: int = 3, champions: i
     best. The other terms meet the postings, sums that cannot reach the floor any more are dropped,
     and what was set aside is added for the rest. Postings of a term move in parts of about
     ``split`` documents. A query with no k documents in common keeps all terms; one that shares no
-    term, or has none, gives no row.
+    term, or has none, gives no row. ``docs`` is read several times, so it should be written before.
     """
     q = queries.select(F.col("doc_id").alias("query_id"), "term", F.col("w").alias("wq"))
     shared = docs.join(queries.select("term").distinct(), "term", "left_semi")
     stats = cut(shared.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("top")))
     parts = F.ceil(F.col("df") / split)
-    postings = cut(docs.join(stats, "term").select(
-        F.col("doc_id").alias("cand_id"), "term", "w", F.pmod(F.xxhash64("doc_id"), parts).alias("part")))
+    postings = docs.join(stats, "term").select(
+        F.col("doc_id").alias("cand_id"), "term", "w", F.pmod(F.xxhash64("doc_id"), parts).alias("part"))
 
     def dots(pairs: DataFrame, terms: DataFrame) -> DataFrame:
         return pairs.select("query_id", "cand_id").join(terms.select("query_id", "term", "wq"), "query_id").join(

@@ -228,7 +228,8 @@ def tfidf_sides(t):
     docs = t.documents.select("doc_id", "text")
     items = t.benchmark.select((-1 - F.col("item_id")).alias("doc_id"), "text")
     both = docs.unionByName(items)
-    vec = cut(M.tfidf_weights(both))  # written once, read for both sides and the vocabulary
+    # a search reads the terms of its queries only; they are written once, read for both sides
+    vec = cut(M.tfidf_weights(both, only=M.term_counts(items)))
     return vec.where("doc_id < 0"), vec.where("doc_id >= 0")
 
 

@@ -129,6 +129,19 @@ def test_top_neighbours_equal_all_cosines(spark, champions, split, k):
     assert got == nearest(vec, range(10), range(10, 70), k)
 
 
+def test_weights_of_some_terms_equal_those_of_all_and_terms_move_once(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(9)}" for _ in range(rng.choice([0, 1, 30, 30]))) for _ in range(60)] + [None]
+    docs = spark.createDataFrame([(i % 37, t) for i, t in enumerate(texts)], "doc_id long, text string")  # some ids have two texts
+    some = spark.createDataFrame([("w1",), ("w2 w3",), ("w2 w3",), ("none",)], "term string")
+    kept = matching.tfidf_weights(docs, only=some)
+    got = {(r["doc_id"], r["term"]): r["w"] for r in kept.collect()}
+    want = {(r["doc_id"], r["term"]): r["w"] for r in matching.tfidf_weights(docs).collect() if r["term"] in ("w1", "w2 w3")}
+    assert got == pytest.approx(want) and len(got) > 20
+    plan = kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(re.findall(r"[-+] Exchange hashpartitioning\(term#\d+, \d+\), REPARTITION_BY_COL", plan)) == 1
+
+
 def test_top_neighbours_of_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, term string, w double")
     one = spark.createDataFrame([(1, "a", 1.0)], "doc_id long, term string, w double")
