@@ -275,3 +275,22 @@ def test_fits_tell_whether_they_converged(spark):
     mixed = spark.createDataFrame([(float(i), int(i > 5) ^ int(i in (2, 8))) for i in range(12)], "x double, y int")
     assert not stats.fit_logistic(apart, ["x"], "y", 5).first()["converged"]
     assert stats.fit_logistic(mixed, ["x"], "y").first()["converged"] and stats.fit_calibration(mixed, "x", "y")["converged"]
+
+
+@pytest.mark.parametrize("by", [["g"], []])
+def test_numbering_of_large_groups_equals_that_of_small_ones(spark, by):
+    rng = random.Random(3)
+    rows = [(rng.choice("aaab"), i, rng.randrange(40)) for i in range(4000)] + [("c", 5000, 1), (None, 5001, 2), ("a", 5002, None)]
+    df = spark.createDataFrame(rows, "g string, id long, v int").withColumn("k", F.struct("v", "id")).withColumn("k", F.when(F.col("v").isNotNull(), F.col("k")))
+    got = {r["id"]: r["rn"] for r in ranks.numbered(df, by, "k", large=300).collect()}
+    want = {r["id"]: r["rn"] for r in ranks.numbered(df, by, "k").collect()}
+    kept = [r for r in rows if r[2] is not None and (r[0] is not None or not by)]
+    model = {i: 1 + sum((v, i) > (w, j) for h, j, w in kept if not by or h == g) for g, i, v in kept[:50] + kept[-2:]}
+    assert got == want and len(got) == len(kept) and all(got[i] == n for i, n in model.items())
+
+
+def test_numbering_of_small_groups_moves_rows_once(spark):
+    df = spark.range(1000).select((F.col("id") % 50).alias("g"), "id")
+    out = ranks.numbered(df, ["g"], "id")
+    out.collect()
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count(" Exchange ") == 1
