@@ -92,7 +92,7 @@ PROSE_STEPS: list[tuple[str, str]] = [
     (r"[{}~]", " "),
     (r"\\%", "%"),
     (r"\\&", "&"),
-    (r"[ \t]+", " "),
+    (r"[ \t]{2,}|\t", " "),  # a single blank stays where it is
     (r"\n{3,}", "\n\n"),
 ]
 

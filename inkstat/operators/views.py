@@ -102,12 +102,13 @@ class View:
 
     def replace(self, pattern: re.Pattern, replacement: str | Callable[[re.Match], str]) -> None:
         pieces, segments, at, new = [], [], 0, 0
+        fixed = isinstance(replacement, str) and "\\" not in replacement
         for match in pattern.finditer(self.text):
             if match.start() > at:
                 pieces.append(self.text[at:match.start()])
                 segments.append((new, at, True))
                 new += match.start() - at
-            put = replacement(match) if callable(replacement) else match.expand(replacement)
+            put = replacement if fixed else replacement(match) if callable(replacement) else match.expand(replacement)
             if put:
                 pieces.append(put)
                 segments.append((new, match.start(), False))
@@ -140,6 +141,7 @@ def prose(tex: str | None, captions: bool = False, base: int = 0) -> View:
 PARAGRAPH = re.compile(r"[^\n]+(?:\n[^\n]+)*")
 SENTENCE_GAP = re.compile(rf"(?<=[.!?])\s+(?={P.SENTENCE_START})")
 SHORT_FORM = re.compile(rf"(?i)\b(?:{P.ABBREVIATIONS})\.$")
+LONGEST_FORM = max(map(len, P.ABBREVIATIONS.split("|"))) + 1
 
 
 def sentence_places(text: str) -> Iterator[tuple[int, int, int]]:
@@ -149,7 +151,7 @@ def sentence_places(text: str) -> Iterator[tuple[int, int, int]]:
         gaps = [g.span() for g in SENTENCE_GAP.finditer(text, start, stop)]
         at = start
         for end, after in [*gaps, (stop, stop)]:
-            if end < stop and SHORT_FORM.search(text, at, end):
+            if end < stop and SHORT_FORM.search(text, max(at, end - LONGEST_FORM), end):
                 continue
             if text[at:end].strip():
                 yield start, at, end
