@@ -250,15 +250,16 @@ def cite_keys(text: Column) -> Column:
 
 
 def clean_cell(cell: Column) -> Column:
-    return F.trim(chain(cell, [
+    marked = chain(cell, [
         (r"\\(?:textbf|mathbf|bm|textit|emph|underline|textsc|texttt|text|mathrm)\s*" + P.BRACED, "$1"),
         (r"\\(?:cellcolor|rowcolor|color)\s*(?:\[[^\]]*\])?\{[^}]*\}", " "),
         (r"\\(?:phantom|hphantom)\{[^}]*\}", " "),
         (r"\\%", "%"), (r"\\&", "&"), (r"~", " "),
         (r"\\[a-zA-Z]+\*?", " "),
         (r"[{}$]", " "),
-        (r"\s+", " "),
-    ]))
+    ])
+    # most cells hold none of what the steps look for
+    return F.trim(F.regexp_replace(F.when(cell.rlike(r"[\\{}$~]"), marked).otherwise(cell), r"\s+", " "))
 
 
 NUMBER = r"([-+]?\d+(?:\.\d+)?)"
@@ -283,12 +284,16 @@ def number_cell(raw: Column) -> Column:
             numeric = bare.rlike(r"^[\s\d.\-+/%()xX×↑↓*†‡]*$")
             return F.when(((count == 1) & ~word) | ((count >= 1) & numeric), found(bare, PLAIN, 1))
 
-        printed = F.coalesce(found(raw, PM, 1), found(raw, PM_SUB, 1), found(clean, PAREN, 1), let(F.regexp_replace(unbracketed, ",", ""), plain))
-        std = F.coalesce(found(raw, PM, 2), found(raw, PM_SUB, 2), found(clean, PAREN, 2))
+        # a pattern is tried only on cells with the characters it needs
+        spread = raw.contains("pm") | raw.contains("±") | raw.contains("+/-") | raw.contains("+-")
+        either = lambda group: F.coalesce(
+            F.when(spread, F.coalesce(found(raw, PM, group), found(raw, PM_SUB, group))), F.when(clean.contains("("), found(clean, PAREN, group)))
+        printed = F.when(raw.rlike(r"\d"), F.coalesce(either(1), let(F.regexp_replace(unbracketed, ",", ""), plain)))
+        std = either(2)
         return let(printed, lambda p: F.struct(
             F.when(F.trim(raw) == "", "empty").when(p.isNotNull(), "number").otherwise("text").alias("kind"),
             p.cast("double").alias("value"), p.alias("printed"), F.when(p.isNotNull(), std).cast("double").alias("std"),
-            raw.rlike(r"\\(?:textbf|mathbf|bm)\b").alias("is_bold"), raw.contains("%").alias("is_percent"),
+            (raw.contains("\\") & raw.rlike(r"\\(?:textbf|mathbf|bm)\b")).alias("is_bold"), raw.contains("%").alias("is_percent"),
         ))
 
     return let(clean_cell(raw), parse)
@@ -302,15 +307,18 @@ def half_unit(printed: Column) -> Column:
 
 def metric_direction(header: Column, caption: Column) -> Column:
     """+1 / -1 / null: arrows, then the lexicon of one side only, then the caption."""
-    h, c = F.lower(header), F.lower(caption)
-    low, high = h.rlike(P.METRIC_LOWER), h.rlike(P.METRIC_HIGHER)
-    return (
-        F.when(header.contains("↓") | h.rlike(r"downarrow|\(lower|lower is better"), -1)
-        .when(header.contains("↑") | h.rlike(r"uparrow|\(higher|higher is better"), 1)
-        .when(low & ~high, -1).when(high & ~low, 1)
-        .when(c.rlike("lower is better|downarrow") & ~c.contains("higher is better"), -1)
-        .when(c.rlike("higher is better|uparrow") & ~c.contains("lower is better"), 1)
-    )
+
+    def decide(h: Column, c: Column) -> Column:
+        low, high = h.rlike(P.METRIC_LOWER), h.rlike(P.METRIC_HIGHER)
+        return (
+            F.when(h.contains("↓") | h.rlike(r"downarrow|\(lower|lower is better"), -1)
+            .when(h.contains("↑") | h.rlike(r"uparrow|\(higher|higher is better"), 1)
+            .when(low & ~high, -1).when(high & ~low, 1)
+            .when(c.rlike("lower is better|downarrow") & ~c.contains("higher is better"), -1)
+            .when(c.rlike("higher is better|uparrow") & ~c.contains("lower is better"), 1)
+        )
+
+    return let(F.lower(header), lambda h: let(F.lower(caption), lambda c: decide(h, c)))
 
 
 def ratio_score(numerator: Column, denominator: Column, min_units: int = 3) -> list[Column]:

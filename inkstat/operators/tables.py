@@ -11,6 +11,7 @@ A table inside of a cell of another one is content of that cell; a tabular that
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,7 @@ from inkstat.functions import text as T
 from inkstat.operators.views import CAPTION, rows_within
 
 TABLE_ENVS = ("tabular", "tabular*", "tabularx", "tabulary", "longtable")
+HEADER_ROWS = 3
 SIZED_ENVS = ("tabular*", "tabularx", "tabulary")  # with a width in front of the columns
 BORDER = re.compile(r"\\(begin|end)\{(tabular\*?|tabularx|tabulary|longtable)\}")
 FLOAT = re.compile(r"(?s)\\begin\{(table\*?|sidewaystable\*?|wraptable)\}.*?\\end\{\1\}")
@@ -29,6 +31,7 @@ LABEL = re.compile(r"\\label\{([^}]+)\}")
 RULES = re.compile(r"\\(?:toprule|midrule|bottomrule|hline|cline\{[^}]*\}|cmidrule(?:\([^)]*\))?\{[^}]*\}|addlinespace(?:\[[^\]]*\])?|"
                    r"specialrule\{[^}]*\}\{[^}]*\}\{[^}]*\}|arrayrulecolor\{[^}]*\}|noalign\{[^}]*\}|rowcolor\{[^}]*\}|morecmidrules)")
 TOKEN = re.compile(r"\\\\(?:\[[^\]]*\])?|\\begin\{[^}]*\}|\\end\{[^}]*\}|\\.|[{}&]", re.S)
+PARTS = re.compile(f"({TOKEN.pattern})", re.S)
 MULTICOLUMN = re.compile(r"\\multicolumn\s*\{(\d+)\}\s*\{")
 MULTIROW = re.compile(r"\\multirow\s*(?:\[[^\]]*\])?\s*\{(?:-?\d+|\*)\}\s*(?:\[[^\]]*\])?\s*(?:\{[^{}]*\}|\*)?\s*(?:\[[^\]]*\])?\s*\{")
 NEARBY_BEFORE, NEARBY_AFTER = 1500, 500
@@ -68,27 +71,25 @@ def bodies(tex: str) -> Iterator[tuple[int, int, int]]:
 
 def grid(body: str) -> list[list[str]]:
     """Cells of every row that has content or an &."""
-    body = RULES.sub(" ", body)
-    rows, cells, held, depth, at = [], [], [], 0, 0
-    for token in TOKEN.finditer(body):
-        held.append(body[at:token.start()])
-        word, at = token.group(), token.end()
-        if word == "{" or word.startswith("\\begin"):
-            depth += 1
-        elif word == "}" or word.startswith("\\end"):
-            depth = max(0, depth - 1)
-        if word == "&" and not depth:
-            cells.append("".join(held))
-            held = []
+    parts = PARTS.split(RULES.sub(" ", body))  # text, token, text, ..., text
+    rows, cells, depth, begin = [], [], 0, 0
+    for at in range(1, len(parts), 2):
+        word = parts[at]
+        if word == "&":
+            if not depth:
+                cells.append("".join(parts[begin:at]))
+                begin = at + 1
         elif word.startswith("\\\\"):
             if depth:
-                held.append(" ")  # a break inside of a cell
+                parts[at] = " "  # a break inside of a cell
             else:
-                rows.append([*cells, "".join(held)])
-                cells, held = [], []
-        else:
-            held.append(word)
-    rows.append([*cells, "".join(held) + body[at:]])
+                rows.append([*cells, "".join(parts[begin:at])])
+                cells, begin = [], at + 1
+        elif word == "{" or word.startswith("\\begin"):
+            depth += 1
+        elif word == "}" or word.startswith("\\end"):
+            depth = max(0, depth - 1)
+    rows.append([*cells, "".join(parts[begin:])])
     return [r for r in rows if any(c.strip() for c in r)]
 
 
@@ -99,6 +100,9 @@ def argument(cell: str, call: re.Match) -> str:
 def places(row: list[str]) -> Iterator[tuple[str, int, bool, bool]]:
     """(content, columns, spanned, over rows) of every place of a row."""
     for cell in row:
+        if "\\multi" not in cell:
+            yield cell.strip(), 1, False, False
+            continue
         wide = MULTICOLUMN.search(cell)
         span = 1
         if wide:
@@ -118,12 +122,14 @@ def table_cells(docs: DataFrame, tex: str = "tex") -> DataFrame:
     def each(text: str | None) -> Iterator[tuple]:
         text = text or ""
         floats = [m.span() for m in FLOAT.finditer(text)]
+        begins = [a for a, _ in floats]
         number = 0
         for start, inner, end in bodies(text):
             rows = grid(text[inner:end])
             if len(rows) < 2:
                 continue
-            around = next(((a, b) for a, b in floats if a <= start < b), (max(0, start - NEARBY_BEFORE), end + NEARBY_AFTER))
+            last = bisect_right(begins, start) - 1
+            around = floats[last] if last >= 0 and start < floats[last][1] else (max(0, start - NEARBY_BEFORE), end + NEARBY_AFTER)
             caption, label = CAPTION.search(text, *around), LABEL.search(text, *around)
             facts = (number, start, label.group(1).strip() if label else None, caption.group(1) if caption else "")
             number += 1
@@ -134,15 +140,20 @@ def table_cells(docs: DataFrame, tex: str = "tex") -> DataFrame:
     return rows_within(docs, [tex], "tbl int, start long, label string, caption string, r int, c int, raw string, span int, spanned boolean, over_rows boolean", each)
 
 
+def leading_cells(cells: DataFrame) -> DataFrame:
+    """The rows that can be a header: enough for ``column_names``."""
+    return cells.where(F.col("r") < HEADER_ROWS)
+
+
 def parsed_tables(cells: DataFrame) -> DataFrame:
     """Cells with their parsed value and row kind: up to three leading rows with at most a quarter
-    numeric cells are the header (at least the first row is)."""
+    numeric cells are the header (at least the first row is). The cells of a table move once, here."""
     parsed = cells.withColumn("cell", T.number_cell(F.col("raw")))
-    of_row = Window.partitionBy("doc_id", "tbl", "r")
+    of_row = Window.partitionBy("doc_id", "tbl").orderBy("r").rangeBetween(0, 0)
     full, nums = F.count_if(F.col("cell.kind") != "empty").over(of_row), F.count_if(F.col("cell.kind") == "number").over(of_row)
     parsed = parsed.withColumn("head_like", (full > 0) & (nums <= F.floor(full / 4)))
     so_far = Window.partitionBy("doc_id", "tbl").orderBy("r").rangeBetween(Window.unboundedPreceding, 0)
-    return parsed.withColumn("is_header", (F.col("r") == 0) | ((F.col("r") < 3) & F.every("head_like").over(so_far))).drop("head_like")
+    return parsed.withColumn("is_header", (F.col("r") == 0) | ((F.col("r") < HEADER_ROWS) & F.every("head_like").over(so_far))).drop("head_like")
 
 
 def column_names(parsed: DataFrame) -> DataFrame:
@@ -153,7 +164,8 @@ def column_names(parsed: DataFrame) -> DataFrame:
     named = head.select("doc_id", "tbl", "c", "r", "caption", text.alias("text"))
     columns = named.groupBy("doc_id", "tbl", "c").agg(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("r", "text")))).alias("t"), F.first("caption").alias("caption"))
     header = F.array_join(F.array_distinct(F.transform("t", lambda x: x["text"])), " | ")
-    return columns.select("doc_id", "tbl", "c", header.alias("header"), T.metric_direction(header, T.clean_cell(F.col("caption"))).alias("direction"))
+    columns = columns.select("doc_id", "tbl", "c", header.alias("header"), T.clean_cell(F.col("caption")).alias("caption"))
+    return columns.select("doc_id", "tbl", "c", "header", T.metric_direction(F.col("header"), F.col("caption")).alias("direction"))
 
 
 def body_rows(parsed: DataFrame) -> DataFrame:

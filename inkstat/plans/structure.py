@@ -284,7 +284,7 @@ def b15(t):
 
 @query("b16_metric_direction", f"""WITH {TEX}, {CELLS} SELECT doc_id, CAST(tbl AS INT) AS tbl, CAST(c AS INT) AS c, CAST(CASE WHEN lower(raw) = 'acc' THEN 1 WHEN lower(raw) = 'loss' THEN -1 ELSE 1 END AS INT) AS direction FROM ce WHERE r = 0""")
 def b16(t):
-    return TB.column_names(TB.parsed_tables(TB.table_cells(tex_docs(t)))).select("doc_id", "tbl", "c", "direction")
+    return TB.column_names(TB.parsed_tables(TB.leading_cells(TB.table_cells(tex_docs(t))))).select("doc_id", "tbl", "c", "direction")
 
 
 # every line of a text is a table with spans, breaks inside of cells, options, rules and groups; {n} its length, {i} its number
@@ -323,7 +323,7 @@ def b14_rows(t):
 @query("b16_column_names", f"""WITH g AS ({GRID_LINES}) SELECT doc_id, CAST(tbl AS INT) AS tbl, c, header, d AS direction FROM g,
   (VALUES (0::INT, 'Model', -1::INT), (1::INT, 'Test | Acc (top)', 1::INT), (2::INT, 'Test | Loss', -1::INT)) AS v(c, header, d)""")
 def b16_names(t):
-    return TB.column_names(TB.parsed_tables(TB.table_cells(grid_docs(t)))).select("doc_id", "tbl", "c", "header", "direction")
+    return TB.column_names(TB.parsed_tables(TB.leading_cells(TB.table_cells(grid_docs(t))))).select("doc_id", "tbl", "c", "header", "direction")
 
 
 @query("b17_rounding_matches", """WITH p AS (SELECT p_size AS doc_id, CAST(round(p_retailprice * 10) AS BIGINT) AS m FROM part),

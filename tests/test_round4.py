@@ -21,3 +21,13 @@ def test_single_blanks_are_no_segments(spark):
 def test_short_forms_at_any_place(spark):
     docs = spark.createDataFrame([(1, "approx. A, w.r.t. B. See et al. C xal. D al. E")], "doc_id long, tex string")
     assert [r["text"] for r in V.sentence_spans(docs).orderBy("ord").collect()] == ["approx. A, w.r.t. B.", "See et al. C xal.", "D al. E"]
+
+
+def test_cells_of_a_table_move_once(spark):
+    tex = r"\begin{tabular}{lc} a & \multicolumn{1}{c}{x \\ y} \\ b & {p & q} \\[2pt] c & $3.5 \pm 0.2$ \\ d~\% & 5 (0.1) \end{tabular}"
+    parsed = TB.parsed_tables(TB.table_cells(spark.createDataFrame([(1, tex)], "doc_id long, tex string")))
+    assert plan(parsed).count("Exchange hashpartitioning") == 1
+    got = parsed.orderBy("r", "c").select("r", "c", "raw", "cell.printed", "cell.std", "is_header").collect()
+    assert [tuple(r) for r in got] == [
+        (0, 0, "a", None, None, True), (0, 1, "x   y", None, None, True), (1, 0, "b", None, None, True), (1, 1, "{p & q}", None, None, True),
+        (2, 0, "c", None, None, False), (2, 1, r"$3.5 \pm 0.2$", "3.5", 0.2, False), (3, 0, r"d~\%", None, None, False), (3, 1, "5 (0.1)", "5", 0.1, False)]
