@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstat.functions import patterns as P
 from inkstat.functions import text as T
 from inkstat.operators import structure as S
+from inkstat.operators.views import rows_within
+
+ENVIRONMENT = S.compiled(r"\\begin\{(?i:" + "|".join(P.EXHIBIT_ENVS) + r")\}")
+CAPTION, QUOTE, RELATED = S.compiled(P.EXHIBIT_CAPTION), S.compiled(P.EXHIBIT_QUOTE), S.compiled(r"(?i)\\section\*?\{[^}]*related[^}]*\}")
 
 
 def applicable_documents(parsed_cells: DataFrame, min_rows: int = 2, min_numbers: int = 4) -> DataFrame:
@@ -23,16 +29,21 @@ def exhibits(docs: DataFrame, tex: str = "tex") -> DataFrame:
     The related-work span runs from its heading to the next section heading of the same row, so
     the exclusion needs no join.
     """
-    env = r"\\begin\{(?i:" + "|".join(P.EXHIBIT_ENVS) + r")\}"
-    text = F.col(tex)
-    start = F.regexp_instr(text, F.lit(r"(?i)\\section\*?\{[^}]*related[^}]*\}")) - 1
-    found = docs.select("doc_id", start.alias("rw"), F.instr(F.substring(text, start + 10, F.lit(2**31 - 1)), "\\section").alias("nx"), F.explode(F.concat(
-        F.transform(S.find_all(text, env), lambda m: F.struct(F.lit("env").alias("kind"), m["start"].alias("pos"))),
-        F.transform(S.find_all(text, P.EXHIBIT_CAPTION), lambda m: F.struct(F.lit("caption").alias("kind"), m["start"].alias("pos"))),
-        F.transform(S.find_all(text, P.EXHIBIT_QUOTE), lambda m: F.struct(F.lit("quote").alias("kind"), m["start"].alias("pos"))),
-    )).alias("e")).select("doc_id", "rw", "nx", "e.kind", "e.pos")
-    inside = (F.col("kind") == "quote") & (F.col("rw") >= 0) & (F.col("pos") >= F.col("rw")) & ((F.col("nx") == 0) | (F.col("pos") < F.col("rw") + F.col("nx") + 8))
-    return found.where(~inside).select("doc_id", "kind", "pos")
+
+    def each(text: str | None) -> Iterator[tuple]:
+        text = (text or "").replace(T.MARK, " ")
+        for kind, pattern in (("env", ENVIRONMENT), ("caption", CAPTION)):
+            for shown in pattern.finditer(text):
+                yield kind, shown.start()
+        quotes = [m.start() for m in QUOTE.finditer(text)]
+        related = RELATED.search(text) if quotes else None
+        start = related.start() if related else len(text)
+        behind = text.find("\\section", start + 9)
+        for at in quotes:
+            if at < start or 0 <= behind <= at:
+                yield "quote", at
+
+    return rows_within(docs, [tex], "kind string, pos int", each)
 
 
 def titled_without_exhibit(docs: DataFrame, shown: DataFrame, tex: str = "tex") -> DataFrame:

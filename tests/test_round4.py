@@ -43,3 +43,12 @@ def test_tokens_are_found_in_one_reading(spark):
         (tex.index("\\begin"), "begin", None, None, False, "figure", None, True, [], []), (tex.index("\\label{f}"), "label", None, None, False, None, "f", False, [], []),
         (tex.index("\\end"), "end", None, None, False, "figure", None, True, [], []), (tex.index("\\Cref"), "ref", None, None, False, "Cref", "{a, b} ", True, [], []),
         (tex.index("\\Citep"), "cite", None, None, False, None, "k, m", True, [], []), (tex.index("\\appendix"), "appendix", None, None, False, None, None, True, [], [])]
+
+
+def test_exhibits_are_found_in_one_reading(spark):
+    said = "``" + "q" * 50 + "''"
+    tex = said + "\\section{Related}" + said + "\\section{B}" + said + "\\begin{Quote}\\Caption{my an example of x}"
+    shown = EV.exhibits(spark.createDataFrame([(1, tex), (2, None)], "doc_id long, tex string"))
+    assert "regexp" not in plan(shown).lower()
+    assert sorted(map(tuple, shown.select("kind", "pos").collect())) == [
+        ("caption", tex.index("\\Caption")), ("env", tex.index("\\begin")), ("quote", 0), ("quote", tex.rindex("``"))]
