@@ -204,9 +204,10 @@ def c23(t):
 
 # --- figures: the lines of a document are a transcript, with stage labels put in front --------
 
-def figure_lines(t):
+def figure_lines(t, outer: bool = False):
+    """fig_id, ord, line; with ``outer`` a text without lines gives one row without ord and line."""
     lines = F.filter(F.split("text", "\n"), lambda x: x != "")
-    rows = t.documents.select(F.col("doc_id").alias("fig_id"), F.posexplode(lines).alias("ord", "raw"))
+    rows = t.documents.select(F.col("doc_id").alias("fig_id"), (F.posexplode_outer if outer else F.posexplode)(lines).alias("ord", "raw"))
     n = F.col("fig_id") + F.col("ord")
     lead = (
         F.when(n % 7 == 0, F.concat(F.lit("Step "), F.col("ord") + 1, F.lit(" "))).when(n % 11 == 3, "Legend ").when(n % 13 == 5, "Baseline: ")
@@ -235,7 +236,9 @@ def c24(t):
 @query("c25_latest_transcript_score", f"""WITH {FK}, s AS (SELECT fig_id, (notation_key::INT + comparison_arm::INT + evaluative_mark::INT + thesis_box::INT + enumerated_stage::INT) / 5.0::DOUBLE AS s FROM fk)
   SELECT d.doc_id AS fig_id, s AS score FROM documents d LEFT JOIN s ON s.fig_id = d.doc_id""", "score")
 def c25(t):
-    current = figure_lines(t).groupBy("fig_id").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("lines")).withColumn("version", F.lit(2))
+    # a text without lines has an empty transcript, which overrides the old one as any other does
+    line = F.when(F.col("ord").isNotNull(), F.struct("ord", "line"))
+    current = figure_lines(t, outer=True).groupBy("fig_id").agg(F.array_sort(F.collect_list(line)).alias("lines")).withColumn("version", F.lit(2))
     old = t.documents.select(F.col("doc_id").alias("fig_id"), F.array(F.struct(F.lit(0).alias("ord"), F.lit("Legend").alias("line"))).alias("lines"), F.lit(1).alias("version"))
     latest = G.latest_transcripts(current.unionByName(old)).select("fig_id", F.inline("lines"))
     return t.documents.select(F.col("doc_id").alias("fig_id")).join(G.figure_kinds(latest).select("fig_id", F.col("score_pattern_only").alias("score")), "fig_id", "left")
