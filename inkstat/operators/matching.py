@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from inkstat.functions import patterns as P
 from inkstat.functions import text as T
 from inkstat.operators import ranks
+from inkstat.operators.postings import weights_of
 from inkstat.session import cut
 
 SIGNATURE = 4  # longs of hashed words per title
@@ -314,16 +315,21 @@ def caveat_flags(pairs: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- text neighbours
 
 
-def term_counts(docs: DataFrame, stop: Sequence[str] = tuple(P.STOP_WORDS)) -> DataFrame:
-    """(doc_id, term, tf): uni- and bigrams of words in any script, counted inside of the row of their text."""
+def words_by_id(docs: DataFrame, stop: Sequence[str] = tuple(P.STOP_WORDS)) -> DataFrame:
+    """(doc_id, w): words in any script of the texts of an id, one list for each text that is not null."""
     # terms of one id are counted in one row, so only texts that share an id move
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         texts = docs.select("doc_id", F.array("text").alias("texts"))
     else:
         texts = docs.groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
     words = lambda text: F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(list(stop)))
+    return texts.select("doc_id", F.filter(F.transform("texts", words), lambda w: w.isNotNull()).alias("w"))
+
+
+def term_counts(docs: DataFrame, stop: Sequence[str] = tuple(P.STOP_WORDS)) -> DataFrame:
+    """(doc_id, term, tf): uni- and bigrams of words in any script, counted inside of the row of their text."""
     follow = lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    rows = texts.select("doc_id", F.filter(F.transform("texts", words), lambda w: w.isNotNull()).alias("w")).select(
+    rows = words_by_id(docs, stop).select(
         "doc_id", F.sort_array(F.concat(F.flatten("w"), F.flatten(F.transform("w", follow)))).alias("t"))
     starts = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == 1) | (F.get("t", i - 1) != F.get("t", i - 2)))
     rows = rows.withColumn("at", F.when(F.size("t") > 0, starts))
@@ -351,6 +357,16 @@ def tfidf_weights(docs: DataFrame, min_df: int = 2, stop: Sequence[str] = tuple(
     return kept.join(length, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "term", (F.col("w") / F.col("length")).alias("w"))
 
 
+def search_weights(docs: DataFrame, terms: DataFrame, min_df: int = 2, stop: Sequence[str] = tuple(P.STOP_WORDS)) -> DataFrame:
+    """``tfidf_weights`` of the terms a search asks for; the terms of all texts move as packed postings."""
+    return weights_of(docs, words_by_id(docs, stop), terms, min_df)
+
+
+def few(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` to be broadcast if it is counted to have at most ``rows`` rows, so that the other side of a join need not move."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def top_neighbours(queries: DataFrame, docs: DataFrame, k: int = 3, champions: int = 12, split: int = 100_000) -> DataFrame:
     """The k most similar documents of every query by cosine, exactly; ties go to the smaller id.
 
@@ -360,19 +376,19 @@ def top_neighbours(queries: DataFrame, docs: DataFrame, k: int = 3, champions: i
     of them together stay under that floor: a document that shares only those cannot get among the
     best. The other terms meet the postings, sums that cannot reach the floor any more are dropped,
     and what was set aside is added for the rest. Postings of a term move in parts of about
-    ``split`` documents. A query with no k documents in common keeps all terms; one that shares no
+    ``split`` documents, or stay where they are if what meets them is a few rows. A query with no k documents in common keeps all terms; one that shares no
     term, or has none, gives no row. ``docs`` is read several times, so it should be written before.
     """
     q = queries.select(F.col("doc_id").alias("query_id"), "term", F.col("w").alias("wq"))
-    shared = docs.join(queries.select("term").distinct(), "term", "left_semi")
+    shared = docs.join(few(queries.select("term").distinct()), "term", "left_semi")
     stats = cut(shared.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("top")))
     parts = F.ceil(F.col("df") / split)
-    postings = docs.join(stats, "term").select(
+    postings = docs.join(few(stats), "term").select(
         F.col("doc_id").alias("cand_id"), "term", "w", F.pmod(F.xxhash64("doc_id"), parts).alias("part"))
 
     def dots(pairs: DataFrame, terms: DataFrame) -> DataFrame:
-        return pairs.select("query_id", "cand_id").join(terms.select("query_id", "term", "wq"), "query_id").join(
-            postings.drop("part"), ["cand_id", "term"]).select("query_id", "cand_id", (F.col("wq") * F.col("w")).alias("s"))
+        wanted = pairs.select("query_id", "cand_id").join(terms.select("query_id", "term", "wq"), "query_id")
+        return few(wanted).join(postings.drop("part"), ["cand_id", "term"]).select("query_id", "cand_id", (F.col("wq") * F.col("w")).alias("s"))
 
     def sums(found: DataFrame) -> DataFrame:
         return found.groupBy("query_id", "cand_id").agg(F.sum("s").alias("s"))
@@ -384,7 +400,7 @@ def top_neighbours(queries: DataFrame, docs: DataFrame, k: int = 3, champions: i
     heavy = Window.partitionBy("term").orderBy(F.desc("w"), "cand_id")
     first = postings.drop("part").withColumn("_n", F.row_number().over(heavy)).where(F.col("_n") <= champions)
     guess = sums(q.join(first, "term").select("query_id", "cand_id", (F.col("wq") * F.col("w")).alias("s")))
-    floors = best(sums(dots(best(guess, "s", max(champions, k)), q)), "s", k).groupBy("query_id").agg(
+    floors = best(sums(dots(cut(best(guess, "s", max(champions, k))), q)), "s", k).groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) == k, F.min("s")).otherwise(0.0).alias("floor"))
 
     # a millionth of a millionth of slack would do for sums in another order; ties of rounded cosines need more
@@ -395,7 +411,7 @@ def top_neighbours(queries: DataFrame, docs: DataFrame, k: int = 3, champions: i
     bounds = ordered.groupBy("query_id").agg(
         F.first("floor").alias("floor"), F.coalesce(F.max(F.when(F.col("reach") < F.col("floor"), F.col("reach"))), F.lit(0.0)).alias("rest"))
     met = ordered.where(F.col("reach") >= F.col("floor")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).select("query_id", "term", "wq", "part")
-    met = sums(met.join(postings, ["term", "part"]).select("query_id", "cand_id", (F.col("wq") * F.col("w")).alias("s")))
+    met = sums(few(met).join(postings, ["term", "part"]).select("query_id", "cand_id", (F.col("wq") * F.col("w")).alias("s")))
     open_ = cut(met.join(bounds, "query_id").where(F.col("s") + F.col("rest") >= F.col("floor")).select("query_id", "cand_id", "s"))
     found = sums(open_.unionByName(dots(open_, aside))).withColumn("sim", F.round("s", 9)).where(F.col("sim") > 0)
     return best(found, "sim", k).select("query_id", "cand_id", "sim", "position")

@@ -229,7 +229,7 @@ def tfidf_sides(t):
     items = t.benchmark.select((-1 - F.col("item_id")).alias("doc_id"), "text")
     both = docs.unionByName(items)
     # a search reads the terms of its queries only; they are written once, read for both sides
-    vec = cut(M.tfidf_weights(both, only=M.term_counts(items)))
+    vec = cut(M.search_weights(both, M.term_counts(items)))
     return vec.where("doc_id < 0"), vec.where("doc_id >= 0")
 
 

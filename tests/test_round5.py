@@ -1,13 +1,15 @@
 """Queries against their SQL on odd rows: texts without lines, rows without a key; bootstraps against all pairs of every replicate."""
 
 import hashlib
+import random
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from inkstat.operators import resample
+from inkstat.operators import matching, postings, resample
 from inkstat.plans import statistics
 from inkstat.plans.registry import Tables
 
@@ -69,3 +71,26 @@ def test_registered_auroc_interval_has_all_systems_and_replicates(spark):
     assert {s for s, _ in got} == {"bino", "nts", "agg", "xsec"}
     for k, found in got.items():
         assert found == pytest.approx(brute_auroc(given[k], 1000), abs=2e-6)
+
+
+@pytest.mark.parametrize("words, chars", [(700_000, 24_000_000), (40, 300)])
+def test_packed_postings_give_the_weights_of_all_terms(spark, monkeypatch, words, chars):
+    rng = random.Random(5)
+    vocabulary = [*(f"w{i}" for i in range(9)), "größe", "Слово", "the", "x_1"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 30, 90]))) for _ in range(60)] + [None, "", "once only"]
+    docs = spark.createDataFrame([(i % 47 if i % 9 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")  # some ids have several texts, some texts none
+    some = spark.createDataFrame([("w1",), ("w2 w3",), ("w2 w3",), ("größe",), ("слово w1",), ("none",), ("once",), (None,)], "term string")
+    want = {(r["doc_id"], r["term"]): r["w"] for r in matching.tfidf_weights(docs).collect() if r["term"] in ("w1", "w2 w3", "größe", "слово w1")}
+    monkeypatch.setattr(postings, "BUCKET_CHARS", chars)
+    assert postings.pack_terms(matching.words_by_id(docs), 5, words).where("bucket < 0 or bucket > 4").isEmpty()
+    got = postings.weights_of(docs, matching.words_by_id(docs).coalesce(2), some, 2, words).collect()
+    assert len(got) == len(want) > 60 and {(r["doc_id"], r["term"]): r["w"] for r in got} == pytest.approx(want, rel=1e-12)
+
+
+def test_packed_postings_move_fewer_bytes_than_terms(spark):
+    rng = random.Random(7)
+    texts = [(i, " ".join(f"word{min(int(rng.paretovariate(0.6)), 3000)}" for _ in range(300))) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    rows = postings.pack_terms(matching.words_by_id(docs), 4).select(sum(F.length(c) for c in ("terms", "sizes", "ids", "texts", "tfs")).alias("n"))
+    counts = matching.term_counts(docs)
+    assert rows.agg(F.sum("n")).first()[0] < 8 * counts.count()  # a term of a text was over 16 bytes
