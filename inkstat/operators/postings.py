@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_WORDS, CHUNK_TEXTS = 700_000, 60_000  # texts of a chunk are numbered in 16 bits
-BUCKET_CHARS, TASK_CHARS = 24_000_000, 128_000_000
-HELD_SUMS, OUT_ROWS = 1_000_000, 50_000
+BUCKET_CHARS, TASK_CHARS = 12_000_000, 128_000_000
+HELD_SUMS, OUT_ROWS, BATCH_ROWS = 1_000_000, 50_000, 200
 PACKED = "bucket int, wanted boolean, terms binary, sizes binary, ids binary, texts binary, tfs binary"
 
 
@@ -58,8 +58,12 @@ def pack_terms(rows: DataFrame, buckets: int, chunk: int = CHUNK_WORDS) -> DataF
         doc = np.repeat(np.repeat(np.arange(n), texts), lengths)
         pair = text[1:] == text[:-1]
         terms = np.concatenate([code * size, (code[:-1] * size + code[1:] + 1)[pair]])  # a word, and a word with the next one
-        held, tf = np.unique(terms * n + np.concatenate([doc, doc[:-1][pair]]), return_counts=True)
-        term, doc = held // n, held % n
+        terms *= n
+        terms += np.concatenate([doc, doc[:-1][pair]])
+        del coded, code, text, doc, pair
+        held, tf = np.unique(terms, return_counts=True)
+        del terms
+        term, doc = held // n, (held % n).astype(np.uint16)
         starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(term)]]))
         first, second = term[starts] // size, term[starts] % size
@@ -69,10 +73,13 @@ def pack_terms(rows: DataFrame, buckets: int, chunk: int = CHUNK_WORDS) -> DataF
         to, starts, sizes, first, second = to[order], starts[order], sizes[order], first[order], second[order]
         ends = np.cumsum(sizes)
         at = np.arange(len(term)) + np.repeat(starts - (ends - sizes), sizes)
-        doc, tf = doc[at].astype(np.uint16), np.minimum(tf[at], 2**32 - 1).astype(np.uint32)
+        doc, tf = doc[at], np.minimum(tf[at], 2**32 - 1).astype(np.uint32)
         follow = pc.if_else(pa.array(second > 0), pc.binary_join_element_wise(pa.scalar(""), known.take(pa.array(np.maximum(second - 1, 0))), " "), pa.scalar(""))
         printed = pc.binary_join_element_wise(known.take(pa.array(first)), follow, "\n", "")
         offsets, data = np.frombuffer(printed.buffers()[1], dtype=np.int32), memoryview(printed.buffers()[2])
+        if pa.types.is_integer(ids.type) and not ids.null_count:
+            numbers = ids.to_numpy(zero_copy_only=False)
+            ids = pa.array(np.diff(numbers, prepend=numbers.dtype.type(0)), ids.type)  # steps of ids in a row deflate to little
         given = zlib.compress(pa.record_batch([ids], names=["doc_id"]).serialize().to_pybytes(), 1)
         cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
         for a, b in zip(cuts, cuts[1:]):
@@ -154,6 +161,10 @@ def raw_weights(packed: DataFrame, ids, n: int, min_df: int) -> DataFrame:
     numbers = lambda blobs, kind: np.concatenate([np.frombuffer(zlib.decompress(b), dtype=kind) for b in blobs])
     listed = lambda blob: pa.array(zlib.decompress(blob).decode().split("\n")[:-1], pa.string())
 
+    def listed_ids(blob):
+        ids = pa.ipc.read_record_batch(pa.py_buffer(zlib.decompress(blob)), given).column(0)
+        return pa.array(np.cumsum(ids.to_numpy(zero_copy_only=False), dtype=ids.type.to_pandas_dtype()), ids.type) if pa.types.is_integer(ids.type) and not ids.null_count else ids
+
     def weighed(wanted, rows):
         """Weights asked for and sums of squares by text, of one bucket."""
         coded = pa.concat_arrays([listed(r["terms"]) for r in rows]).dictionary_encode()
@@ -162,9 +173,11 @@ def raw_weights(packed: DataFrame, ids, n: int, min_df: int) -> DataFrame:
         df = np.bincount(code, weights=sizes, minlength=len(coded.dictionary))
         idf = np.where(df >= min_df, np.log((1 + n) / (1 + df)) + 1, 0.0)
         code = np.repeat(code, sizes)
-        w = (1 + np.log(numbers([r["tfs"] for r in rows], np.uint32))) * idf[code]
-        docs = [pa.ipc.read_record_batch(pa.py_buffer(zlib.decompress(r["ids"])), given).column(0) for r in rows]
-        at = [np.frombuffer(zlib.decompress(r["texts"]), dtype=np.uint16).astype(np.int64) for r in rows]
+        w = np.log(numbers([r["tfs"] for r in rows], np.uint32))
+        w += 1
+        w *= idf[code]
+        docs = [listed_ids(r["ids"]) for r in rows]
+        at = [np.frombuffer(zlib.decompress(r["texts"]), dtype=np.uint16).astype(np.int32) for r in rows]
         at = np.concatenate([a + base for a, base in zip(at, np.cumsum([0, *(len(d) for d in docs)]))])
         docs = pa.concat_arrays(docs)
         sums = pa.table({"doc_id": docs, "w": np.bincount(at, weights=w * w, minlength=len(docs))})
@@ -202,7 +215,8 @@ def raw_weights(packed: DataFrame, ids, n: int, min_df: int) -> DataFrame:
             yield from out((ids, pa.nulls(len(ids), pa.string()), w))
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 if row["bucket"] != bucket:
                     yield from close()
                     wanted, rows, bucket = [], [], row["bucket"]
@@ -219,8 +233,11 @@ def raw_weights(packed: DataFrame, ids, n: int, min_df: int) -> DataFrame:
 
 def weights_of(docs: DataFrame, rows: DataFrame, terms: DataFrame, min_df: int, chunk: int = CHUNK_WORDS) -> DataFrame:
     """(doc_id, term, w) of ``terms``, l2-normalized over all terms; ``rows`` are the words of ``docs`` by id (see ``pack_terms``)."""
+    session = docs.sparkSession
+    if int(session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:  # a row is a text, or the postings of a chunk in a bucket
+        session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     count = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(count["chars"] / TASK_CHARS))
+    tasks = max(session.sparkContext.defaultParallelism, math.ceil(count["chars"] / TASK_CHARS))
     buckets = tasks * max(1, math.ceil(count["chars"] / tasks / BUCKET_CHARS))
     packed = pack_terms(rows, buckets, chunk).unionByName(pack_wanted(terms.select("term").distinct(), buckets))
     packed = packed.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket", F.desc("wanted"))
